@@ -2,9 +2,10 @@
 
 Spark's own ``percentile`` merges every distinct value of a group in one task, which does not
 survive a group that holds a third of all rows. Here values are first counted per (group, value),
-then the bucket that holds each wanted rank is located in two counting passes over a monotone
-bucketing of the value axis, and only the rows of the located buckets are ranked. Every window
-partition holds at most a bounded number of buckets, or the distinct values of one tiny bucket.
+then the bucket that holds each wanted rank is located by counting over a monotone bucketing of the
+value axis (4096 buckets per power of two), and only the located buckets are ranked value by value.
+A window partition is thus either the buckets of a group (a bounded number) or the distinct values of
+one bucket (at most 2048 for single-precision rasters), however many rows the group has.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE = 4096  # buckets per power of two in the first pass
-_FINE = 1 << 20  # sub-buckets of each coarse bucket in the second pass
+_COARSE = 4096  # buckets per power of two
 _TINY = 1e-300  # magnitudes below this share the bucket of zero
 
 
@@ -62,10 +62,7 @@ def exact_quantiles(
         .where(F.col("_v").isNotNull())
         .groupBy(*grouped, "_v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_x", _axis(F.col("_v")) * _COARSE)
-        .withColumn("_b1", F.floor("_x"))
-        .withColumn("_b2", F.floor((F.col("_x") - F.col("_b1")) * _FINE))
-        .drop("_x")
+        .withColumn("_b", F.floor(_axis(F.col("_v")) * _COARSE))
     )
 
     total = F.sum("n").over(Window.partitionBy(*grouped))
@@ -81,20 +78,12 @@ def exact_quantiles(
         for side, rank in enumerate(ends):
             slots.append(F.struct(F.lit(2 * i + side).alias("slot"), rank.cast("bigint").alias("rank")))
 
-    coarse = values.groupBy(*grouped, "_b1").agg(F.sum("n").alias("n")).withColumn("_total", total)
-    level1 = _locate(coarse, grouped, "_b1", F.array(*slots)).select(
-        *grouped, "_b1", "_total", F.col("_wanted").alias("_w1")
+    buckets = values.groupBy(*grouped, "_b").agg(F.sum("n").alias("n")).withColumn("_total", total)
+    located = _locate(buckets, grouped, "_b", F.array(*slots)).select(
+        *grouped, "_b", "_total", F.col("_wanted").alias("_w")
     )
-    fine = (
-        values.join(level1, [*grouped, "_b1"])
-        .groupBy(*grouped, "_b1", "_b2")
-        .agg(F.sum("n").alias("n"), F.first("_total").alias("_total"), F.first("_w1").alias("_w1"))
-    )
-    level2 = _locate(fine, [*grouped, "_b1"], "_b2", F.col("_w1")).select(
-        *grouped, "_b1", "_b2", "_total", F.col("_wanted").alias("_w2")
-    )
-    exact = values.join(level2, [*grouped, "_b1", "_b2"])
-    found = _locate(exact, [*grouped, "_b1", "_b2"], "_v", F.col("_w2")).select(
+    exact = values.join(located, [*grouped, "_b"])
+    found = _locate(exact, [*grouped, "_b"], "_v", F.col("_w")).select(
         *grouped, "_total", "_v", F.explode("_wanted").alias("_hit")
     )
 

@@ -223,17 +223,13 @@ def ground_buildings(cells: DataFrame, footprints: DataFrame, edges: DataFrame)
     ``footprints`` is (tile_id, region, ground_height), lowest ``region`` first; ``edges`` its
     outline in normalised coordinates (tile_id, region, x1, z1, x2, z2).
     """
-    from rastertab.operators.outlines import points_in_polygons
+    from rastertab.operators.outlines import rasterize
 
-    shape = tile_shape(cells).select("tile_id", F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
-    centres = attach(cells.where(F.col("class") == BUILDING), shape, how="inner").select(
-        "tile_id", "row", "col",
-        ((F.col("col") + 0.5) / F.col("_cols") - 0.5).alias("x"),
-        ((F.col("row") + 0.5) / F.col("_rows") - 0.5).alias("z"),
+    covered = rasterize(edges, tile_shape(cells)).join(
+        cells.where(F.col("class") == BUILDING).select("tile_id", "row", "col"), ["tile_id", "row", "col"]
     )
     usable = footprints.where(finite("ground_height"))
-    inside = points_in_polygons(centres, edges, ["row", "col"]).join(usable, ["tile_id", "region"])
-    first = inside.groupBy("tile_id", "row", "col").agg(F.min_by("ground_height", "region").alias("_ground"))
+    first = covered.join(usable, ["tile_id", "region"]).groupBy("tile_id", "row", "col").agg(F.min_by("ground_height", "region").alias("_ground"))
     return cells.join(first, ["tile_id", "row", "col"], "left").withColumn(
         "height", F.coalesce("_ground", "height")
     ).select(*cells.columns)

@@ -1,0 +1,64 @@
+"""Streaming queries (survey group 2.10), drained to completion over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rastertab.functions.state import new_path
+from rastertab.plans import fixtures as fx
+from rastertab.plans.registry import query
+from rastertab.streaming import ingest
+
+def _session(spark):
+    """A session of its own whose state has one partition per core, as state cannot be coalesced later."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return own
+
+
+_SCHEMA = "split string, kind string, path string, arrived timestamp"
+
+
+def _file_stream(spark, sf_dir, kind=None):
+    """The catalogue's files as a stream; a last far-off file lets the watermark pass all others."""
+    offset = F.when(F.col("kind") == "images", 0).when(F.col("kind") == "heights", 20).otherwise(40)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") + offset)
+    rows = fx.files(spark, sf_dir).select("split", "kind", "path", at.alias("arrived"))
+    kinds = [kind] if kind else ["images"]
+    end = rows.agg(F.max("arrived").alias("m")).select(
+        F.lit("end").alias("split"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"),
+        F.lit("images/end/end_RGB.h5").alias("path"), (F.col("m") + F.expr("INTERVAL 2 DAYS")).alias("arrived"),
+    )
+    rows = rows.where(F.col("kind") == kind) if kind else rows
+    path = new_path(spark, "arrivals")
+    rows.unionByName(end).coalesce(1).write.parquet(path)
+    return spark.readStream.schema(_SCHEMA).parquet(path)
+
+
+@query("ss1_stream_verdicts", """
+WITH n AS (SELECT split, key, count(*) FILTER (kind='images') AS n_images, count(*) FILTER (kind='heights') AS n_heights, count(*) FILTER (kind='classes') AS n_classes FROM files GROUP BY split, key)
+SELECT split, key, CASE WHEN n_images=0 THEN 'orphan' WHEN n_images>1 OR n_heights>1 OR n_classes>1 THEN 'duplicate' WHEN n_heights=0 OR n_classes=0 THEN 'missing' ELSE 'triplet' END AS verdict, n_images, n_heights, n_classes FROM n""")
+def ss1_verdicts(spark, sf_dir):
+    out = ingest.run_append(ingest.stream_verdicts(_file_stream(_session(spark), sf_dir)), "verdicts")
+    return spark.read.parquet(out).where(F.col("split") != "end").select(
+        "split", "key", "verdict", "n_images", "n_heights", "n_classes"
+    )
+
+
+@query("ss1_stream_pair_triplets", "SELECT i.split, i.key, i.path AS image, h.path AS height, c.path AS classes FROM files i JOIN files h ON h.kind='heights' AND h.split=i.split AND h.key=i.key JOIN files c ON c.kind='classes' AND c.split=i.split AND c.key=i.key WHERE i.kind='images'")
+def ss1_triplets(spark, sf_dir):
+    own = _session(spark)
+    streams = [_file_stream(own, sf_dir, k) for k in ("images", "heights", "classes")]
+    out = ingest.run_append(ingest.stream_pair_triplets(*streams), "triplets")
+    return spark.read.parquet(out).where(F.col("split") != "end").select("split", "key", "image", "height", "classes")
+
+
+@query("ss2_stream_audit", f"""SELECT split, {", ".join(f"count(*) FILTER (valid AND class={c}) AS class_{c}" for c in range(7))},
+count(*) FILTER (height IS NULL OR isnan(height)) AS height_nonfinite, count(*) FILTER (class NOT BETWEEN 0 AND 6 AND class<>255) AS class_illegal, count(*) FILTER (class=255) AS void, count(*) FILTER (valid) AS valid_pixels FROM dirty_ok GROUP BY split""")
+def ss2(spark, sf_dir):
+    path = new_path(spark, "tiles")
+    fx.cells_dirty(spark, sf_dir).select("split", "tile_id", "row", "col", "height", "class").repartition(4, "tile_id").write.parquet(path)
+    stream = _session(spark).readStream.schema(
+        "split string, tile_id bigint, row int, col int, height double, class int"
+    ).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.read.parquet(ingest.run_complete(ingest.stream_audit(stream), "audit"))

@@ -29,21 +29,20 @@ def with_halo(cells: DataFrame, halo: int = 1, block: int = BLOCK) -> DataFrame:
     up to ``halo``; each pass is a local sort because windows start with the block key.
     """
 
-    def spans(axis: str) -> Column:
-        low = F.floor((F.col(axis) - halo) / block).cast("int")
-        high = F.floor((F.col(axis) + halo) / block).cast("int")
-        return F.sequence(F.greatest(low, F.lit(0)), high)
+    def spans(axis: str) -> str:
+        low = f"int(floor((`{axis}` - {halo}) / {block}))"
+        return f"explode(sequence(greatest({low}, 0), int(floor((`{axis}` + {halo}) / {block}))))"
 
     return (
-        cells.withColumn("_bi", F.explode(spans("row")))
-        .withColumn("_bj", F.explode(spans("col")))
+        cells.selectExpr("*", f"{spans('row')} AS _bi")
+        .selectExpr("*", f"{spans('col')} AS _bj")
         .repartition(*_BLOCK_KEY)
     )
 
 
 def core(blocked: DataFrame, block: int = BLOCK) -> DataFrame:
     """Drop the rim copies and the block columns."""
-    own = (F.floor(F.col("row") / block) == F.col("_bi")) & (F.floor(F.col("col") / block) == F.col("_bj"))
+    own = f"floor(`row` / {block}) = _bi AND floor(col / {block}) = _bj"
     return blocked.where(own).drop("_bi", "_bj")
 
 
@@ -53,56 +52,51 @@ def gather(blocked: DataFrame, values: Sequence[str], diagonals: bool = True) ->
     A neighbour struct is NULL when that cell does not exist, so existence and NULL values stay
     apart. Sparse and ragged tiles are handled: an absent cell next to a present one is stood in
     for by a placeholder that only carries its horizontal neighbours to the rows above and below.
+
+    Expressions are SQL text: this is the inner step of every stencil, and text costs one call to the
+    JVM where a Column tree costs one per node.
     """
-    columns = blocked.columns
-    line = Window.partitionBy(*_BLOCK_KEY, "row").orderBy("col")
-    column = Window.partitionBy(*_BLOCK_KEY, "col").orderBy("row")
-    packed = F.struct(*[F.col(v) for v in values])
-
-    def at(struct: Column, axis: str, offset: int) -> Column:
-        """``struct._v`` if that entry sits exactly ``offset`` along ``axis``."""
-        return F.when(struct[axis] == F.col(axis) + offset, struct["_v"])
-
-    here = blocked.withColumn("_v", packed)
-    probe = F.struct(F.col("col"), F.col("_v"))
-    here = here.withColumn("_p", F.lag(probe).over(line)).withColumn("_q", F.lead(probe).over(line))
+
+    def beside(axis: str, across: str, packed: str) -> tuple[str, str]:
+        """Previous and next entry along ``axis`` as _p and _q, to be checked for adjacency."""
+        over = f"OVER (PARTITION BY {', '.join(_BLOCK_KEY)}, `{across}` ORDER BY `{axis}`)"
+        probe = f"struct(`{axis}` AS at, {packed} AS v)"
+        return f"lag({probe}) {over} AS _p", f"lead({probe}) {over} AS _q"
+
+    def at(entry: str, axis: str, offset: int) -> str:
+        return f"if({entry}.at = `{axis}` + ({offset}), {entry}.v, NULL)"
+
+    packed = f"struct({', '.join(f'`{v}`' for v in values)})"
+    here = blocked.selectExpr("*", *beside("col", "row", packed))
     if not diagonals:
-        here = here.withColumn("n_l", at(F.col("_p"), "col", -1)).withColumn("n_r", at(F.col("_q"), "col", 1))
-        probe = F.struct(F.col("row"), F.col("_v"))
-        here = here.withColumn("_p", F.lag(probe).over(column)).withColumn("_q", F.lead(probe).over(column))
-        here = here.withColumn("n_u", at(F.col("_p"), "row", -1)).withColumn("n_d", at(F.col("_q"), "row", 1))
-        return here.drop("_v", "_p", "_q")
-
-    def entry(col: Column, row: Column, left: Column, mid: Column, right: Column) -> Column:
-        trio = F.struct(left.alias("l"), mid.alias("m"), right.alias("r"))
-        return F.struct(col.cast("int").alias("col"), row.alias("_row"), trio.alias("_v"))
-
-    payload = F.struct(*[F.col(c) for c in columns])
-    none_v, none_row = F.when(F.lit(False), F.col("_v")), F.when(F.lit(False), payload)
-    gap_right = F.col("_q").isNull() | (F.col("_q.col") > F.col("col") + 1)
-    gap_left = F.col("_p").isNull() | (F.col("_p.col") < F.col("col") - 2)
-    own = entry(F.col("col"), payload, at(F.col("_p"), "col", -1), F.col("_v"), at(F.col("_q"), "col", 1))
-    right = entry(F.col("col") + 1, none_row, F.col("_v"), none_v, at(F.col("_q"), "col", 2))
-    left = entry(F.col("col") - 1, none_row, none_v, none_v, F.col("_v"))
-    entries = F.filter(
-        F.array(own, F.when(gap_right, right), F.when(gap_left, left)), lambda e: e.isNotNull()
-    )
-    spread = here.select(*_BLOCK_KEY, "row", F.explode(entries).alias("_e")).select(
-        *_BLOCK_KEY, "row", "_e.col", "_e._row", "_e._v"
+        kept = [f"`{c}`" for c in blocked.columns]
+        here = here.selectExpr(*kept, f"{at('_p', 'col', -1)} AS n_l", f"{at('_q', 'col', 1)} AS n_r")
+        here = here.selectExpr("*", *beside("row", "col", packed))
+        return here.selectExpr(
+            *kept, "n_l", "n_r", f"{at('_p', 'row', -1)} AS n_u", f"{at('_q', 'row', 1)} AS n_d"
+        )
+
+    payload = f"struct({', '.join(f'`{c}`' for c in blocked.columns)})"
+
+    def entry(col: str, row: str, left: str, mid: str, right: str) -> str:
+        return f"struct(int({col}) AS col, {row} AS _row, struct({left} AS l, {mid} AS m, {right} AS r) AS _v)"
+
+    none_v, none_row = f"if(false, {packed}, NULL)", f"if(false, {payload}, NULL)"
+    own = entry("col", payload, at("_p", "col", -1), packed, at("_q", "col", 1))
+    right = entry("col + 1", none_row, packed, none_v, at("_q", "col", 2))
+    left = entry("col - 1", none_row, none_v, none_v, packed)
+    entries = (
+        f"filter(array({own}, if(_q IS NULL OR _q.at > col + 1, {right}, NULL), "
+        f"if(_p IS NULL OR _p.at < col - 2, {left}, NULL)), e -> e IS NOT NULL)"
     )
-    probe = F.struct(F.col("row"), F.col("_v"))
-    spread = spread.withColumn("_p", F.lag(probe).over(column)).withColumn("_q", F.lead(probe).over(column))
-    up, down = at(F.col("_p"), "row", -1), at(F.col("_q"), "row", 1)
-    return spread.where(F.col("_row").isNotNull()).select(
-        "_row.*",
-        F.col("_v.l").alias("n_l"),
-        F.col("_v.r").alias("n_r"),
-        up["m"].alias("n_u"),
-        down["m"].alias("n_d"),
-        up["l"].alias("n_ul"),
-        up["r"].alias("n_ur"),
-        down["l"].alias("n_dl"),
-        down["r"].alias("n_dr"),
+    spread = here.selectExpr(*_BLOCK_KEY, "`row`", f"inline({entries})")
+    spread = spread.selectExpr(*_BLOCK_KEY, "`row`", "col", "_row", "_v", *beside("row", "col", "_v"))
+    return spread.where("_row IS NOT NULL").selectExpr(
+        *_BLOCK_KEY, "`row`", "col", "_row", "_v",
+        f"{at('_p', 'row', -1)} AS _up", f"{at('_q', 'row', 1)} AS _down",
+    ).selectExpr(
+        "_row.*", "_v.l AS n_l", "_v.r AS n_r", "_up.m AS n_u", "_down.m AS n_d",
+        "_up.l AS n_ul", "_up.r AS n_ur", "_down.l AS n_dl", "_down.r AS n_dr",
     )
 
 
@@ -139,8 +133,9 @@ def attach(
     key over ``spark.rastertab.saltBuckets`` shuffle partitions.
     """
     buckets = int(big.sparkSession.conf.get("spark.rastertab.saltBuckets", "16"))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
-    copies = scalars.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    columns = ", ".join(f"`{c}`" for c in spread)
+    salted = big.selectExpr("*", f"int(pmod(xxhash64({columns}), {buckets})) AS _salt")
+    copies = scalars.selectExpr("*", f"explode(sequence(0, {buckets - 1})) AS _salt")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

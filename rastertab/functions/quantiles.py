@@ -12,32 +12,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _COARSE = 4096  # buckets per power of two
 _TINY = 1e-300  # magnitudes below this share the bucket of zero
 
 
-def _axis(v: Column) -> Column:
-    """Monotone, piecewise-linear log2 position of a double on a bounded axis."""
-    magnitude = F.abs(v)
-    exponent = F.floor(F.log2(magnitude)).cast("double")
-    position = exponent + (magnitude / F.pow(F.lit(2.0), exponent) - 1.0) + 1100.0
-    return F.when(magnitude < _TINY, F.lit(0.0)).otherwise(F.signum(v) * position)
+def axis_sql(v: str) -> str:
+    """Monotone, piecewise-linear log2 position of a double on a bounded axis, as SQL text."""
+    exponent = f"double(floor(log2(abs({v}))))"
+    position = f"({exponent} + (abs({v}) / pow(2D, {exponent}) - 1D) + 1100D)"
+    return f"if(abs({v}) < {_TINY}D, 0D, signum({v}) * {position})"
 
 
-def _locate(counts: DataFrame, within: list[str], order: str, wanted: Column) -> DataFrame:
+def bucket_sql(v: str) -> str:
+    return f"floor({axis_sql(v)} * {_COARSE})"
+
+
+def _locate(counts: DataFrame, within: Sequence[str], order: str, wanted: str) -> DataFrame:
     """Running counts inside ``within``; keeps entries that hold a wanted rank, made relative."""
-    upto = F.sum("n").over(
-        Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counts.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("n"))
-    hits = F.transform(
-        F.filter(wanted, lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_end"))),
-        lambda w: F.struct(w["slot"].alias("slot"), (w["rank"] - F.col("_start")).alias("rank")),
-    )
-    return ranked.withColumn("_wanted", hits).where(F.size("_wanted") > 0)
+    upto = f"sum(n) OVER (PARTITION BY {', '.join(within)} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    inside = f"filter({wanted}, w -> w.rank >= _end - n AND w.rank < _end)"
+    hits = f"transform({inside}, w -> named_struct('slot', w.slot, 'rank', w.rank - (_end - n)))"
+    return counts.selectExpr("*", f"{upto} AS _end").selectExpr("*", f"{hits} AS _hits").where("size(_hits) > 0")
 
 
 def exact_quantiles(
@@ -53,55 +51,41 @@ def exact_quantiles(
     n div 2 of the sorted values. NULL values are ignored; groups without a value are absent.
     """
     value = F.col(value) if isinstance(value, str) else value
-    grouped = list(keys) or ["_all"]
-    source = df if keys else df.withColumn("_all", F.lit(0))
-    names = list(wanted)
+    grouped = [f"`{k}`" for k in keys] or ["_all"]
+    source = df if keys else df.selectExpr("*", "0 AS _all")
+    plain = list(keys) or ["_all"]
 
     values = (
-        source.select(*grouped, value.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*grouped, "_v")
+        source.select(*plain, value.cast("double").alias("_v"))
+        .where("_v IS NOT NULL")
+        .groupBy(*plain, "_v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_b", F.floor(_axis(F.col("_v")) * _COARSE))
+        .selectExpr("*", f"{bucket_sql('_v')} AS _b")
     )
 
-    total = F.sum("n").over(Window.partitionBy(*grouped))
-    slots = []
-    for i, name in enumerate(names):
-        p = wanted[name]
+    slots, outputs = [], [*grouped] if keys else []
+    for i, (name, p) in enumerate(wanted.items()):
+        low, high = f"_s{2 * i}", f"_s{2 * i + 1}"
         if p == "upper":
-            middle = F.floor(F.col("_total") / 2)
-            ends = (middle, middle)
+            ends = ("_total div 2", "_total div 2")
+            outputs.append(f"{low} AS `{name}`")
         else:
-            position = F.lit(float(p)) * (F.col("_total") - 1)
-            ends = (F.floor(position), F.ceil(position))
+            position = f"({float(p)!r}D * (_total - 1))"
+            ends = (f"floor({position})", f"ceil({position})")
+            blend = f"{low} * (ceil({position}) - {position}) + {high} * ({position} - floor({position}))"
+            outputs.append(f"if(floor({position}) = ceil({position}), {low}, {blend}) AS `{name}`")
         for side, rank in enumerate(ends):
-            slots.append(F.struct(F.lit(2 * i + side).alias("slot"), rank.cast("bigint").alias("rank")))
+            slots.append(f"named_struct('slot', {2 * i + side}, 'rank', bigint({rank}))")
+    if count_name:
+        outputs.append(f"_total AS `{count_name}`")
 
-    buckets = values.groupBy(*grouped, "_b").agg(F.sum("n").alias("n")).withColumn("_total", total)
-    located = _locate(buckets, grouped, "_b", F.array(*slots)).select(
-        *grouped, "_b", "_total", F.col("_wanted").alias("_w")
+    buckets = values.groupBy(*plain, "_b").agg(F.sum("n").alias("n")).selectExpr(
+        "*", f"sum(n) OVER (PARTITION BY {', '.join(grouped)}) AS _total"
     )
-    exact = values.join(located, [*grouped, "_b"])
-    found = _locate(exact, [*grouped, "_b"], "_v", F.col("_w")).select(
-        *grouped, "_total", "_v", F.explode("_wanted").alias("_hit")
+    located = _locate(buckets, grouped, "_b", f"array({', '.join(slots)})").selectExpr(
+        *grouped, "_b", "_total", "_hits AS _w"
     )
-
-    def at(slot: int) -> Column:
-        return F.max(F.when(F.col("_hit.slot") == slot, F.col("_v")))
-
-    ends = [at(s).alias(f"_s{s}") for s in range(2 * len(names))]
-    result = found.groupBy(*grouped).agg(F.max("_total").alias("_total"), *ends)
-    columns = [F.col(k) for k in keys]
-    for i, name in enumerate(names):
-        low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
-        if wanted[name] == "upper":
-            columns.append(low.alias(name))
-        else:
-            position = F.lit(float(wanted[name])) * (F.col("_total") - 1)
-            lower, upper = F.floor(position), F.ceil(position)
-            blended = low * (upper - position) + high * (position - lower)
-            columns.append(F.when(lower == upper, low).otherwise(blended).alias(name))
-    if count_name:
-        columns.append(F.col("_total").alias(count_name))
-    return result.select(*columns)
+    exact = values.join(located, [*plain, "_b"])
+    found = _locate(exact, [*grouped, "_b"], "_v", "_w").selectExpr(*grouped, "_total", "_v", "inline(_hits)")
+    ends = [F.expr(f"max(if(slot = {i}, _v, NULL)) AS _s{i}") for i in range(2 * len(wanted))]
+    return found.groupBy(*plain).agg(F.max("_total").alias("_total"), *ends).selectExpr(*outputs)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertab.functions.quantiles import _COARSE, _axis
+from rastertab.functions.quantiles import bucket_sql
 
 
 def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -42,7 +42,7 @@ def value_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: s
     grouped = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
     src = src.where(F.col(value).isNotNull())
-    src = src.withColumn("_b", F.floor(_axis(F.col(value)) * _COARSE)).withColumn(
+    src = src.withColumn("_b", F.expr(bucket_sql(f"`{value}`"))).withColumn(
         "_t", F.pmod(F.xxhash64(F.col(tie)), F.lit(64)).cast("int")
     )
     n = F.count(F.lit(1)).alias("_n")

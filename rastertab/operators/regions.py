@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import finite, python_round
 from rastertab.functions.grid import EIGHT, OFFSETS, attach, row_major_rank, stencil, tile_shape
 from rastertab.functions.quantiles import exact_quantiles
+from rastertab.functions.state import settle
 from rastertab.operators.components import BLOCK, component_area, components, drop_below
 from rastertab.operators.outlines import outline_edges, outline_rings
 from rastertab.operators.stencil import PROTECTED_BOUNDARY, majority_filter
@@ -85,7 +86,14 @@ def fill_small_holes(cells: DataFrame, area: int = 4, block: int = BLOCK) -> Dat
 
 def clean_labels(cells: DataFrame, building_area: int = 4, hole_area: int = 4, block: int = BLOCK) -> DataFrame:
     """Majority filter, small buildings removed, small holes filled."""
-    return fill_small_holes(drop_small_buildings(majority_filter(cells), building_area, block), hole_area, block)
+    # Each step reads its input several times, so the steps are written once in between.
+    kept = [c for c in ("tile_id", "row", "col", "class", "boundary") if c in cells.columns]
+    voted = settle(majority_filter(cells.select(*kept)), "voted")
+    solid = settle(drop_small_buildings(voted, building_area, block), "solid")
+    cleaned = fill_small_holes(solid, hole_area, block)
+    if kept == cells.columns:
+        return cleaned
+    return cells.drop("class").join(cleaned.select(*CELL, "class"), CELL).select(*cells.columns)
 
 
 def split_on_seams(cells: DataFrame, threshold: float = PROTECTED_BOUNDARY, max_fraction: float = 0.04) -> DataFrame:
@@ -269,7 +277,7 @@ def buildings(
         mask = threshold_mask(cells).select(*CELL, F.lit(BUILDING).alias("_l"))
         cells = cells.join(mask, CELL, "left").withColumn("class", F.coalesce("_l", F.lit(OTHERS))).drop("_l")
     masked = split_on_seams(cells) if "boundary" in cells.columns else cells.withColumn("building", F.col("class") == BUILDING)
-    labelled = drop_below(components(masked.where("building"), block), min_area)
+    labelled = settle(drop_below(components(masked.where("building"), block), min_area), "buildings")
     rings = outline_rings(outline_edges(labelled), block)
     outline = rings.groupBy(*COMP).agg(
         F.count_if("is_hole").alias("holes"), F.sum(F.when(~F.col("is_hole"), F.col("corners"))).alias("corners")

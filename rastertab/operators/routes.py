@@ -188,6 +188,11 @@ def _block_of(axis: str, block: int) -> Column:
     return F.floor(F.col(axis) / block)
 
 
+def prepare_roads(roads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Road cells with their block, written once for all rounds of all searches."""
+    return settle(roads.withColumn("bi", _block_of("row", block)).withColumn("bj", _block_of("col", block)), "roads")
+
+
 def search(
     requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, penalties: DataFrame | None = None,
     weighted: bool = True, block: int = BLOCK,
@@ -199,8 +204,10 @@ def search(
     ``weighted``. Every cost is at least 1, so nothing beyond the best arrival at the destination is
     followed.
     """
-    ask = requests.select("route_id", "tile_id", "avoid_water", "profile", "start_row", "start_col", "dest_row", "dest_col")
-    road = roads.withColumn("bi", _block_of("row", block)).withColumn("bj", _block_of("col", block))
+    ask = settle(
+        requests.select("route_id", "tile_id", "avoid_water", "profile", "start_row", "start_col", "dest_row", "dest_col"), "ask"
+    )
+    road = roads if "bi" in roads.columns else prepare_roads(roads, block)
     keys = ["route_id", "row", "col"]
     state = None
     arrivals = ask.select(
@@ -363,8 +370,8 @@ def ranked_routes(
     Invalid requests are left out, see :func:`route_problems`.
     """
     valid = settle(requests.join(route_problems(requests, cells, blocked), "route_id", "left_anti"), "requests")
-    roads = settle(cell_risk(cells), "roads")
-    everything, paths, open_requests = None, None, valid
+    roads = prepare_roads(cell_risk(cells), block)
+    paths, open_requests = None, valid
     for alt in range(rounds):
         penalties = None
         if paths is not None:

@@ -10,6 +10,7 @@ from rastertab.functions.grid import (
     EIGHT, FOUR, attach, core, drop_neighbours, gather, stencil, tile_shape, with_halo,
 )
 from rastertab.functions.quantiles import exact_quantiles
+from rastertab.functions.state import settle
 from rastertab.operators.metrics import dilate4_wrap, height_boundary, with_boundaries
 from rastertab.operators.losses import gradient_report
 from rastertab.schema import BUILDING, GROUND, LOW_VEGETATION, OTHERS, ROAD, TREE, WATER
@@ -249,7 +250,7 @@ def prepare_terrain(
     safe = F.when(finite("height"), F.greatest(F.col("height"), F.lit(0.0))).otherwise(0.0)
     start = cells.select("tile_id", "row", "col", safe.alias("height"), label.cast("int").alias("class"))
     tops = start.groupBy("tile_id").agg(F.max("height").alias("max_height"))
-    smooth = smooth_ground_vegetation(start)
+    smooth = settle(smooth_ground_vegetation(start), "smooth")  # read by the base height and by the passes
     scaled = attach(smooth, base_height(smooth).join(tops, "tile_id"), how="inner")
     blocked = _height_pass(with_halo(scaled, 3), _terrain, True)
     blocked = _height_pass(blocked, _same_class, False)

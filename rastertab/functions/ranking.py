@@ -16,22 +16,27 @@ def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
 
 
 def spread_rank(
-    df: DataFrame, keys: Sequence[str], order: Column, tie: Sequence[str], name: str, buckets: int = 1024
+    df: DataFrame, keys: Sequence[str], order: Column, tie: Sequence[str], name: str, buckets: int = 4096,
+    limit: Column | None = None,
 ) -> DataFrame:
     """1-based rank of rows by ``order`` (a number in [0, 1)) and ``tie`` inside each key.
 
     Ranges of ``order`` are counted first; only the counts are accumulated, each range is sorted
-    on its own.
+    on its own. With ``limit`` only rows of rank <= limit are kept, and ranges that start beyond it
+    are dropped before anything is sorted.
     """
     grouped = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
     src = src.withColumn("_o", order).withColumn("_bk", F.floor(F.col("_o") * buckets).cast("int"))
     counts = src.groupBy(*grouped, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    placed = src.join(_offsets(counts, grouped, "_bk"), [*grouped, "_bk"])
+    if limit is not None:
+        placed = placed.where(F.col("_off") < limit)
     inside = F.row_number().over(Window.partitionBy(*grouped, "_bk").orderBy("_o", *tie))
-    ranked = src.withColumn("_in", inside).join(_offsets(counts, grouped, "_bk"), [*grouped, "_bk"])
-    return ranked.withColumn(name, F.col("_in") + F.col("_off")).drop(
-        "_o", "_bk", "_in", "_off", *([] if keys else ["_all"])
-    )
+    ranked = placed.withColumn(name, inside + F.col("_off"))
+    if limit is not None:
+        ranked = ranked.where(F.col(name) <= limit)
+    return ranked.drop("_o", "_bk", "_off", *([] if keys else ["_all"]))
 
 
 def value_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str, total: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertab.functions.columns import as_col, unit_hash
+from rastertab.functions.grid import attach
 from rastertab.functions.ranking import spread_rank
 
 # Suffixes that mark the modality of a file.
@@ -65,7 +66,7 @@ def ambiguous_keys(files: DataFrame) -> DataFrame:
 def orphan_targets(files: DataFrame) -> DataFrame:
     """Height and class keys without an image."""
     keyed = with_pair_key(files)
-    images = keyed.where(F.col("kind") == "images").select("split", "key")
+    images = keyed.where(F.col("kind") == "images").select("split", "key").distinct()
     targets = keyed.where(F.col("kind").isin("heights", "classes")).select("split", "kind", "key").distinct()
     return targets.join(images, ["split", "key"], "left_anti")
 
@@ -127,10 +128,14 @@ def stratified_sample(samples: DataFrame, targets: DataFrame, seed: int = 7, cit
             F.lit(1), F.least(F.col("_n"), F.bround(F.col("target") * F.col("_n") / F.col("_total")).cast("bigint"))
         ),
     ).drop("_n", "_total")
-    ranked = spread_rank(samples, ["split", city], unit_hash(seed, F.col("key")), ["key"], "_rank")
-    chosen = ranked.join(shares, ["split", city]).where(F.col("_rank") <= F.col("_share"))
-    capped = spread_rank(chosen, ["split"], unit_hash(seed + 1, F.col("key")), ["key"], "_order")
-    return capped.where(F.col("_order") <= F.col("target")).drop("_rank", "_share", "_order", "target")
+    bounded = attach(samples, shares, ["split", city], "inner", spread=["key"])
+    chosen = spread_rank(
+        bounded, ["split", city], unit_hash(seed, F.col("key")), ["key"], "_rank", limit=F.col("_share")
+    )
+    capped = spread_rank(
+        chosen, ["split"], unit_hash(seed + 1, F.col("key")), ["key"], "_order", limit=F.col("target")
+    )
+    return capped.drop("_rank", "_share", "_order", "target")
 
 
 def _validation_groups(samples: DataFrame, validation: Sequence[str] | None) -> DataFrame:
@@ -150,7 +155,8 @@ def _validation_groups(samples: DataFrame, validation: Sequence[str] | None) ->
 def split_by_group(samples: DataFrame, validation: Sequence[str] | None = None) -> DataFrame:
     """Adds ``role`` (train or validation), holding out whole groups; default: the last fifth, at least one."""
     held = _validation_groups(samples, validation).withColumn("_held", F.lit(True))
-    return samples.join(held, "group", "left").withColumn(
+    others = [c for c in samples.columns if c != "group"]
+    return attach(samples, held, ["group"], spread=others or ["group"]).withColumn(
         "role", F.when(F.col("_held"), "validation").otherwise("train")
     ).drop("_held")
 
@@ -177,14 +183,19 @@ def split_problems(samples: DataFrame, validation: Sequence[str] | None = None)
     return found.unionByName(unknown.select(F.lit("unknown_group").alias("problem"), "group"))
 
 
-def first_n_per_split(samples: DataFrame, limits: DataFrame, name: str = "key") -> DataFrame:
-    """The first n samples by name per split, ``limits`` = (split, n).
+def first_n_per_split(samples: DataFrame, limits: Mapping[str, int], name: str = "key") -> DataFrame:
+    """The first n samples by name of each split named in ``limits``.
 
-    A rank filter with a per-split bound: ranges of names are spread by their leading characters.
+    The rank filter is a literal bound, so Spark keeps only that many rows per split in every task
+    before it shuffles.
     """
-    head = F.conv(F.hex(F.substring(F.rpad(name, 6, " "), 1, 6)), 16, 10).cast("double") / float(2**48)
-    ranked = spread_rank(samples, ["split"], F.least(head, F.lit(0.999999)), [name], "_rank", buckets=1 << 16)
-    return ranked.join(limits, "split").where(F.col("_rank") <= F.col("n")).drop("_rank", "n")
+    wanted = samples.where(F.col("split").isin(*limits))
+    order = Window.partitionBy("split").orderBy(name)
+    ranked = wanted.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max(limits.values()))
+    own = F.lit(0)
+    for split, n in limits.items():
+        own = F.when(F.col("split") == split, F.lit(n)).otherwise(own)
+    return ranked.where(F.col("_rank") <= own).drop("_rank")
 
 
 def completeness(samples: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -205,7 +216,7 @@ def completeness(samples: DataFrame, expected: DataFrame | None = None) -> DataF
 
 def upsert_by_key(old: DataFrame, new: DataFrame, key: str = "name", notes: DataFrame | None = None) -> DataFrame:
     """New records replace old ones of the same key, the rest stays; ``notes`` (key, finding) may be attached."""
-    merged = old.join(new.select(key), key, "left_anti").unionByName(new)
+    merged = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
     return merged if notes is None else merged.join(notes, key, "left")
 
 

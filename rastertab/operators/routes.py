@@ -30,6 +30,7 @@ PROFILES = {
     "accessible": (0.7, 0.5, 1.0),
 }
 PENALTY, MINUTES_PER_CELL, UNCERTAIN = 2.25, 1.2, 0.35
+REQUEST = ("route_id", "tile_id", "avoid_water", "profile", "start_row", "start_col", "dest_row", "dest_col")
 
 
 def debris_cells(zones: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -204,9 +205,7 @@ def search(
     ``weighted``. Every cost is at least 1, so nothing beyond the best arrival at the destination is
     followed.
     """
-    ask = settle(
-        requests.select("route_id", "tile_id", "avoid_water", "profile", "start_row", "start_col", "dest_row", "dest_col"), "ask"
-    )
+    ask = requests.select(*REQUEST)
     road = roads if "bi" in roads.columns else prepare_roads(roads, block)
     keys = ["route_id", "row", "col"]
     state = None
@@ -280,6 +279,7 @@ def search(
 
 def shortest_distance(requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Unit-cost path length per request; NULL and "unreachable" when no road leads there."""
+    requests = settle(requests.select(*REQUEST), "requests")
     state = search(requests, roads, blocked, weighted=False, block=block)
     goal = state.select("route_id", F.col("row").alias("dest_row"), F.col("col").alias("dest_col"), "dist")
     return requests.join(goal, ["route_id", "dest_row", "dest_col"], "left").select(
@@ -355,6 +355,7 @@ def cheapest_path(
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(costs, path): (route_id, cost) of reached requests and their path rows."""
+    requests = settle(requests.select(*REQUEST), "requests")
     state = search(requests, roads, blocked, penalties, block=block)
     goal = state.select("route_id", F.col("row").alias("dest_row"), F.col("col").alias("dest_col"), F.col("dist").alias("cost"))
     costs = requests.join(goal, ["route_id", "dest_row", "dest_col"]).select("route_id", "cost")

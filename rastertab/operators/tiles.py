@@ -366,5 +366,5 @@ def crop_cells(cells: DataFrame, windows: DataFrame, size: int) -> DataFrame:
 def sample_pixels(cells: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """Uniform sample of k cells per tile: the k smallest hashes, not the first k cells."""
     usable = cells.where(finite("height"))
-    ranked = spread_rank(usable, ["tile_id"], unit_hash(F.col("tile_id"), F.col("row"), F.col("col"), seed), ["row", "col"], "_rank")
-    return ranked.where(F.col("_rank") <= k).drop("_rank")
+    order = unit_hash(F.col("tile_id"), F.col("row"), F.col("col"), seed)
+    return spread_rank(usable, ["tile_id"], order, ["row", "col"], "_rank", limit=F.lit(k)).drop("_rank")

@@ -178,8 +178,7 @@ def ds09b(spark, sf_dir):
 @query("ds10_first_n_per_split", "SELECT split, key FROM samples QUALIFY row_number() OVER (PARTITION BY split ORDER BY key) <= CASE split WHEN 'train' THEN 24 ELSE 6 END")
 def ds10(spark, sf_dir):
     s = catalog.pair_triplets(fx.files(spark, sf_dir))
-    limits = spark.createDataFrame([("train", 24), ("val", 6), ("test", 6)], "split string, n int")
-    return catalog.first_n_per_split(s, limits).select("split", "key")
+    return catalog.first_n_per_split(s, {"train": 24, "val": 6, "test": 6}).select("split", "key")
 
 
 @query("ds11_completeness", """

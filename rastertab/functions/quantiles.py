@@ -48,7 +48,8 @@ def exact_quantiles(
     """One row per group with one exact quantile column per entry of ``wanted``.
 
     A number p in 0..1 gives the linearly interpolated quantile, ``"upper"`` the element at index
-    n div 2 of the sorted values. NULL values are ignored; groups without a value are absent.
+    n div 2 of the sorted values. NULL values and NULL keys are ignored; groups without a value are
+    absent.
     """
     value = F.col(value) if isinstance(value, str) else value
     grouped = [f"`{k}`" for k in keys] or ["_all"]
@@ -57,11 +58,13 @@ def exact_quantiles(
 
     values = (
         source.select(*plain, value.cast("double").alias("_v"))
-        .where("_v IS NOT NULL")
+        .where(" AND ".join(f"{k} IS NOT NULL" for k in (*grouped, "_v")))
         .groupBy(*plain, "_v")
         .agg(F.count(F.lit(1)).alias("n"))
-        .selectExpr("*", f"{bucket_sql('_v')} AS _b")
+        .selectExpr("*", f"coalesce({bucket_sql('_v')}, 0L) AS _b")
     )
+    # Both uses of ``values`` share one exchange: neither key nor bucket can be NULL here, so the join
+    # below adds no filter that would tell them apart.
 
     slots, outputs = [], [*grouped] if keys else []
     for i, (name, p) in enumerate(wanted.items()):

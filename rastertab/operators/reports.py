@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rastertab.functions.columns import ratio, unit_hash
 from rastertab.functions.quantiles import exact_quantiles
+from rastertab.functions.state import settle
 from rastertab.functions.ranking import prefix_extreme, spread_rank, value_rank
 from rastertab.operators.metrics import TILE_METRICS
 from rastertab.schema import CLASS_NAMES
@@ -50,7 +51,7 @@ def bootstrap_ci(
     generator, so they are the same on every run and cluster size. Draws are spread over the
     cluster and meet the values by an equi-join on the drawn position.
     """
-    values = long_metrics(tiles, metrics)
+    values = settle(long_metrics(tiles, metrics), "metrics")  # per-tile rows, read four times below
     ranked = spread_rank(values, ["metric"], unit_hash(F.col("tile_id")), ["tile_id"], "pos")
     sizes = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
     draws = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,19 +30,30 @@ def js_round(c) -> Column:
     return F.floor(as_col(c) + F.lit(0.5))
 
 
-def upper_median(values: Column) -> Column:
-    """Element at index n div 2 of the sorted non-NULL values of a small array; NULL when empty."""
-    kept = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
-    return F.when(F.size(kept) > 0, F.element_at(kept, (F.floor(F.size(kept) / 2) + 1).cast("int")))
+def _ordered(values: list[Column]) -> tuple[Column, Column, Column]:
+    """Sorted array (NULL first), number of NULLs and number of values of a few columns."""
+    nulls = F.lit(0)
+    for v in values:
+        nulls = nulls + v.isNull().cast("int")
+    return F.sort_array(F.array(*values)), nulls, F.lit(len(values)) - nulls
 
 
-def middle_median(values: Column) -> Column:
-    """Ordinary median (mean of the two middle values) of a small array; NULL when empty."""
-    kept = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
-    n = F.size(kept)
-    low = F.element_at(kept, (F.floor((n - 1) / 2) + 1).cast("int"))
-    high = F.element_at(kept, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+def with_upper_median(rows: DataFrame, values: list[Column], name: str = "_median") -> DataFrame:
+    """Adds the element at index n div 2 of the sorted non-NULL values of a few columns (NULL if none).
+
+    The sorted array is a column of its own, so that it is computed once and not per reference.
+    """
+    ordered, nulls, _ = _ordered(values)
+    staged = rows.withColumns({"_ordered": ordered, "_nulls": nulls})
+    middle = F.col("_nulls") + F.floor((len(values) - F.col("_nulls")) / 2).cast("int")
+    return staged.withColumn(name, F.get("_ordered", middle)).drop("_ordered", "_nulls")
+
+
+def middle_median(*values: Column) -> Column:
+    """Ordinary median (mean of the two middle values) of a few columns; NULL when there is none."""
+    ordered, nulls, n = _ordered(list(values))
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(ordered, nulls + low) + F.get(ordered, nulls + high)) / 2)
 
 
 def null_if_not_finite(c) -> Column:

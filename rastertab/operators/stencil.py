@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertab.functions.columns import finite, middle_median, popcount_true, upper_median
+from rastertab.functions.columns import finite, middle_median, popcount_true, with_upper_median
 from rastertab.functions.grid import (
     EIGHT, FOUR, attach, core, drop_neighbours, gather, stencil, tile_shape, with_halo,
 )
@@ -145,8 +145,7 @@ def median_filter3(cells: DataFrame) -> DataFrame:
         d: F.coalesce(F.col(f"n_{d}.height"), F.col(f"n_{d[1]}.height"), F.col(f"n_{d[0]}.height"), h)
         for d in ("ul", "ur", "dl", "dr")
     }
-    values = F.array(h, *side.values(), *corner.values())
-    return rows.withColumn("height", middle_median(values)).select(*cells.columns)
+    return rows.withColumn("height", middle_median(h, *side.values(), *corner.values())).select(*cells.columns)
 
 
 def base_height(cells: DataFrame) -> DataFrame:
@@ -167,40 +166,41 @@ def base_height(cells: DataFrame) -> DataFrame:
     return cells.select("tile_id").distinct().join(picked, "tile_id", "left").na.fill(0.0, ["base_height"])
 
 
-def _terrain(rows: DataFrame) -> Column:
-    """After gathering height and class; needs base_height and max_height."""
+def _terrain() -> tuple[list[Column], Column]:
+    """Heights to take the median of, and the new height; needs base_height and max_height."""
     open_land = [
         F.when((F.col(f"n_{d}.class") >= 0) & (F.col(f"n_{d}.class") != BUILDING), F.col(f"n_{d}.height")) for d in EIGHT
     ]
     ceiling = F.col("base_height") + F.greatest(F.col("max_height") * 0.08, F.lit(0.5))
-    return (
-        F.when(F.col("class") == BUILDING, F.coalesce(upper_median(F.array(*open_land)), F.col("base_height")))
+    return open_land, (
+        F.when(F.col("class") == BUILDING, F.coalesce("_median", "base_height"))
         .when(F.col("class").isin(WATER, ROAD), F.col("base_height"))
         .otherwise(F.least(F.col("height"), ceiling))
     )
 
 
-def _same_class(rows: DataFrame) -> Column:
+def _same_class() -> tuple[list[Column], Column]:
     alike = [F.when(F.col(f"n_{d}.class") == F.col("class"), F.col(f"n_{d}.height")) for d in FOUR]
-    return (
+    return [F.col("height"), *alike], (
         F.when(F.col("class") == BUILDING, F.col("height"))
         .when(F.col("class").isin(WATER, ROAD), F.col("base_height"))
-        .otherwise(upper_median(F.array(F.col("height"), *alike)))
+        .otherwise(F.col("_median"))
     )
 
 
-def _green(rows: DataFrame) -> Column:
-    soft = [
-        F.when(~F.col(f"n_{d}.class").isin(BUILDING, ROAD, WATER), F.col(f"n_{d}.height")) for d in EIGHT
-    ]
-    return F.when(
-        F.col("class").isin(LOW_VEGETATION, TREE), upper_median(F.array(F.col("height"), *soft))
+def _green() -> tuple[list[Column], Column]:
+    soft = [F.when(~F.col(f"n_{d}.class").isin(BUILDING, ROAD, WATER), F.col(f"n_{d}.height")) for d in EIGHT]
+    return [F.col("height"), *soft], F.when(
+        F.col("class").isin(LOW_VEGETATION, TREE), F.col("_median")
     ).otherwise(F.col("height"))
 
 
 def _height_pass(blocked: DataFrame, rule, diagonals: bool) -> DataFrame:
-    rows = gather(blocked, ["height", "class"], diagonals)
-    return drop_neighbours(rows.withColumn("height", rule(rows)))
+    """One height pass on blocked cells; the median of a window is computed once per cell."""
+    values, height = rule()
+    kept = blocked.columns
+    rows = drop_neighbours(with_upper_median(gather(blocked, ["height", "class"], diagonals), values))
+    return rows.withColumn("height", height).select(*kept)
 
 
 def terrain_heights(cells: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import finite, ratio
 from rastertab.functions.grid import attach, row_major_rank, tile_shape
 from rastertab.functions.quantiles import exact_quantiles
-from rastertab.schema import BUILDING, CLASS_COUNT, CLASS_NAMES, VOID_CLASS, classes
+from rastertab.schema import BUILDING, CLASS_COUNT, CLASS_NAMES, VOID_CLASS
 
 
 def _legal():
@@ -110,9 +110,9 @@ def class_histogram(cells: DataFrame, by: Sequence[str] = ("split", "tile_id"))
 
 def class_totals(cells: DataFrame) -> DataFrame:
     """(class, n) over all valid pixels with absent classes as 0."""
-    counted = with_validity(cells).where("valid").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    ids = classes(cells.sparkSession).select(F.col("id").alias("class"))
-    return ids.join(counted, "class", "left").na.fill(0, ["n"])
+    counts = [F.count_if(F.col("class") == c).alias(f"c{c}") for c in range(CLASS_COUNT)]
+    rows = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("n")) for c in range(CLASS_COUNT)])
+    return with_validity(cells).where("valid").agg(*counts).select(F.inline(rows))
 
 
 def invalid_pixel_counts(cells: DataFrame, by: Sequence[str] = ("split", "tile_id")) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rastertab.functions.state import settle
-from rastertab.llm import byte_bpe, quality_llr
+from rastertab.llm import byte_bpe, line_templates, ngram_join, positional_index, quality_llr
 from rastertab.llm.common import table
 
 
@@ -17,6 +17,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_llr.keep_good(docs, quality_llr.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents without the lines whose template recurs across them."""
+    return line_templates.drop_template_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts linked by 5-word shingles at a Jaccard similarity of 0.8 or more."""
+    return ngram_join.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without ten consecutive words of a benchmark item (or all words of a shorter one)."""
+    return positional_index.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document left, decoded again and compared with its text."""
     rows = byte_bpe.decode(byte_bpe.encode(docs, keep=("doc_id", "text")))
@@ -26,7 +41,13 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
 
 
-STAGES = [("quality_rules", quality_rules), ("encode_tokens", encode_tokens)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("encode_tokens", encode_tokens),
+]
 ORACLE_SQL = None  # scores, similarity classes and token ids are beyond SQL; tests/llm hold them against brute force
 
 

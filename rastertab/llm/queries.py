@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rastertab.llm import byte_bpe, quality_llr
+from rastertab.llm import byte_bpe, line_templates, ngram_join, positional_index, quality_llr
 from rastertab.llm.common import table
 
 QUERIES: dict = {}
@@ -36,3 +36,23 @@ def op1(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_llr.judge(docs, quality_llr.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_ngram_join")
+def op6(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op9_line_templates")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_template_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op10_positional_index")
+def op10(spark, sf_dir):
+    found = positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )

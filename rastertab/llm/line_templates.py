@@ -23,23 +23,25 @@ MIN_CONSTANT = 0.5  # share of constant tokens that a template needs
 WILD = "<*>"
 
 
+TOKENS = "array_remove(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
+
+
 def line_rows(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, text_hash, line_no, tokens, leaf, around) of every line with at least ``min_tokens`` tokens."""
+    """(doc_id, text_hash, line_no, line, leaf, around) of every line with at least ``min_tokens`` tokens."""
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+        .selectExpr("doc_id", "text_hash", "lines", f"transform(lines, l -> {TOKENS.format('l')}) AS words")
         .selectExpr(
-            "doc_id", "text_hash", "transform(lines, l -> array_remove(split(l, '[\\\\x20\\\\x09-\\\\x0D]+'), '')) AS words"
-        )
-        .selectExpr(
-            "doc_id", "text_hash", "words",
+            "doc_id", "text_hash", "lines", "transform(words, w -> size(w)) AS sizes",
             f"transform(words, w -> regexp_replace(array_join(slice(w, 1, {depth}), ' '), '[0-9]+', '0')) AS heads",
         )
         .selectExpr(
             "doc_id", "text_hash",
-            """inline(transform(words, (w, i) -> named_struct('line_no', i, 'tokens', w, 'leaf',
-                xxhash64(size(w), heads[i]), 'around', xxhash64(get(heads, i - 1), get(heads, i + 1)))))""",
+            """inline(transform(lines, (l, i) -> named_struct('line_no', i, 'line', l, 'n_tokens', sizes[i], 'leaf',
+                xxhash64(sizes[i], heads[i]), 'around', xxhash64(get(heads, i - 1), get(heads, i + 1)))))""",
         )
-        .where(F.size("tokens") >= min_tokens)
+        .where(F.col("n_tokens") >= min_tokens)
+        .drop("n_tokens")
     )
 
 
@@ -66,7 +68,7 @@ def template_lines(
     leaves = recurring(rows.select("doc_id", "text_hash", "line_no", "leaf", "around"), ["leaf"], min_docs)
     inside = settle(rows.join(leaves.select("leaf"), "leaf", "left_semi"), "leaves")
     line = ["doc_id", "text_hash", "line_no", "leaf", "around"]
-    tokens = inside.select(*line, F.posexplode("tokens").alias("at", "token"))
+    tokens = inside.select(*line, F.posexplode(F.expr(TOKENS.format("line"))).alias("at", "token"))
     variable = F.col("token").rlike("[0-9]")
     constants = (
         tokens.where(~variable).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rastertab.functions.state import settle
 from rastertab.llm.common import lists_of, over_texts
-from rastertab.operators.components import contract
+from rastertab.llm.stars import dealt_parts, forest, roots
 
 BLOCK = 1024  # members of a family that one task searches among themselves
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
@@ -134,7 +134,7 @@ def chains(pairs: DataFrame) -> DataFrame:
             edges.append(np.unique(np.stack([doc[:-1][same], doc[1:][same]]), axis=1))
         if first is None:
             return
-        a, b = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
+        a, b = forest(*np.concatenate(edges, axis=1)) if edges else np.zeros((2, 0), np.int64)
         ends = np.array([first, last])
         yield pa.RecordBatch.from_arrays(
             [
@@ -144,8 +144,7 @@ def chains(pairs: DataFrame) -> DataFrame:
             ["a", "b", "sig"],
         )
 
-    spark = pairs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = dealt_parts(pairs)
     dealt = pairs.select("sig", "doc_id").repartitionByRange(n, "sig", "doc_id").sortWithinPartitions("sig", "doc_id")
     found = settle(dealt.mapInArrow(run, "a bigint, b bigint, sig bigint"), "chains")
     ends = found.where("sig IS NOT NULL").select("sig", "a")  # two rows per partition: signatures cut by its bounds
@@ -236,12 +235,6 @@ def family_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that is not its own root; root is the least id of its class."""
-    found = contract(edges, [])
-    return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-
-
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: class of near-duplicate texts by exact Jaccard similarity.
 
@@ -256,7 +249,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
     copies = settle(some.join(reps, ["fp_a", "fp_b"]).select("doc_id", "rep").distinct(), "copies")
     edges = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     near = chains(marks.select(F.explode("sigs").alias("sig"), "doc_id"))
-    families = _roots(near.union(edges))
+    families = roots(near.union(edges))
     heads = copies.where("doc_id = rep").select("doc_id").distinct()
     member = heads.join(families, heads.doc_id == families.node, "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("family")
@@ -273,10 +266,10 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
         .select("family", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "doc_id", "text")
     )
     links = settle(family_links(spread, size, percent), "links")
-    roots = _roots(links.union(edges))
+    rooted = roots(links.union(edges))
     nameless = _sizes(docs.where("doc_id IS NULL"), size).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     kept = marks.select("doc_id", "n").union(nameless).withColumnRenamed("n", "n_shingles")
-    return kept.join(roots, kept.doc_id == roots.node, "left").select(
+    return kept.join(rooted, kept.doc_id == rooted.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rastertab.llm import byte_bpe, line_templates, ngram_join, positional_index, quality_llr
+from rastertab.llm import byte_bpe, line_templates, ngram_join, positional_index, quality_llr, token_files
 from rastertab.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,9 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    rows = token_files.token_files(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

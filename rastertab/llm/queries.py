@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rastertab.llm import byte_bpe, line_templates, ngram_join, positional_index, quality_llr, token_files
+from rastertab.llm import (
+    byte_bpe, cross_parsing, line_templates, ngram_join, ordinal_quality, positional_index, quality_llr, secret_cnn,
+    token_counts, token_files,
+)
 from rastertab.llm.common import table
 
 QUERIES: dict = {}
@@ -62,3 +65,42 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     rows = token_files.token_files(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_cross_parsing")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = cross_parsing.fit(docs.where("doc_id IS NOT NULL").where(~held_out))
+    found = cross_parsing.languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_ordinal_quality")
+def op7(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    # graded ratings: 0 toxic, 1 poor, 2 good
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.fit(docs, labels.select("doc_id", grade.alias("grade")))
+    return ordinal_quality.grade(docs, model).select(
+        "doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), F.get("tails", F.lit(1)).alias("p_good"), "kept"
+    )
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    found = token_counts.section_tokens(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_tokens", F.size("begins").cast("bigint").alias("n_sections"), "n_crossing",
+        F.array_max("tokens").cast("bigint").alias("most_in_section"), "tokens",
+    )
+
+
+@query("op3_secret_cnn")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secret_cnn.scan(docs, secret_cnn.fit(docs))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )

@@ -261,7 +261,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
         "members",
     )
     spread = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(member, "doc_id")
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(member.hint("merge"), "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("family", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "doc_id", "text")
     )

@@ -1,17 +1,18 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
-A file holds blocks of documents in ascending doc_id order. Ids are replaced by their rank in the corpus frequency
-order, so frequent ids take one byte. A block's ranks are cut into quads: a control byte holds the four byte counts
+A file holds documents in ascending doc_id order. Ids are replaced by their rank in the corpus frequency order, so
+frequent ids take one byte. A document's ranks are cut into quads: a control byte holds the four byte counts
 (less one) of two bits each, the data bytes follow in a stream of their own. Decoding looks the lengths and shifts of
 all control bytes up in numpy tables and never loops over ids.
 
 Files are written by Spark's writer, one Parquet file per range of doc_ids, so a lost executor leaves no torn file and
-any store that Spark reaches will do; columns ``control`` and ``data`` are the two streams of a block.
+any store that Spark reaches will do; columns ``control`` and ``data`` are the two streams of a document.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,15 +21,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from rastertab.functions.state import new_path, settle
+from rastertab.functions.state import new_path
 from rastertab.llm.common import over_texts
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-BLOCK_IDS = 1 << 20  # a block is closed once it holds so many ids
-KNOWN = 400_000  # chunks a worker remembers; a bound on memory only
+KEY = ("doc_id", "text_hash")
+KNOWN = 500_000  # chunks a worker remembers; a bound on memory only
 COMBINING = re.compile("[̀-ͯ]")
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four numbers of a control byte
@@ -57,35 +58,71 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out[:count]
 
 
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # lower-case Latin-1 letters in UTF-8
+NOT_LATIN = re.compile("[^\x00-\xff]")
+
+
 class Chunks(dict):
     """Packed ids of chunks between blanks, encoded by the library when first met.
 
-    Blanks end a word for the tokenizer, so a text's ids are those of its chunks in turn. A comma or full stop after an
-    ASCII letter is a word of its own there too, which saves most of the repeated spellings.
+    Blanks end a word for the tokenizer, so a text's ids are those of its chunks in turn. Chunks of lower-case letters
+    are single words that normalising leaves alone; all new ones of a piece are encoded in a few calls, without
+    normalising, and cut where a token ends a word. A comma or full stop after letters is a word of its own.
     """
 
     def __init__(self, name: str):
-        self.tokenizer = Tokenizer.from_file(name if "/" in name else tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
+        file = name if "/" in name else tokenizer_path(name)
+        self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk[-1:] in (b",", b".") and chunk[-2:-1].isalpha():
-            made = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-            made = np.array(ids, "<u4").tobytes()
-        if len(self) > KNOWN:
-            self.clear()
+        made = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
         self[chunk] = made
         return made
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        raw = text.encode()
-        if not COMBINING.search(text):  # then lowering A-Z before the library does changes nothing
-            raw = raw.lower()
-        return b"".join(map(self.__getitem__, raw.split()))
+    def learn(self, new: set[bytes]) -> None:
+        words, ended = [], []
+        for c in new:
+            if LETTERS.fullmatch(c):
+                words.append(c)
+            elif c[-1:] in (b",", b".") and LETTERS.fullmatch(c, 0, len(c) - 1):
+                ended.append(c)
+        words = list({c[:-1] for c in ended}.union(words) - self.keys())
+        if self.ends.any():
+            lines = [words[i : i + 500] for i in range(0, len(words), 500)]
+            made = self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+            for line, e in zip(lines, made):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(line):
+                    flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                    self.update(zip(line, [flat[a:b] for a, b in zip(at, at[1:])]))
+        for c in ended:
+            self[c] = self[c[:-1]] + self[c[-1:]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed uint32 ids of each text; None and "" have none."""
+        split = []
+        for text in texts:
+            text = text or ""
+            if not NOT_LATIN.search(text):  # lowering first changes nothing in the result
+                split.append(text.lower().encode().split())
+            else:
+                raw = text.encode()
+                split.append((raw if COMBINING.search(text) else raw.lower()).split())
+        if len(self) > KNOWN:
+            self.clear()
+        self.learn(set().union(*split) - self.keys())
+        get = self.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +141,7 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None = END
         known = chunks(tokenizer)
 
         def step(texts):
-            packed = [known.encode(t) + tail for t in texts]
+            packed = [p + tail for p in known.encode(texts)]
             return [[len(p) // 4 for p in packed], packed]
 
         return step
@@ -133,49 +170,46 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     return ids[np.lexsort((ids, -n))]
 
 
-FILE = "shard int, start bigint, doc_ids array<bigint>, counts array<bigint>, control binary, data binary"
+FILE = "shard int, start bigint, doc_id bigint, n bigint, control binary, data binary"
 
 
 def write_files(tokens: DataFrame, path: str, ranks: np.ndarray) -> None:
     """Write ``tokens`` in ascending doc_id order (NULL first, equal ids by their text) as token files at ``path``.
 
-    The id of each rank is part of ``path``/ranks, so the files can be read without anything else.
+    Documents are coded before they are dealt out by ranges of doc_id, so the exchange moves the coded streams; a file
+    holds one range, and each document its start in the file. The id of each rank is part of ``path``/ranks, so the
+    files can be read without anything else.
     """
     spark = tokens.sparkSession
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks] = np.arange(len(ranks))
     shared = spark.sparkContext.broadcast(rank_of)  # vocabulary size
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        shard, begin, ids, counts, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+    def code(batches):
+        for batch in batches:
+            made = [pack(shared.value[np.frombuffer(v.as_buffer(), "<u4")]) for v in batch.column(3)]
+            control, data = (pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], control, data], ["doc_id", "text_hash", "n", "control", "data"])
 
-        def closed():
-            values = shared.value[np.frombuffer(b"".join(parts), "<u4")]
-            control, data = pack(values)
-            one = [[shard], [begin], [ids], [counts], [control], [data]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, types)], names)
+    def place(batches):
+        from pyspark import TaskContext
 
+        shard, upto = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for doc, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids.append(doc)
-                counts.append(n)
-                parts.append(value.as_py())
-                held += n
-                if held >= BLOCK_IDS:
-                    yield closed()
-                    begin += held
-                    ids, counts, parts, held = [], [], [], 0
-        if ids:
-            yield closed()
+            ends = upto + np.cumsum(batch.column(1).to_numpy())
+            starts = pa.array(ends - batch.column(1).to_numpy())
+            upto = int(ends[-1]) if len(ends) else upto
+            shards = pa.array(np.full(len(ends), shard, np.int32))
+            yield pa.RecordBatch.from_arrays([shards, starts, *batch.columns], names)
 
     names = T.StructType.fromDDL(FILE).names
-    types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    coded = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_hash", "n", "ids").mapInArrow(
+        code, "doc_id bigint, text_hash bigint, n bigint, control binary, data binary"
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n", "ids", "text_hash").repartitionByRange(n, "doc_id", "text_hash")
-    order.sortWithinPartitions("doc_id", "text_hash").select("doc_id", "n", "ids").mapInArrow(run, FILE).write.option(
-        "compression", "none"
+    order = coded.repartitionByRange(n, *KEY)
+    order.sortWithinPartitions(*KEY).select("doc_id", "n", "control", "data").mapInArrow(place, FILE).write.option(
+        "compression", "zstd"
     ).parquet(f"{path}/files")
     spark.createDataFrame([(ranks.tolist(),)], "ids array<bigint>").write.parquet(f"{path}/ranks")
 
@@ -183,29 +217,30 @@ def write_files(tokens: DataFrame, path: str, ranks: np.ndarray) -> None:
 def read_files(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; start counts the ids of all before it.
 
-    A block knows its start in its file; only the files' id totals are added up across files.
+    A document knows its start in its file; only the files' id totals are added up across files.
     """
     files = spark.read.schema(FILE).parquet(f"{path}/files")
-    ranks = np.array(spark.read.parquet(f"{path}/ranks").first().ids, np.uint32)
+    ranks = np.array(spark.read.parquet(f"{path}/ranks").first().ids, "<u4")
     shared = spark.sparkContext.broadcast(ranks)
-    end = F.aggregate("counts", F.col("start"), lambda a, c: a + c)
-    totals = files.groupBy("shard").agg(F.max(end).alias("n")).orderBy("shard").collect()  # one row per file
-    upto = np.concatenate(([0], np.cumsum([r.n for r in totals], dtype=np.int64)))
+    totals = files.groupBy("shard").agg(F.max(F.col("start") + F.col("n")).alias("n")).orderBy("shard").collect()
+    upto = np.concatenate(([0], np.cumsum([r.n for r in totals], dtype=np.int64)))  # one number per file
     first = spark.sparkContext.broadcast({r.shard: int(n) for r, n in zip(totals, upto)})
 
     def run(batches):
         for batch in batches:
-            for shard, start, docs, counts, control, data in zip(*(c.to_pylist() for c in batch.columns)):
-                start += first.value[shard]
-                values = shared.value[unpack(control, data, sum(counts))]
-                ends = np.cumsum(counts)
+            for at in range(0, batch.num_rows, 256):
+                shard, start, doc, n, control, data = batch.slice(at, 256).columns
+                counts = n.to_numpy()
+                quads = -(-counts // 4) * 4  # numbers coded, the filling included
+                values = unpack(b"".join(control.to_pylist()), b"".join(data.to_pylist()), int(quads.sum()))
+                begins = np.cumsum(quads) - quads
+                ids = shared.value[values].tobytes()
+                begin = np.array([first.value[s] for s in shard.to_pylist()], np.int64)
+                parts = [ids[4 * b : 4 * (b + c)] for b, c in zip(begins.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(docs, pa.int64()), pa.array(start + ends - counts), pa.array(counts, pa.int64()),
-                        pa.array([values[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts)], pa.binary()),
-                    ],
+                    [doc, pa.array(start.to_numpy() + begin), n, pa.array(parts, pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],
-                )
+                )
 
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
@@ -215,10 +250,12 @@ def token_files(docs: DataFrame, path: str | None = None, tokenizer: str = TOKEN
 
     Without a path the files go to the shared checkpoint folder. NULL and empty texts are documents with the end id
     alone; a NULL doc_id comes first; rows with equal ids follow each other by the hash of their text, and repeated
-    rows all stay. No rows make files without blocks. Other columns are left out.
+    rows all stay. No rows make files without documents. Other columns are left out.
     """
-    path = path or new_path(docs.sparkSession, "token-files")
-    tokens = settle(token_ids(docs, tokenizer, end), "tokens")
+    spark = docs.sparkSession
+    path = path or new_path(spark, "token-files")
+    held, found = f"{path}/ids", token_ids(docs, tokenizer, end)
+    found.write.option("compression", "zstd").parquet(held)
+    tokens = spark.read.schema(found.schema).parquet(held)
     write_files(tokens, path, frequency_ranks(tokens))
-    return read_files(docs.sparkSession, path)
-
+    return read_files(spark, path)

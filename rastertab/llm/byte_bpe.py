@@ -128,7 +128,7 @@ class MergeReplay:
         split = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
-        self.learn(set().union(*split) - self.known.keys())
+        self.learn({w for w in set().union(*split) if w not in self.known})
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

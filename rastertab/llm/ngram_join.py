@@ -28,6 +28,7 @@ from rastertab.llm.stars import dealt_parts, forest, roots
 
 BLOCK = 1024  # members of a family that one task searches among themselves
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
+SKETCH = 18  # 2^18 counters tell the shingles of frequent passages in families that are too large
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MU = 0.01  # DivideSkip's weight of a probe against a merge step
 
@@ -68,18 +69,23 @@ class Signer:
             top = max(top * 100 / percent, top + 1)
         self.tops = np.array(tops)  # band i holds sizes above tops[i - 1], up to tops[i]
 
-    def parts(self, label: int) -> tuple[int, int]:
+    def parts(self, label: int, thinned: bool = False) -> tuple[int, int]:
         top = int(self.tops[label])
         differ = 2 * top * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // 25
+        spare = 2 + differ // (6 if thinned else 25)  # sets without their frequent shingles leave more parts empty
         return differ + 1 + spare, spare
 
-    def sign(self, hashes: np.ndarray) -> np.ndarray:
+    def sign(self, hashes: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+        """Signatures of a set. With ``frequent`` (a flag per hash bucket) the shingles it flags make up one part of
+        their own, never signed, and the others are cut as before: one agreeing part more is certain, so linked sets
+        still share a signature, but no longer on the strength of frequent passages."""
         if not len(hashes):
             return np.zeros(0, np.int64)
         band, out = int(np.searchsorted(self.tops, len(hashes))), []
+        if frequent is not None:
+            hashes = hashes[~frequent[sketch_buckets(hashes)]]
         for label in (band, band + 1):
-            parts, spare = self.parts(label)
+            parts, spare = self.parts(label, frequent is not None)
             bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
             ends = np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes ^ ODD), dtype=np.uint64)))
@@ -90,6 +96,30 @@ class Signer:
         return np.concatenate(out).astype(np.int64)
 
 
+def sketch_buckets(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes + ODD) >> np.uint64(64 - SKETCH)).astype(np.int64)
+
+
+def frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
+    """Flags of the hash buckets that clearly more of ``docs`` fall into than the average: those of passages that many
+    documents share. Which ones are flagged decides about cost only."""
+
+    def run(batches):
+        total = np.zeros(1 << SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                total += np.bincount(sketch_buckets(shingle_set(text.as_py(), size)), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    total = np.zeros(1 << SKETCH)
+    for r in rows.collect():  # 2^SKETCH rows at most
+        total[r.bucket] = r.n
+    usual = np.median(total)
+    return total > usual + np.maximum(20, 6 * np.sqrt(usual))
+
+
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, fp_a, fp_b, sigs): set size, fingerprint and, for the first of equal sets in a task, signatures."""
 
@@ -235,6 +265,35 @@ def family_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def sizes(member: DataFrame) -> DataFrame:
+    return member.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+
+
+def split_families(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, family) of the documents of ``large`` (doc_id, whole), signed anew without their frequent passages.
+
+    Families grow too large where passages that many documents share make up whole parts of otherwise different
+    texts. Linked documents stay together in the families found here, too.
+    """
+    texts = settle(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(large.hint("merge"), "doc_id"), "large"
+    )
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(texts, size)))  # 2^SKETCH bits
+
+    def start():
+        signer, frequent = Signer(percent), np.unpackbits(flags.value).astype(bool)
+        return lambda texts: [
+            (lambda s: lists_of(np.concatenate([np.zeros(0, np.int64), *s]), [len(x) for x in s], pa.int64()))(
+                [signer.sign(shingle_set(t, size), frequent) for t in texts]
+            )
+        ]
+
+    marks = over_texts(texts, start, "sigs array<bigint>")
+    found = roots(chains(marks.select(F.explode("sigs").alias("sig"), "doc_id")))
+    ids = large.select("doc_id").distinct()
+    return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("family"))
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: class of near-duplicate texts by exact Jaccard similarity.
 
@@ -254,9 +313,16 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
     member = heads.join(families, heads.doc_id == families.node, "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("family")
     )
-    blocks = member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    member = settle(member.join(sizes(member).where("m > 1"), "family"), "families")
+    large = member.where(F.col("m") > block)
+    if not large.isEmpty():
+        again = split_families(docs, large.select("doc_id", F.col("family").alias("whole")), size, percent)
+        kept = member.where(F.col("m") <= block).select("doc_id", "family")
+        member = kept.union(again)
+    member = member.select("doc_id", "family")
+    blocks = sizes(member).where("m > 1").select("family", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     member = settle(
-        member.join(blocks.where("m > 1"), "family")
+        member.join(blocks, "family")
         .select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")),
         "members",
     )

@@ -88,14 +88,14 @@ class Chunks(dict):
         self[chunk] = made
         return made
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         words, ended = [], []
         for c in new:
             if LETTERS.fullmatch(c):
                 words.append(c)
             elif c[-1:] in (b",", b".") and LETTERS.fullmatch(c, 0, len(c) - 1):
                 ended.append(c)
-        words = list({c[:-1] for c in ended}.union(words) - self.keys())
+        words = [c for c in {c[:-1] for c in ended}.union(words) if c not in self]
         if self.ends.any():
             lines = [words[i : i + 500] for i in range(0, len(words), 500)]
             made = self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
@@ -120,7 +120,7 @@ class Chunks(dict):
                 split.append((raw if COMBINING.search(text) else raw.lower()).split())
         if len(self) > KNOWN:
             self.clear()
-        self.learn(set().union(*split) - self.keys())
+        self.learn([c for c in set().union(*split) if c not in self])
         get = self.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

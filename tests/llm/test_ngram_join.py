@@ -70,6 +70,9 @@ def test_linked_sets_share_a_signature():
                 both = len(np.intersect1d(x, y))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     assert set(signer.sign(x)) & set(signer.sign(y))
+                    for share in (0.1, 0.6, 1.0):
+                        flags = rng.random(1 << j.SKETCH) < share
+                        assert set(signer.sign(x, flags)) & set(signer.sign(y, flags))
 
 
 def test_divide_skip_finds_what_a_double_loop_finds():

@@ -48,7 +48,7 @@ def exact_quantiles(
     """One row per group with one exact quantile column per entry of ``wanted``.
 
     A number p in 0..1 gives the linearly interpolated quantile, ``"upper"`` the element at index
-    n div 2 of the sorted values. NULL values and NULL keys are ignored; groups without a value are
+    n div 2 of the sorted values. NULL, NaN and infinite values and NULL keys are ignored; groups without a value are
     absent.
     """
     value = F.col(value) if isinstance(value, str) else value
@@ -58,7 +58,7 @@ def exact_quantiles(
 
     values = (
         source.select(*plain, value.cast("double").alias("_v"))
-        .where(" AND ".join(f"{k} IS NOT NULL" for k in (*grouped, "_v")))
+        .where(" AND ".join([*(f"{k} IS NOT NULL" for k in grouped), "abs(_v) < double('infinity')"]))
         .groupBy(*plain, "_v")
         .agg(F.count(F.lit(1)).alias("n"))
         .selectExpr("*", f"coalesce({bucket_sql('_v')}, 0L) AS _b")

@@ -13,8 +13,7 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        set_dir = context._jsc.sc().getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else None
+        named = context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("iterative operators need spark.checkpoint.dir on a cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertab.functions.columns import finite, ratio
-from rastertab.functions.grid import attach, row_major_rank, tile_shape
+from rastertab.functions.grid import attach, tile_shape
 from rastertab.functions.quantiles import exact_quantiles
 from rastertab.schema import BUILDING, CLASS_COUNT, CLASS_NAMES, VOID_CLASS
 
@@ -80,24 +80,10 @@ def height_stats(cells: DataFrame, by: Sequence[str] = ("tile_id",)) -> DataFram
     return base.join(exact_quantiles(cells, list(by), h, _named(STAT_PERCENTILES)), list(by), "left")
 
 
-def split_height_sample(cells: DataFrame, limit: int = 4096) -> DataFrame:
-    """Bounded sample per tile: every max(1, n div limit)-th finite pixel in row-major order, first ``limit``."""
-    usable = cells.where(finite("height"))
-    ranked = row_major_rank(usable, "_pos")
-    sizes = usable.groupBy("tile_id").agg(F.count(F.lit(1)).alias("_n"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / limit))
-    index = F.col("_pos") - 1
-    kept = attach(ranked, sizes, how="inner").where(
-        (index % stride == 0) & (F.floor(index / stride) < limit)
-    )
-    return kept.drop("_pos", "_n")
-
-
-def split_height_percentiles(cells: DataFrame, by: Sequence[str] = ("split",), limit: int = 4096) -> DataFrame:
-    """Percentiles of the bounded sample per split."""
-    return exact_quantiles(
-        split_height_sample(cells, limit), list(by), "height", _named(SPLIT_PERCENTILES), count_name="sampled"
-    )
+def split_height_percentiles(cells: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
+    """Exact percentiles of all finite heights per split; the source material takes a strided sample per tile."""
+    h = F.when(finite("height"), F.col("height"))
+    return exact_quantiles(cells, list(by), h, _named(SPLIT_PERCENTILES), count_name="sampled")
 
 
 def class_histogram(cells: DataFrame, by: Sequence[str] = ("split", "tile_id")) -> DataFrame:
@@ -182,7 +168,7 @@ def audit_splits(cells: DataFrame, samples: DataFrame) -> DataFrame:
 
     ``samples`` is the output of :func:`audit_samples`.
     """
-    sampled = height_stats(split_height_sample(cells), ["split"])
+    sampled = height_stats(cells, ["split"])
     names = list(_named(STAT_PERCENTILES))
     sums = [F.sum(F.coalesce(F.col("class_counts")[str(c)], F.lit(0))).alias(f"c{c}") for c in range(CLASS_COUNT)]
     totals = samples.groupBy("split").agg(
@@ -194,7 +180,7 @@ def audit_splits(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return totals.join(sampled, "split", "left").select(
         "split", "sample_count",
         F.struct("finite_count", "min", "max", percentiles.alias("percentiles")).alias("height_stats"),
-        F.lit(True).alias("height_percentiles_are_sampled"),
+        F.lit(False).alias("height_percentiles_are_sampled"),
         _count_map().alias("class_counts"),
         "valid_pixel_count", "invalid_pixel_count",
         (F.col(f"c{BUILDING}") / F.greatest("valid_pixel_count", F.lit(1))).alias("building_pixel_fraction"),
@@ -238,8 +224,8 @@ def class_weights(histogram: DataFrame, rule: str = "balanced") -> DataFrame:
 
 
 def height_scale(cells: DataFrame, p: float = 99.5, split: str = "train") -> DataFrame:
-    """max(1, p-th percentile) of the bounded training sample; one row."""
-    sample = split_height_sample(cells.where(F.col("split") == split)).withColumn("_k", F.lit(0))
+    """max(1, p-th percentile) of all finite training heights; one row."""
+    sample = cells.where((F.col("split") == split) & finite("height")).withColumn("_k", F.lit(0))
     return exact_quantiles(sample, ["_k"], "height", {"_p": p / 100.0}).select(
         F.greatest(F.lit(1.0), F.col("_p")).alias("height_scale")
     )

@@ -212,7 +212,7 @@ def height_boundary(cells: DataFrame, reference: str = "height", values: Sequenc
         "tile_id", F.greatest(F.col("_p"), F.lit(0.75)).alias("threshold")
     )
     rows = attach(cells, limits)
-    return with_boundaries(rows, {f"edge_{v}": F.col(v) >= F.col("threshold") for v in values})
+    return with_boundaries(rows, {f"edge_{v}": finite(v) & (F.col(v) >= F.col("threshold")) for v in values})
 
 
 def height_boundary_f1(pred: DataFrame) -> DataFrame:

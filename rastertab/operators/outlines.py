@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import finite, python_round
 from rastertab.functions.grid import attach, stencil
 from rastertab.functions.state import settle
-from rastertab.operators.components import BLOCK, CODE, MAX_ROUNDS, edge_pieces
+from rastertab.operators.components import BLOCK, CODE, edge_pieces
 
 TOLERANCE = 1e-9
 
@@ -254,7 +254,7 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
     )
     conflicts = settle(conflicts.distinct(), "conflicts")
     dropped = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round resolves the best ring of each chain at least
         left = conflicts.count()
         if left == 0:
             break
@@ -270,8 +270,6 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
             ),
             "conflicts",
         )
-    else:
-        raise RuntimeError(f"hole conflicts did not settle in {MAX_ROUNDS} rounds")
     return candidates if dropped is None else candidates.join(dropped, [*keys, "ring"], "left_anti")
 
 

@@ -21,8 +21,9 @@ CELL = ["tile_id", "row", "col"]
 
 def threshold_mask(cells: DataFrame) -> DataFrame:
     """Cells of the height fallback mask: h >= max(p72 of h above max(min, 0.001), 0.2 max h, 0.75)."""
-    limits = cells.groupBy("tile_id").agg(F.min("height").alias("_min"), F.max("height").alias("_max"))
-    rows = attach(cells, limits)
+    usable = cells.where(finite("height"))
+    limits = usable.groupBy("tile_id").agg(F.min("height").alias("_min"), F.max("height").alias("_max"))
+    rows = attach(usable, limits)
     raised = rows.where(F.col("height") > F.greatest(F.col("_min"), F.lit(1e-3)))
     p72 = exact_quantiles(raised, ["tile_id"], "height", {"_p72": 0.72})
     cut = F.greatest(F.col("_p72"), F.col("_max") * 0.2, F.lit(0.75))
@@ -291,9 +292,10 @@ def buildings(
 def threshold_regions(cells: DataFrame, min_area: int = 8, block: int = BLOCK) -> DataFrame:
     """Simple regions of h >= max(0.62 max h, 1): area >= 8, mean height floored at 0.18 max h, boxes."""
     tops = cells.groupBy("tile_id").agg(
-        F.max("height").alias("_max"), (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols")
+        F.max(F.when(finite("height"), F.col("height"))).alias("_max"),
+        (F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"),
     )
-    raised = attach(cells, tops).where(F.col("height") >= F.greatest(F.col("_max") * 0.62, F.lit(1.0)))
+    raised = attach(cells, tops).where(finite("height")).where(F.col("height") >= F.greatest(F.col("_max") * 0.62, F.lit(1.0)))
     labelled = components(raised, block).join(cells.select(*CELL, "height"), CELL)
     sums = labelled.groupBy(*COMP).agg(
         F.count(F.lit(1)).alias("area"), F.avg("height").alias("_mean"),
@@ -386,20 +388,21 @@ def scene_quality(cells: DataFrame, table: DataFrame, min_grid: int = 128) -> Da
     )
 
 
-def instance_points(cells: DataFrame, class_id: int = TREE, cap: int = MAX_INSTANCES, exaggeration: float = 1.0) -> DataFrame:
-    """Strided points of one class with deterministic jitter and scale, the first ``cap`` per tile.
+def instance_points(cells: DataFrame, class_id: int = TREE, budget: int = MAX_INSTANCES, exaggeration: float = 1.0) -> DataFrame:
+    """Strided points of one class with deterministic jitter and scale, numbered by ``seq`` in row-major order.
 
-    The stride is ceil(sqrt(count / cap)); the cap is the drawing budget of the viewer.
+    The stride is ceil(sqrt(count / budget)). All points on it are returned; a viewer that draws ``budget`` of them
+    filters by ``seq``. Scales ignore heights that are not finite.
     """
     scalars = cells.groupBy("tile_id").agg(
-        F.count_if(F.col("class") == class_id).alias("_n"), F.max("height").alias("_max"),
+        F.count_if(F.col("class") == class_id).alias("_n"), F.max(F.when(finite("height"), F.col("height"))).alias("_max"),
         (F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"),
     )
-    stride = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_n") / cap)))
+    stride = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_n") / budget)))
     on_grid = attach(cells.where(F.col("class") == class_id), scalars, how="inner").where(
         (F.col("row") % stride == 0) & (F.col("col") % stride == 0)
     )
-    kept = row_major_rank(on_grid, "seq").where(F.col("seq") <= cap)
+    kept = row_major_rank(on_grid, "seq")
     jitter = ((F.col("row") * 17 + F.col("col") * 31) % 9 - 4) / 12.0
     scale = 3.6 / F.greatest(F.col("_max"), F.lit(1.0)) * exaggeration
     return kept.select(

@@ -42,24 +42,25 @@ def _window(name: str) -> Column:
 
 
 def majority_filter(cells: DataFrame, min_votes: int = 6) -> DataFrame:
-    """Replace a class by the one with at least ``min_votes`` of its 3 x 3 window.
+    """Replace a class by the most frequent one of its 3 x 3 window, if it has at least ``min_votes``.
 
-    Cells whose boundary confidence is >= 0.65 stay. With more than half of nine votes required, the
-    only candidate is the middle of the sorted window.
+    Of equally frequent classes the smallest counts. Cells whose boundary confidence is >= 0.65 stay.
     """
-    if min_votes < 5:
-        raise ValueError("min_votes must be a majority of the nine-cell window")
     rows = stencil(cells, ["class"])
     votes = F.sort_array(F.filter(_window("class"), lambda c: c.isNotNull()))
     rows = rows.withColumn("_votes", votes)
-    rows = rows.withColumn("_top", F.element_at("_votes", (F.floor(F.size("_votes") / 2) + 1).cast("int")))
-    count = F.size(F.filter("_votes", lambda c: c == F.col("_top")))
+    ranked = F.transform(
+        F.array_distinct("_votes"),
+        lambda c: F.struct(F.size(F.filter("_votes", lambda v: v == c)).alias("n"), (-c).alias("neg"), c.alias("c")),
+    )
+    rows = rows.withColumn("_best", F.array_max(ranked)).withColumn("_top", F.col("_best.c"))
+    count = F.col("_best.n")
     free = F.lit(True)
     if "boundary" in cells.columns:
         free = ~F.coalesce(F.nanvl("boundary", F.lit(0.0)) >= PROTECTED_BOUNDARY, F.lit(False))
     changed = free & (count >= min_votes)
     out = rows.withColumn("class", F.when(changed, F.col("_top")).otherwise(F.col("class")))
-    return drop_neighbours(out).drop("_votes", "_top").select(*cells.columns)
+    return drop_neighbours(out).drop("_votes", "_best", "_top").select(*cells.columns)
 
 
 def _smooth_pass(blocked: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def slope_degrees(cells: DataFrame, exaggeration: float = 1.0, cell_size: tuple[
     extra = {} if "valid" in cells.columns else {"valid": F.lit(True)}
     rows = stencil(cells.withColumns(extra), ["height", "valid"], diagonals=False)
     scalars = cells.groupBy("tile_id").agg(
-        F.max("height").alias("_max"), (F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols")
+        F.max(F.when(finite("height"), F.col("height"))).alias("_max"),
+        (F.max("row") + 1).alias("_rows"), (F.max("col") + 1).alias("_cols"),
     )
     rows = attach(rows, scalars)
 
@@ -123,11 +125,13 @@ def slope_degrees(cells: DataFrame, exaggeration: float = 1.0, cell_size: tuple[
 
 def _relief(rows: DataFrame) -> Column:
     steps = [F.abs(F.col("height") - F.col(f"n_{d}.height")) for d in FOUR]
+    steps = [F.when(finite(s), s) for s in steps]
     return F.least(F.lit(1.0), F.coalesce(F.greatest(*steps), F.lit(0.0)) / F.greatest(F.col("_range"), F.lit(1.0)))
 
 
 def height_span(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("tile_id").agg((F.max("height") - F.min("height")).alias("_range"))
+    h = F.when(finite("height"), F.col("height"))
+    return cells.groupBy("tile_id").agg((F.max(h) - F.min(h)).alias("_range"))
 
 
 def local_relief(cells: DataFrame) -> DataFrame:

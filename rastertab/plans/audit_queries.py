@@ -56,14 +56,12 @@ def au06(spark, sf_dir):
     return rounded(audit.height_stats(fx.cells_dirty(spark, sf_dir)))
 
 
-_SAMPLE = f"""s0 AS (SELECT tile_id, split, "row", col, height AS h, row_number() OVER (PARTITION BY tile_id ORDER BY "row", col)-1 AS i,
- greatest(1, count(*) OVER (PARTITION BY tile_id)//100) AS st FROM cells_dirty WHERE {_FIN}),
-s AS (SELECT * FROM s0 WHERE i % st = 0 AND i // st < 100)"""
+_SAMPLE = f"""s AS (SELECT split, height AS h FROM cells_dirty WHERE {_FIN})"""
 
 
 @query("au07_split_height_sample", f"WITH {_SAMPLE} SELECT split, {_QS}, count(*) AS sampled FROM s GROUP BY split")
 def au07(spark, sf_dir):
-    return rounded(audit.split_height_percentiles(fx.cells_dirty(spark, sf_dir), limit=100))
+    return rounded(audit.split_height_percentiles(fx.cells_dirty(spark, sf_dir), ))
 
 
 @query("au08_class_histogram", """
@@ -101,8 +99,7 @@ def au11(spark, sf_dir):
 
 
 @query("au11_audit_splits", f"""
-WITH s0 AS (SELECT split, tile_id, height AS h, row_number() OVER (PARTITION BY tile_id ORDER BY "row", col)-1 AS i, greatest(1, count(*) OVER (PARTITION BY tile_id)//4096) AS st FROM cells_dirty WHERE {_FIN}),
-q AS (SELECT split, round(quantile_cont(h,0.5),6) AS p50 FROM s0 WHERE i % st = 0 AND i // st < 4096 GROUP BY split),
+WITH q AS (SELECT split, round(quantile_cont(height,0.5),6) AS p50 FROM cells_dirty WHERE {_FIN} GROUP BY split),
 t AS (SELECT split, count(DISTINCT tile_id) AS sample_count, count(*) FILTER (valid AND class=3) AS buildings, count(*) FILTER (valid) AS valid_pixel_count, count(*) FILTER (NOT valid) AS invalid_pixel_count FROM dirty_ok GROUP BY split)
 SELECT split, sample_count, p50, buildings, valid_pixel_count, invalid_pixel_count, round(buildings::DOUBLE/valid_pixel_count,6) AS building_pixel_fraction FROM t JOIN q USING (split)""")
 def au11_splits(spark, sf_dir):
@@ -134,28 +131,31 @@ def au12b(spark, sf_dir):
 
 
 @query("au13_height_scale", f"""
-WITH s0 AS (SELECT height AS h, row_number() OVER (PARTITION BY tile_id ORDER BY "row", col)-1 AS i, greatest(1, count(*) OVER (PARTITION BY tile_id)//4096) AS st FROM cells_dirty WHERE {_FIN} AND split='val')
-SELECT round(greatest(1, quantile_cont(h,0.995)),6) AS height_scale FROM s0 WHERE i % st = 0 AND i // st < 4096""")
+SELECT round(greatest(1, quantile_cont(height,0.995)),6) AS height_scale FROM cells_dirty WHERE {_FIN} AND split='val'""")
 def au13(spark, sf_dir):
     return rounded(audit.height_scale(fx.cells_dirty(spark, sf_dir), split="val"))
 
 
-_CLASS_BANDS = "SELECT tile_id, \"row\", col, CASE WHEN tile_id%2=0 THEN class ELSE class%5*40 END AS r, CASE WHEN tile_id%2=0 THEN class ELSE class%5*50 END AS g, CASE WHEN tile_id%2=0 THEN class ELSE class%5*10 END AS b FROM cells"
+_CLASS_BANDS = "SELECT tile_id, \"row\", col, CASE WHEN tile_id%2=0 THEN class ELSE class%5*40 END AS r, CASE WHEN tile_id%2=0 THEN class ELSE class%5*50+class//6 END AS g, CASE WHEN tile_id%2=0 THEN class ELSE class%5*10 END AS b FROM cells"
 
 
 def _class_bands(spark, sf_dir):
     c, even = fx.cells(spark, sf_dir), F.col("tile_id") % 2 == 0
-    shade = [F.when(even, F.col("class")).otherwise(F.col("class") % 5 * m).cast("int") for m in (40, 50, 10)]
+    odd = F.floor(F.col("class") / 6)  # class 6 gets a colour that no palette row has
+    shade = [
+        F.when(even, F.col("class")).otherwise(F.col("class") % 5 * m + (odd if m == 50 else 0)).cast("int")
+        for m in (40, 50, 10)
+    ]
     return c.select("tile_id", "row", "col", F.posexplode(F.array(*shade)).alias("band", "value"))
 
 
 @query("au14_decode_palette", f"""
-WITH p AS (SELECT CAST(r_regionkey*40 AS INT) AS r, CAST(r_regionkey*50 AS INT) AS g, CAST(r_regionkey*10 AS INT) AS b, r_regionkey AS class FROM region WHERE r_regionkey < 4),
+WITH p AS (SELECT CAST(r_regionkey*40 AS INT) AS r, CAST(r_regionkey*50 AS INT) AS g, CAST(r_regionkey*10 AS INT) AS b, r_regionkey AS class FROM region),
 x AS ({_CLASS_BANDS}), q AS (SELECT tile_id, bool_and(r=g AND g=b) AS grey FROM x GROUP BY tile_id)
 SELECT x.tile_id, x."row", x.col, CASE WHEN grey THEN x.r ELSE coalesce(p.class,-1) END AS class FROM x JOIN q USING (tile_id) LEFT JOIN p ON p.r=x.r AND p.g=x.g AND p.b=x.b""")
 def au14(spark, sf_dir):
     key = F.col("r_regionkey")
-    palette = fx.table(spark, sf_dir, "region").where(key < 4).select(
+    palette = fx.table(spark, sf_dir, "region").select(
         (key * 40).cast("int").alias("r"), (key * 50).cast("int").alias("g"), (key * 10).cast("int").alias("b"), key.alias("class")
     )
     return audit.decode_palette(_class_bands(spark, sf_dir), palette)

@@ -31,13 +31,13 @@ def sr3(spark, sf_dir):
     return io.explode_grid(fx.grid8(spark, sf_dir), 8)
 
 
-@query("sr4_pack_grid", """SELECT tile_id, 0 AS chunk, array_to_string(list(printf('%.3f', value + 0.0) ORDER BY "row", col), ' ') AS packed FROM
-(SELECT tile_id, "row", col, CAST(round(value, 2) AS DOUBLE) AS value FROM (SELECT tile_id, "row", col, height AS value FROM cells)) GROUP BY tile_id""")
+@query("sr4_pack_grid", """SELECT tile_id, CAST("row"//8*8 AS INT) AS first_row, array_to_string(list(printf('%.3f', value + 0.0) ORDER BY "row", col), ' ') AS packed FROM
+(SELECT tile_id, "row", col, CAST(round(value, 2) AS DOUBLE) AS value FROM (SELECT tile_id, "row", col, height AS value FROM cells)) GROUP BY tile_id, "row"//8*8""")
 def sr4(spark, sf_dir):
     g = fx.cells(spark, sf_dir).select("tile_id", "row", "col", F.round("height", 2).alias("value"))
-    packed = io.pack_grid(g)
+    packed = io.pack_grid(g, band_rows=8)
     texts = F.transform(F.filter("values", lambda v: v.isNotNull()), lambda v: F.format_string("%.3f", v))
-    return packed.select("tile_id", "chunk", F.array_join(texts, " ").alias("packed"))
+    return packed.select("tile_id", "first_row", F.array_join(texts, " ").alias("packed"))
 
 
 def _samples_json(spark, sf_dir):

@@ -91,17 +91,17 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven class scores on a 3 x 3 grid per embedding vector."""
+    """Seven class scores on a 3 x 3 grid per embedding vector; its last value is a bias of the last class."""
     return (
         table(spark, sf_dir, "embeddings")
-        .select(F.col("vec_id").alias("tile_id"), F.posexplode("embedding").alias("pos", "v"))
+        .select(F.col("vec_id").alias("tile_id"), F.get("embedding", F.lit(63)).alias("bias"), F.posexplode("embedding").alias("pos", "v"))
         .where(F.col("pos") < 63)
         .select(
             "tile_id",
             F.floor((F.col("pos") % 9) / 3).cast("int").alias("row"),
             (F.col("pos") % 3).cast("int").alias("col"),
             F.floor(F.col("pos") / 9).cast("int").alias("class"),
-            F.col("v").cast("double").alias("logit"),
+            (F.col("v").cast("double") + F.when(F.col("pos") >= 54, F.col("bias").cast("double")).otherwise(0.0)).alias("logit"),
         )
     )
 

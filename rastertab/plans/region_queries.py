@@ -342,11 +342,11 @@ def rg21(spark, sf_dir):
 
 
 @query("rg22_instance_points", f"""
-WITH {_SH}, n AS (SELECT tile_id, greatest(1, ceil(sqrt(count(*) FILTER (class=6)/20.0)))::INT AS st, max(height) AS mx FROM cells GROUP BY tile_id),
+WITH {_SH}, n AS (SELECT tile_id, greatest(1, ceil(sqrt(count(*) FILTER (class=6)/512.0)))::INT AS st, max(height) AS mx FROM cells GROUP BY tile_id),
 k AS (SELECT c.*, rs, cs, mx, row_number() OVER (PARTITION BY tile_id ORDER BY "row", col) AS seq, (("row"*17+col*31)%9-4)/12.0 AS j FROM cells c JOIN n USING (tile_id) JOIN sh USING (tile_id) WHERE class=6 AND "row"%st=0 AND col%st=0)
-SELECT tile_id, "row", col, seq, round(((col+0.5+j)/cs-0.5)*15,6) AS x, round(height*3.6/greatest(mx,1)+0.03,6) AS y, round((("row"+0.5-j)/rs-0.5)*11,6) AS z, round(0.84+(("row"*13+col*7)%5)*0.08,6) AS scale FROM k WHERE seq<=20""")
+SELECT tile_id, "row", col, seq, round(((col+0.5+j)/cs-0.5)*15,6) AS x, round(height*3.6/greatest(mx,1)+0.03,6) AS y, round((("row"+0.5-j)/rs-0.5)*11,6) AS z, round(0.84+(("row"*13+col*7)%5)*0.08,6) AS scale FROM k""")
 def rg22(spark, sf_dir):
-    return rounded(regions.instance_points(fx.cells(spark, sf_dir), cap=20))
+    return rounded(regions.instance_points(fx.cells(spark, sf_dir)))
 
 
 _SCALED = f"""b AS ({base_sql('cells')}), x AS (SELECT tile_id, "row", col, height, class, base, mx FROM cells JOIN b USING (tile_id))"""

@@ -44,7 +44,7 @@ VIEWS = {
         min(path) FILTER (kind = 'classes') AS classes FROM files GROUP BY split, key, city
         HAVING count(*) FILTER (kind = 'images') = 1 AND count(*) FILTER (kind = 'heights') = 1 AND count(*) FILTER (kind = 'classes') = 1""",
     "logits": """SELECT vec_id AS tile_id, CAST((p % 9) // 3 AS INT) AS "row", CAST(p % 3 AS INT) AS col, CAST(p // 9 AS INT) AS class,
-        CAST(embedding[p + 1] AS DOUBLE) AS logit FROM embeddings, (SELECT unnest(range(63)) AS p)""",
+        CAST(embedding[p + 1] AS DOUBLE) + CASE WHEN p >= 54 THEN CAST(embedding[64] AS DOUBLE) ELSE 0 END AS logit FROM embeddings, (SELECT unnest(range(63)) AS p)""",
     "grid8": """SELECT vec_id AS tile_id, CAST(p // 8 AS INT) AS "row", CAST(p % 8 AS INT) AS col, CAST(embedding[p + 1] AS DOUBLE) AS value
         FROM embeddings, (SELECT unnest(range(64)) AS p)""",
     "off8": """SELECT dr, dc FROM (SELECT unnest([-1,0,1]) AS dr), (SELECT unnest([-1,0,1]) AS dc) WHERE dr <> 0 OR dc <> 0""",

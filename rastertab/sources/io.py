@@ -64,26 +64,24 @@ def explode_grid(df: DataFrame, grid_size: int | None = None, values: str = "val
     )
 
 
-def pack_grid(cells: DataFrame, value: str = "value", digits: int = 3, chunk_cells: int = 65536) -> DataFrame:
-    """Cells back to row-major arrays rounded to ``digits`` decimals: (tile_id, chunk, values).
+def pack_grid(cells: DataFrame, value: str = "value", digits: int = 3, band_rows: int = 64) -> DataFrame:
+    """Cells back to row-major arrays rounded to ``digits`` decimals: (tile_id, first_row, values).
 
-    A scene grid of up to 256 x 256 is one chunk 0; a larger tile continues in chunks 1, 2, … of
-    ``chunk_cells`` values each, so no array grows with the tile. Missing cells are NULL.
+    Every tile, whatever its size, comes in bands of ``band_rows`` rows (the last may have fewer), so no array grows
+    with the number of rows. Missing cells are NULL.
     """
     placed = attach(cells, tile_shape(cells), how="inner").withColumn(
-        "_at", F.col("row").cast("bigint") * F.col("cols") + F.col("col")
+        "first_row", (F.floor(F.col("row") / band_rows) * band_rows).cast("int")
     )
     entry = F.struct(
-        (F.col("_at") % chunk_cells).cast("int").alias("at"), F.round(F.col(value), digits).alias("v")
+        ((F.col("row") - F.col("first_row")) * F.col("cols") + F.col("col")).cast("int").alias("at"), F.round(F.col(value), digits).alias("v")
     )
-    grouped = placed.groupBy("tile_id", F.floor(F.col("_at") / chunk_cells).alias("chunk"), "rows", "cols").agg(
+    grouped = placed.groupBy("tile_id", "first_row", "rows", "cols").agg(
         F.map_from_entries(F.collect_list(entry)).alias("_m")
     )
-    length = F.least(
-        F.lit(chunk_cells), F.col("rows").cast("bigint") * F.col("cols") - F.col("chunk") * chunk_cells
-    ).cast("int")
+    length = (F.least(F.lit(band_rows), F.col("rows") - F.col("first_row")) * F.col("cols")).cast("int")
     return grouped.select(
-        "tile_id", "chunk",
+        "tile_id", "first_row",
         F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.try_element_at(F.col("_m"), i)).alias("values"),
     )
 

@@ -27,7 +27,7 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
     r0, c0 = r - r.min(), c - c.min()
     layer = np.full((r0.max() + 1, c0.max() + 1), -1, dtype=np.int64)
-    layer[r0, c0] = pdf["layer"].to_numpy()
+    layer[r0, c0] = np.unique(pdf["layer"].to_numpy(), return_inverse=True)[1]  # so that -1 means no cell
     label = np.zeros(layer.shape, dtype=np.int64)
     label[r0, c0] = r.astype(np.int64) * CODE + c
     axes = []

@@ -20,7 +20,6 @@ from rastertab.operators.stencil import _relief, height_span
 from rastertab.schema import BUILDING, CLASS_COUNT, ROAD, WATER
 
 BLOCK = 64
-MAX_ROUNDS = 10_000
 TIE = 1e-9
 
 # Weights of the route profiles, hazard limits and rates.
@@ -213,7 +212,7 @@ def search(
         "route_id", "tile_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"),
         F.lit(0.0).alias("reach"), F.lit(None).cast("double").alias("via"),
     )
-    for _ in range(MAX_ROUNDS):
+    while True:
         met = arrivals.groupBy(*keys).agg(F.min("reach").alias("reach"), F.min("via").alias("via"))
         active = arrivals.select(
             "route_id", "tile_id", _block_of("row", block).alias("bi"), _block_of("col", block).alias("bj")
@@ -274,7 +273,6 @@ def search(
         )
         if arrivals.isEmpty():
             return state
-    raise RuntimeError(f"route search did not settle in {MAX_ROUNDS} rounds")
 
 
 def shortest_distance(requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -324,7 +322,7 @@ def trace(requests: DataFrame, state: DataFrame, block: int = BLOCK) -> DataFram
     )
     heads = requests.select("route_id", F.col("dest_row").alias("h_row"), F.col("dest_col").alias("h_col"), F.lit(0).alias("back"))
     path = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         placed = heads.withColumn("bi", F.floor(F.col("h_row") / block)).withColumn("bj", F.floor(F.col("h_col") / block))
         walked = settle(
             steps.join(placed, ["route_id", "bi", "bj"]).groupBy("route_id", "bi", "bj").applyInPandas(
@@ -342,8 +340,6 @@ def trace(requests: DataFrame, state: DataFrame, block: int = BLOCK) -> DataFram
         )
         if heads.isEmpty():
             break
-    else:
-        raise RuntimeError(f"a path crosses more than {MAX_ROUNDS} blocks")
     length = path.groupBy("route_id").agg(F.max("back").alias("_last"))
     return path.join(length, "route_id").select(
         "route_id", (F.col("_last") - F.col("back")).alias("seq"), "row", "col"

@@ -141,12 +141,12 @@ def test_pack_and_explode_are_inverse_in_chunks(spark):
 
 def test_training_log_lines(spark):
     lines = [
-        ("440.4s 35 Epoch 01/15 | Train Loss: 4.0287 | Val RMSE: 6.570m | MAE: 4.238m | Pearson R: 0.687 | LR: 1.70e-05",),
-        ("440.4s 36 -> Best model saved",),
+        ("12.5s 7 Epoch 03/40 | Train Loss: 0.9125 | Val RMSE: 2.250m | MAE: 1.125m | Pearson R: 0.955 | LR: 3.25e-04",),
+        ("12.6s 8 -> Best model saved",),
     ]
     (r,) = io.parse_training_log(spark.createDataFrame(lines, "value string")).collect()
     assert (r["epoch"], r["epochs"], r["train_loss"], r["rmse"], r["mae"], r["correlation"], r["lr"], r["elapsed_sec"]) == (
-        1, 15, 4.0287, 6.57, 4.238, 0.687, 1.7e-05, 440.4,
+        3, 40, 0.9125, 2.25, 1.125, 0.955, 3.25e-04, 12.5,
     )
 
 

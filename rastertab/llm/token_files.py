@@ -12,6 +12,7 @@ any store that Spark reaches will do; columns ``control`` and ``data`` are the t
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from functools import lru_cache
 
@@ -39,11 +40,14 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) streams of unsigned 32-bit numbers; the last quad is filled with zeros."""
     v = np.zeros(-(-len(values) // 4) * 4, np.uint32)
     v[: len(values)] = values
-    length = 1 + (v >= 1 << 8).astype(np.int64) + (v >= 1 << 16) + (v >= 1 << 24)
-    codes = (length - 1).reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < length[:, None]].tobytes()
+    width = 2 if v.max(initial=0) < 1 << 16 else 4
+    codes = (v >= 1 << 8).view(np.uint8)
+    if width > 2:
+        codes = codes + (v >= 1 << 16) + (v >= 1 << 24)
+    quads = codes.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    raw = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control.tobytes(), raw[np.arange(width) <= codes[:, None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -58,7 +62,8 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out[:count]
 
 
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # lower-case Latin-1 letters in UTF-8
+LETTERS = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++")  # lower-case Latin-1 letters in UTF-8
+MARKS = string.punctuation.encode()
 NOT_LATIN = re.compile("[^\x00-\xff]")
 
 
@@ -67,7 +72,8 @@ class Chunks(dict):
 
     Blanks end a word for the tokenizer, so a text's ids are those of its chunks in turn. Chunks of lower-case letters
     are single words that normalising leaves alone; all new ones of a piece are encoded in a few calls, without
-    normalising, and cut where a token ends a word. A comma or full stop after letters is a word of its own.
+    normalising, and cut where a token ends a word. ASCII marks after letters are a word of their own. A chunk met for
+    the first time stands in its texts as an empty buffer that ``learn`` fills, so each word is looked up once.
     """
 
     def __init__(self, name: str):
@@ -82,47 +88,78 @@ class Chunks(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
+        self.cut = bool(self.ends.any())
+        self.new: list[bytes] = []
+        self.buffers: list[bytearray] = []
+
+    def __missing__(self, chunk: bytes) -> bytearray:
+        made = self[chunk] = bytearray()
+        self.new.append(chunk)
+        self.buffers.append(made)
+        return made
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        made = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-        self[chunk] = made
+    def known(self, chunk: bytes) -> bytes:
+        """Packed ids of one chunk, by the library unless they are known."""
+        made = self.get(chunk)
+        if type(made) is not bytes:
+            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+            made = self[chunk] = array("I", ids).tobytes()
         return made
 
-    def learn(self, new: list[bytes]) -> None:
-        words, ended = [], []
-        for c in new:
-            if LETTERS.fullmatch(c):
-                words.append(c)
-            elif c[-1:] in (b",", b".") and LETTERS.fullmatch(c, 0, len(c) - 1):
-                ended.append(c)
-        words = [c for c in {c[:-1] for c in ended}.union(words) if c not in self]
-        if self.ends.any():
-            lines = [words[i : i + 500] for i in range(0, len(words), 500)]
-            made = self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
-            for line, e in zip(lines, made):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(line):
-                    flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                    self.update(zip(line, [flat[a:b] for a, b in zip(at, at[1:])]))
-        for c in ended:
-            self[c] = self[c[:-1]] + self[c[-1:]]
+    def learn(self) -> None:
+        """Fill the buffers of all chunks met since the last call."""
+        words, slots, ended, match = [], [], [], LETTERS.fullmatch
+        for chunk, buffer in zip(*self.taken()):
+            head = chunk.rstrip(MARKS)
+            if not match(head) or not self.cut:
+                buffer[:] = self.known(chunk)
+            elif len(head) == len(chunk):
+                words.append(chunk)
+                slots.append(buffer)
+            else:
+                self[head]  # a word of its own to learn, unless known
+                ended.append((chunk, head, buffer))
+        for all_of, more in zip((words, slots), self.taken()):
+            all_of += more
+        lines = [words[i : i + 500] for i in range(0, len(words), 500)]
+        made = self.plain.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)
+        slot = iter(slots)
+        for line, e in zip(lines, made):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(line):
+                flat, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                parts = [flat[a:b] for a, b in zip(at, at[1:])]
+                self.update(zip(line, parts))
+            else:
+                parts = [self.known(word) for word in line]
+            for part in parts:
+                next(slot)[:] = part
+        marks = {c: self.known(c) for c in {chunk[len(head) :] for chunk, head, _ in ended}}
+        for chunk, head, buffer in ended:
+            buffer[:] = self[chunk] = self[head] + marks[chunk[len(head) :]]
+
+    def taken(self) -> tuple[list[bytes], list[bytearray]]:
+        """Chunks met since the last call and their buffers."""
+        met = self.new, self.buffers
+        self.new, self.buffers = [], []
+        return met
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed uint32 ids of each text; None and "" have none."""
-        split = []
+        if len(self) > KNOWN:
+            self.clear()
+        get, found = self.__getitem__, []
         for text in texts:
             text = text or ""
-            if not NOT_LATIN.search(text):  # lowering first changes nothing in the result
-                split.append(text.lower().encode().split())
+            if text.isascii() or not NOT_LATIN.search(text):  # lowering first changes nothing in the result
+                raw = text.lower().encode()
             else:
                 raw = text.encode()
-                split.append((raw if COMBINING.search(text) else raw.lower()).split())
-        if len(self) > KNOWN:
-            self.clear()
-        self.learn([c for c in set().union(*split) if c not in self])
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                raw = raw if COMBINING.search(text) else raw.lower()
+            found.append(list(map(get, raw.split())))
+        self.learn()
+        return [b"".join(parts) for parts in found]
 
 
 @lru_cache(maxsize=2)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import string
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -207,26 +208,42 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
     return ids[np.lexsort((ids, -n))]
 
 
+def order_of(doc_id: int | None, text_hash: int) -> tuple[bool, int, int]:
+    """A document's place in the files: NULL first, equal ids by their text."""
+    return doc_id is not None, doc_id or 0, text_hash
+
+
+def range_ends(keys: DataFrame, n: int) -> list[tuple[bool, int, int]]:
+    """The last key of each of up to ``n`` even ranges of ``keys``, ascending; only keys are exchanged."""
+    last = keys.repartitionByRange(n, *KEY).groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct(*KEY)).alias("last"))
+    return sorted(order_of(*row.last) for row in last.collect())
+
+
 FILE = "shard int, start bigint, doc_id bigint, n bigint, control binary, data binary"
 
 
 def write_files(tokens: DataFrame, path: str, ranks: np.ndarray) -> None:
     """Write ``tokens`` in ascending doc_id order (NULL first, equal ids by their text) as token files at ``path``.
 
-    Documents are coded before they are dealt out by ranges of doc_id, so the exchange moves the coded streams; a file
-    holds one range, and each document its start in the file. The id of each rank is part of ``path``/ranks, so the
-    files can be read without anything else.
+    Documents are coded before they are dealt out by ranges of doc_id, so the exchange moves the coded streams; the
+    ranges come from the keys alone, so nothing is coded twice. A file holds one range, and each document its start in
+    the file. The id of each rank is part of ``path``/ranks, so the files can be read without anything else.
     """
     spark = tokens.sparkSession
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks] = np.arange(len(ranks))
     shared = spark.sparkContext.broadcast(rank_of)  # vocabulary size
+    tokens = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_hash", "n", "ids")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lasts = spark.sparkContext.broadcast(range_ends(tokens.select(*KEY), n)[:-1])  # one key per file
 
     def code(batches):
         for batch in batches:
             made = [pack(shared.value[np.frombuffer(v.as_buffer(), "<u4")]) for v in batch.column(3)]
             control, data = (pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], control, data], ["doc_id", "text_hash", "n", "control", "data"])
+            keys = zip(*(column.to_pylist() for column in batch.columns[:2]))
+            shards = pa.array([bisect_left(lasts.value, order_of(*key)) for key in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([shards, *batch.columns[:3], control, data], ["shard", *names[2:3], "text_hash", *names[3:]])
 
     def place(batches):
         from pyspark import TaskContext
@@ -240,11 +257,8 @@ def write_files(tokens: DataFrame, path: str, ranks: np.ndarray) -> None:
             yield pa.RecordBatch.from_arrays([shards, starts, *batch.columns], names)
 
     names = T.StructType.fromDDL(FILE).names
-    coded = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_hash", "n", "ids").mapInArrow(
-        code, "doc_id bigint, text_hash bigint, n bigint, control binary, data binary"
-    )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = coded.repartitionByRange(n, *KEY)
+    coded = tokens.mapInArrow(code, "shard int, doc_id bigint, text_hash bigint, n bigint, control binary, data binary")
+    order = coded.repartitionById(n, "shard")
     order.sortWithinPartitions(*KEY).select("doc_id", "n", "control", "data").mapInArrow(place, FILE).write.option(
         "compression", "zstd"
     ).parquet(f"{path}/files")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertab.functions.columns import finite, ratio
@@ -86,10 +86,16 @@ def split_height_percentiles(cells: DataFrame, by: Sequence[str] = ("split",)) -
     return exact_quantiles(cells, list(by), h, _named(SPLIT_PERCENTILES), count_name="sampled")
 
 
+def _rolled_up(cells: DataFrame, by: Sequence[str], counts: Sequence[Column]) -> DataFrame:
+    """Rollup of ``counts`` by ``by``: pixels are counted per group first, only those counts are rolled up."""
+    fine = cells.groupBy(*by).agg(*counts)
+    return fine.rollup(*by).agg(*[F.sum(c).alias(c) for c in fine.columns[len(by):]])
+
+
 def class_histogram(cells: DataFrame, by: Sequence[str] = ("split", "tile_id")) -> DataFrame:
     """Valid pixels per class, per tile, per split and in total (rollup); absent classes count 0."""
     counts = [F.count_if(F.col("class") == c).alias(f"c{c}") for c in range(CLASS_COUNT)]
-    rolled = with_validity(cells).where("valid").rollup(*by).agg(*counts)
+    rolled = _rolled_up(with_validity(cells).where("valid"), by, counts)
     rows = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"c{c}").alias("pixels")) for c in range(CLASS_COUNT)])
     return rolled.select(*by, F.inline(rows))
 
@@ -104,21 +110,23 @@ def class_totals(cells: DataFrame) -> DataFrame:
 def invalid_pixel_counts(cells: DataFrame, by: Sequence[str] = ("split", "tile_id")) -> DataFrame:
     """Non-finite, illegal, void and total invalid pixels per tile and per split (rollup)."""
     void = F.col("class") == VOID_CLASS
-    return with_validity(cells).rollup(*by).agg(
+    counts = [
         F.count_if(~finite("height")).alias("height_nonfinite"),
         F.count_if(~_legal() & ~F.coalesce(void, F.lit(False))).alias("class_illegal"),
         F.count_if(void).alias("void"),
         F.count_if(~F.col("valid")).alias("total_invalid"),
         F.count_if("valid").alias("valid_pixels"),
-    )
+    ]
+    return _rolled_up(with_validity(cells), by, counts)
 
 
 def building_fraction(cells: DataFrame, by: Sequence[str] = ("split", "tile_id")) -> DataFrame:
     """Valid building pixels over max(valid pixels, 1), per tile and per split."""
-    sums = with_validity(cells).rollup(*by).agg(
+    counts = [
         F.count_if(F.col("valid") & (F.col("class") == BUILDING)).alias("building"),
         F.count_if("valid").alias("valid_pixels"),
-    )
+    ]
+    sums = _rolled_up(with_validity(cells), by, counts)
     return sums.withColumn("fraction", F.col("building") / F.greatest(F.col("valid_pixels"), F.lit(1)))
 
 

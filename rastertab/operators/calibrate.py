@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import finite, js_round
 from rastertab.functions.grid import attach, tile_shape
 from rastertab.functions.quantiles import exact_quantiles
+from rastertab.functions.state import settle
 from rastertab.operators.stencil import slope_degrees
 from rastertab.schema import GROUND
 
@@ -137,9 +138,10 @@ def calibration_status(scenes: DataFrame, cells: DataFrame) -> DataFrame:
     report (status, method, confidence, residual, count, accuracy) the row carries baseline and the
     plane a, b, c that :func:`apply_dsm` needs.
     """
-    gcps = explode_gcps(scenes)
-    matched = match_gcps(gcps, cells)
-    fit = fit_ground_plane(matched)
+    # control points and everything per tile are small beside the cells; each is written once and read where needed
+    gcps = settle(explode_gcps(scenes), "gcps")
+    matched = settle(match_gcps(gcps, cells), "matched")
+    fit = settle(fit_ground_plane(matched), "plane")
     points = gcps.groupBy("tile_id").agg(
         F.count("seq").alias("n_points"), F.count("problem").alias("n_problems")
     )
@@ -151,7 +153,7 @@ def calibration_status(scenes: DataFrame, cells: DataFrame) -> DataFrame:
         "tile_id", F.col("residual").alias("f_res"), F.col("baseline").alias("f_base"), F.col("scale").alias("f_scale")
     )
     joined = scenes.select("tile_id", "calibrate", "crs", "ground_elevation", "provenance")
-    for part in (ground_evidence(cells), points, placed, fit.drop("points"), plane, flat):
+    for part in (settle(ground_evidence(cells), "evidence"), points, placed, fit.drop("points"), settle(plane, "residuals"), settle(flat, "flat")):
         joined = joined.join(part, "tile_id", "left")
     n = F.coalesce("n_points", F.lit(0))
     ground = F.coalesce("ground_pixels", F.lit(0))

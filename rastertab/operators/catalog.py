@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import as_col, unit_hash
 from rastertab.functions.grid import attach
 from rastertab.functions.ranking import spread_rank
+from rastertab.functions.state import settle
 
 # Suffixes that mark the modality of a file.
 PAIR_SUFFIXES = (
@@ -120,6 +121,7 @@ def stratified_sample(samples: DataFrame, targets: DataFrame, seed: int = 7, cit
     ``targets`` is (split, target). **Departure**: the order comes from a hash of (seed, key), not
     from a shuffled generator, so the choice is stable under any partitioning.
     """
+    samples = settle(samples, "samples")  # read four times below
     per_city = samples.groupBy("split", city).agg(F.count(F.lit(1)).alias("_n"))
     totals = samples.groupBy("split").agg(F.count(F.lit(1)).alias("_total"))
     shares = per_city.join(totals, "split").join(targets, "split").withColumn(
@@ -133,7 +135,7 @@ def stratified_sample(samples: DataFrame, targets: DataFrame, seed: int = 7, cit
         bounded, ["split", city], unit_hash(seed, F.col("key")), ["key"], "_rank", limit=F.col("_share")
     )
     capped = spread_rank(
-        chosen, ["split"], unit_hash(seed + 1, F.col("key")), ["key"], "_order", limit=F.col("target")
+        settle(chosen, "chosen"), ["split"], unit_hash(seed + 1, F.col("key")), ["key"], "_order", limit=F.col("target")
     )
     return capped.drop("_rank", "_share", "_order", "target")
 

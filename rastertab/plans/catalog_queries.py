@@ -20,10 +20,17 @@ def sr1(spark, sf_dir):
     return io.scan_cells(spark, path)
 
 
-@query("sr2_list_files", """SELECT unnest(['region','nation','customer','supplier','part','orders','lineitem','events','documents',
-'embeddings','pages','benchmark','labels','conversations']) AS name""")
+@query("sr2_list_files", "SELECT DISTINCT kind, split, city FROM files")
 def sr2(spark, sf_dir):
-    return io.list_files(spark, sf_dir).select(catalog.file_stem("path").alias("name"))
+    """Folders of a <kind>/<split>/<city>/ tree that Spark writes from the catalogue."""
+    root = new_path(spark, "tree")
+    fx.files(spark, sf_dir).write.partitionBy("kind", "split", "city").parquet(root)
+
+    def value(part, name):
+        return F.regexp_extract(part, f"^{name}=([^/]*)", 1).alias(name)
+
+    found = io.list_files(spark, root)
+    return found.select(value("kind", "kind"), value("split", "split"), value("relative_path", "city")).distinct()
 
 
 @query("sr3_explode_grid", 'SELECT tile_id, "row", col, value FROM grid8')

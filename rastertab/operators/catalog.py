@@ -144,14 +144,18 @@ def _validation_groups(samples: DataFrame, validation: Sequence[str] | None) ->
     spark = samples.sparkSession
     if validation:
         return spark.createDataFrame([(g,) for g in validation], "group string")
-    groups = samples.select("group").distinct()
-    # Groups are places (cities, folders); only their distinct names are ordered here.
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("group").desc())
+    # ranges of names are sorted on their own; only the ranges' sizes are accumulated
+    down = F.col("group").desc()
+    groups = samples.select("group").distinct().repartitionByRange(down).withColumn("_part", F.spark_partition_id())
+    groups = settle(groups, "groups")
     everything = Window.partitionBy(F.lit(0))
-    held = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(everything) / 5))
-    return groups.withColumn("_place", F.row_number().over(order)).withColumn("_held", held).where(
-        F.col("_place") <= F.col("_held")
-    ).select("group")
+    before = everything.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = groups.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.greatest(F.lit(1), F.floor(F.sum("_n").over(everything) / 5)).alias("_held"),
+    )
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(down)) + F.col("_off")
+    return groups.join(sizes, "_part").withColumn("_place", place).where("_place <= _held").select("group")
 
 
 def split_by_group(samples: DataFrame, validation: Sequence[str] | None = None) -> DataFrame:

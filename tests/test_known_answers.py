@@ -182,3 +182,24 @@ def test_photometric_is_deterministic_and_bounded(spark):
     one, two = (tiles.photometric(b, 3).orderBy(*key).collect() for b in (bands, bands.repartition(5)))
     assert [r["value"] for r in one] == [r["value"] for r in two]
     assert all(0 <= r["value"] <= 255 for r in one)
+
+
+def test_last_fifth_of_many_groups_is_held_out(spark):
+    names = [f"g{i:04d}" for i in range(503)] + [None]
+    samples = spark.createDataFrame([(g, k) for g in names for k in range(2)], "`group` string, key int")
+    roles = catalog.split_by_group(samples).groupBy("group", "role").count().collect()
+    assert all(r["count"] == 2 for r in roles) and len(roles) == len(names)
+    assert sorted(r.group for r in roles if r.role == "validation") == names[403:503]
+    assert catalog.split_by_group(samples.limit(0)).count() == 0
+
+
+def test_rolled_up_counts(spark):
+    rows = [("a", 1, 0, 0, 1.0, 3), ("a", 1, 0, 1, None, 3), ("a", 2, 0, 0, 2.0, 255), (None, 3, 0, 0, 2.0, 3)]
+    cells = spark.createDataFrame(rows, "split string, tile_id bigint, row int, col int, height double, class int")
+    got = sorted(map(tuple, audit.building_fraction(cells).collect()), key=str)
+    want = [
+        ("a", 1, 1, 1, 1.0), ("a", 2, 0, 0, 0.0), ("a", None, 1, 1, 1.0), (None, 3, 1, 1, 1.0), (None, None, 1, 1, 1.0),
+        (None, None, 2, 2, 1.0),
+    ]
+    assert got == sorted(want, key=str)
+    assert audit.building_fraction(cells.limit(0)).count() == 0

@@ -4,9 +4,10 @@ A line descends by its token count and its leading tokens (digits generalised) t
 recurs at its position stays a constant, any other becomes ``<*>``; lines with the same outcome share a template.
 Templates that recur across documents are dropped wherever they stand.
 
-Copies of whole documents also repeat their lines, but among the same neighbours. A template therefore counts once
-for each distinct pair of neighbouring line heads, and recurs only if at least half of its documents bring a pair of
-their own: boilerplate is dropped, copies are left to near-duplicate detection.
+Copies of whole documents also repeat their lines, so a template counts the groups of documents it stands in: equal
+texts are one document, and texts that share most of their lines with others are one group. A line is known again by
+its leading tokens, a long one also by others at its ends. Boilerplate of any length goes, copies are left to
+near-duplicate detection.
 """
 
 from __future__ import annotations
@@ -18,56 +19,83 @@ from rastertab.functions.state import settle
 
 DEPTH = 3  # leading tokens that the tree looks at
 MIN_TOKENS = 4  # shorter lines are no templates
-MIN_DOCS = 5  # contexts in which a template recurs
+MIN_DOCS = 5  # groups of documents in which a template recurs
+MOSTLY = 2 / 3  # share of a text's lines that other texts have too, from which it belongs to a group
 MIN_CONSTANT = 0.5  # share of constant tokens that a template needs
 WILD = "<*>"
+LONG = 16  # tokens of a line from which a copy may well differ in its leading ones
 
 
 TOKENS = "array_remove(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
 
 
 def line_rows(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, leaf, around) of every line with at least ``min_tokens`` tokens."""
+    """(text_hash, line_no, line, leaf, anchors) of every line with at least ``min_tokens`` tokens.
+
+    Anchors are the leading ``depth`` tokens, in lines of ``LONG`` tokens also the next, the last and those before.
+    """
+    run = f"IF(size(w) >= {{}}, regexp_replace(array_join(slice(w, {{}}, {depth}), ' '), '[0-9]+', '0'), NULL)"
+    runs = ", ".join(run.format(*x) for x in ((0, 1), (LONG, depth + 1), (LONG, -depth), (LONG, -2 * depth)))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
-        .selectExpr("doc_id", "text_hash", "lines", f"transform(lines, l -> {TOKENS.format('l')}) AS words")
+        docs.select(F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+        .selectExpr("text_hash", "lines", f"transform(lines, l -> {TOKENS.format('l')}) AS words")
+        .selectExpr("text_hash", "lines", "transform(words, w -> size(w)) AS sizes",
+                    f"transform(words, w -> IF(size(w) >= {min_tokens}, array({runs}), NULL)) AS runs")
         .selectExpr(
-            "doc_id", "text_hash", "lines", "transform(words, w -> size(w)) AS sizes",
-            f"transform(words, w -> regexp_replace(array_join(slice(w, 1, {depth}), ' '), '[0-9]+', '0')) AS heads",
+            "text_hash",
+            """inline(filter(transform(lines, (l, i) -> named_struct('line_no', i, 'line', l,
+                'leaf', xxhash64(sizes[i], runs[i][0]),
+                'anchors', transform(filter(runs[i], r -> r IS NOT NULL), r -> xxhash64(r)))),
+                x -> x.anchors IS NOT NULL))""",
         )
-        .selectExpr(
-            "doc_id", "text_hash",
-            """inline(transform(lines, (l, i) -> named_struct('line_no', i, 'line', l, 'n_tokens', sizes[i], 'leaf',
-                xxhash64(sizes[i], heads[i]), 'around', xxhash64(get(heads, i - 1), get(heads, i + 1)))))""",
-        )
-        .where(F.col("n_tokens") >= min_tokens)
-        .drop("n_tokens")
     )
 
 
-def recurring(rows: DataFrame, keys: list[str], min_docs: int = MIN_DOCS) -> DataFrame:
-    """The values of ``keys`` found in ``min_docs`` contexts or more, at least half as many as documents.
+def copy_groups(places: DataFrame, mostly: float = MOSTLY) -> DataFrame:
+    """(text_hash, group) of the texts that share at least ``mostly`` of their lines; all others stand for themselves.
 
-    Each document counts once, with its first line; sums are formed before every exchange.
+    ``places`` has (text_hash, line_no, anchors) once for each line. A group is named by its least anchor. Anchors of
+    one text alone name none, so changed words do not part copies; a text without its group's least anchor has the
+    next one, which the texts with both lead back to the least.
     """
-    once = rows.groupBy("doc_id", "text_hash", *keys).agg(F.min(F.struct("line_no", "around")).alias("first"))
-    places = once.groupBy(*keys, F.col("first.around").alias("around")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        places.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("documents"))
-        .where((F.col("contexts") >= min_docs) & (2 * F.col("contexts") >= F.col("documents")))
-    )
+    each = places.select("text_hash", "line_no", F.explode("anchors").alias("anchor"))
+    shared = (
+        each.groupBy("anchor").agg(F.min("text_hash").alias("one"), F.max("text_hash").alias("other"))
+        .where("one <> other").select("anchor", F.lit(True).alias("shared"))
+    )
+    texts = settle(
+        each.join(shared, "anchor", "left").groupBy("text_hash")
+        .agg(
+            F.slice(F.array_sort(F.collect_set(F.when(F.col("shared"), F.col("anchor")))), 1, 2).alias("least"),
+            F.size(F.collect_set(F.when(F.col("shared"), F.col("line_no")))).alias("n"),
+            F.size(F.collect_set("line_no")).alias("of"),
+        )
+        .where((F.col("n") > 0) & (F.col("n") >= mostly * F.col("of")))
+        .selectExpr("text_hash", "least[0] AS anchor", "get(least, 1) AS next"),
+        "copies",
+    )
+    led = texts.where("next IS NOT NULL").groupBy(F.col("next").alias("anchor")).agg(F.min("anchor").alias("to"))
+    return texts.join(led, "anchor", "left").select("text_hash", F.coalesce("to", "anchor").alias("group"))
+
 
+def recurring(rows: DataFrame, key: str, by: str, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The values of ``key`` that stand with ``min_docs`` values of ``by`` or more."""
+    once = rows.select(key, by).distinct()
+    return once.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(key)
 
-def template_lines(
+
+def text_templates(
     docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
-    """(doc_id, text_hash, line_no, template) of every line whose template recurs."""
+    """(text_hash, line_no, template) of every line whose template recurs, once for each distinct text."""
     rows = line_rows(docs, depth, min_tokens)
-    leaves = recurring(rows.select("doc_id", "text_hash", "line_no", "leaf", "around"), ["leaf"], min_docs)
-    inside = settle(rows.join(leaves.select("leaf"), "leaf", "left_semi"), "leaves")
-    line = ["doc_id", "text_hash", "line_no", "leaf", "around"]
+    places = settle(rows.drop("line").distinct(), "places")
+    leaves = recurring(places, "leaf", "text_hash", min_docs)  # a leaf has no fewer texts than its templates groups
+    inside = settle(
+        rows.drop("anchors").join(leaves, "leaf", "left_semi").dropDuplicates(["text_hash", "line_no"]), "leaves"
+    )
+    line = ["text_hash", "line_no", "leaf"]
     tokens = inside.select(*line, F.posexplode(F.expr(TOKENS.format("line"))).alias("at", "token"))
     variable = F.col("token").rlike("[0-9]")
     constants = (
@@ -86,25 +114,28 @@ def template_lines(
         .where(F.col("share") >= min_constant),
         "templates",
     )
-    found = recurring(templates, ["template"], min_docs)
-    return templates.join(found.select("template"), "template", "left_semi").select(
-        "doc_id", "text_hash", "line_no", "template"
-    )
+    groups = copy_groups(places)
+    grouped = templates.join(groups, "text_hash", "left").withColumn("group", F.coalesce("group", "text_hash"))
+    found = recurring(grouped, "template", "group", min_docs)
+    return templates.join(found, "template", "left_semi").select("text_hash", "line_no", "template")
+
+
+def template_lines(docs: DataFrame, **rules) -> DataFrame:
+    """(doc_id, text_hash, line_no, template) of every line whose template recurs; rules as of ``text_templates``."""
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
+    return named.join(text_templates(docs, **rules), "text_hash").select("doc_id", "text_hash", "line_no", "template")
 
 
 def drop_template_lines(docs: DataFrame, counts: bool = False, **rules) -> DataFrame:
     """``docs`` without the lines of recurring templates; n_chars, where present, follows the text.
 
     With ``counts`` also n_lines and n_dropped. NULL texts stay NULL and empty ones empty; a text whose lines are all
-    templates becomes empty, its row stays. Rows are told apart by doc_id and text, so rows with a NULL or repeated id
-    are treated by their own text, and repeated rows alike; each counts as one document only once. No rows give no
-    rows; other columns, whatever their names, pass through.
+    templates becomes empty, its row stays. Rows are treated by their text alone, whatever their id; equal texts count
+    as one document. No rows give no rows; other columns, whatever their names, pass through.
     """
-    gone = template_lines(docs.select("doc_id", "text"), **rules).groupBy("doc_id", "text_hash").agg(
-        F.collect_set("line_no").alias("gone")
-    )
+    gone = text_templates(docs.select("text"), **rules).groupBy("text_hash").agg(F.collect_set("line_no").alias("gone"))
     left, right = docs.alias("d"), gone.alias("g")
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_hash"))
+    same = F.xxhash64("d.text") == F.col("g.text_hash")
     lines = F.split(F.col("d.text"), "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("g.gone"), i))
     text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))

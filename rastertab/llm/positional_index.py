@@ -42,16 +42,17 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``windows`` with the rarest term of each in ``docs`` and its offset; equally rare terms: the first."""
+    """``windows`` with the rarest term of each in ``docs`` and its offset; equally rare terms: the first.
+
+    A window is its words, so texts that share an item_id, or have none, keep all of theirs.
+    """
     terms = settle(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     seen = docs.select(F.explode(raw_words()).alias("word")).select(lowered(F.col("word")).alias("term"))
     counts = seen.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    each = windows.select("item_id", "at", "words", F.posexplode("words").alias("offset", "term"))
+    each = windows.select("words").distinct().select("words", F.posexplode("words").alias("offset", "term"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("r")
-    return (
-        each.join(counts, "term", "left").groupBy("item_id", "at").agg(rarest, F.first("words").alias("words"))
-        .select("item_id", "at", "words", "r.n", "r.offset", "r.term")
-    )
+    found = each.join(counts, "term", "left").groupBy("words").agg(rarest)
+    return windows.join(found, "words").select("item_id", "at", "words", "r.n", "r.offset", "r.term")
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
@@ -102,16 +103,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slack:
     around = index.select(
         "term", "doc_id", "text_hash", "pos", F.explode(F.array_distinct(F.col("near"))).alias("other")
     )
-    others = windows.select("item_id", "at", "term", F.explode(F.array_distinct("words")).alias("other"),
+    others = windows.select("item_id", "at", "words", "term", F.explode(F.array_distinct("words")).alias("other"),
                             F.size(F.array_distinct("words")).alias("of"))
     close = (
         around.join(others, ["term", "other"])
-        .groupBy("doc_id", "text_hash", "item_id", "at", "pos")
+        .groupBy("doc_id", "text_hash", "item_id", "at", "words", "pos")
         .agg(F.count(F.lit(1)).alias("found"), F.first("of").alias("of"))
         .where(F.col("found") >= F.when(F.col("of") > 2, F.col("of") - 1).otherwise(F.col("of")))
         .groupBy("doc_id", "text_hash", "item_id").agg(F.min("pos").alias("pos"), F.max("found").alias("n"))
     )
-    close = close.join(exact.select("doc_id", "text_hash", "item_id").distinct(), ["doc_id", "text_hash", "item_id"], "left_anti")
+    c, e = close.alias("c"), exact.select("doc_id", "text_hash", "item_id").distinct().alias("e")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"e.{k}")) for k in ("doc_id", "text_hash", "item_id")]
+    close = c.join(e, same, "left_anti")
     return exact.unionByName(
         close.select("doc_id", "text_hash", "item_id", F.lit("proximity").alias("kind"), "pos", F.col("n").cast("int").alias("n"))
     )
@@ -133,11 +136,11 @@ def hit_words(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of every document.
 
-    NULL and empty texts have no words; items without words match nothing, a NULL item_id is not reported. Rows are
-    told apart by doc_id and text: repeated rows and NULL ids get the verdict of their text. Without items or
+    NULL and empty texts have no words; items without words match nothing. All texts of an item_id count; those without one
+    count as hits and contaminate, but there is no id to list, so n_items may be 0 then. Rows are told apart by doc_id and text: repeated rows and NULL ids get the verdict of their text. Without items or
     documents nothing is hit. Other columns are left out.
     """
-    hits = hit_words(matches(docs, benchmark.where("item_id IS NOT NULL"), window, slack=0))
+    hits = hit_words(matches(docs, benchmark, window, slack=0))
     all_docs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"),
                            F.size(raw_words()).cast("bigint").alias("n_words")).alias("d")
     h = hits.alias("h")
@@ -152,6 +155,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a phrase match, columns as they were."""
-    h = hit_words(matches(docs, benchmark.where("item_id IS NOT NULL"), window, slack=0)).alias("h")
+    h = hit_words(matches(docs, benchmark, window, slack=0)).alias("h")
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64("d.text") == F.col("h.text_hash"))
     return docs.alias("d").join(h, same, "left_anti")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rastertab.llm import (
-    byte_bpe, cross_parsing, line_templates, ngram_join, ordinal_quality, positional_index, quality_llr, secret_cnn,
-    token_counts, token_files,
+    byte_bpe, cross_parsing, line_templates, ngram_join, ordinal_quality, positional_index, prefix_trie, quality_llr,
+    secret_cnn, token_counts, token_files,
 )
 from rastertab.llm.common import table
 
@@ -104,3 +104,8 @@ def op3(spark, sf_dir):
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
     )
+
+
+@query("op11_prefix_trie")
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertab.llm import (
     byte_bpe, cross_parsing, line_templates, ngram_join, ordinal_quality, positional_index, prefix_trie, quality_llr,
-    secret_cnn, token_counts, token_files,
+    secret_cnn, tensor_minhash, token_counts, token_files, whitening,
 )
 from rastertab.llm.common import table
 
@@ -109,3 +109,25 @@ def op3(spark, sf_dir):
 @query("op11_prefix_trie")
 def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_tensor_minhash")
+def op12(spark, sf_dir):
+    found = tensor_minhash.classes(table(spark, sf_dir, "documents"), size=4, percent=80)
+    # a row without a doc_id is a class of its own
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def whitened_rows(embeddings):
+    """A row per vector and component."""
+    found = whitening.whiten(embeddings, "vec_id")
+    wide = found.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return wide.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"),
+        F.col("c.explained").alias("explained"), "identity_error",
+    )
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitened_rows(table(spark, sf_dir, "embeddings"))

@@ -1,27 +1,17 @@
-"""Routing over road cells for many requests at once.
-
-Search is block-centric: every round, the blocks that received a better arrival at their border are
-relaxed to a fixed point (bounded numpy work per block) and send improvements across their
-borders. Rounds grow with the number of blocks a path crosses, not with its cells, and only blocks that
-a search reaches are ever read.
-"""
+"""Routing over road cells for many requests at once, on the two-level graph of :mod:`rastertab.operators.road_overlay`."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertab.functions.columns import finite, js_round, python_round
-from rastertab.functions.grid import EIGHT, FOUR, attach, gather, core, stencil, tile_shape, with_halo
+from rastertab.functions.grid import EIGHT, FOUR, attach, stencil, tile_shape
 from rastertab.functions.state import settle
+from rastertab.operators.road_overlay import BLOCK, Roads, Search, prepare
 from rastertab.operators.stencil import _relief, height_span
 from rastertab.schema import BUILDING, CLASS_COUNT, ROAD, WATER
 
-BLOCK = 64
-TIE = 1e-9
-
 # Weights of the route profiles, hazard limits and rates.
 PROFILES = {
     "fastest": (1.0, 0.04, 0.02),
@@ -164,198 +154,64 @@ def _weight(which: int) -> Column:
     return out
 
 
-def _relax_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distances inside one block of one request, relaxed to a fixed point."""
-    r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    r0, c0 = r - r.min() + 1, c - c.min() + 1
-    shape = (r0.max() + 2, c0.max() + 2)
-    cost, dist = np.full(shape, np.inf), np.full(shape, np.inf)
-    cost[r0, c0] = pdf["cost"].to_numpy()
-    dist[r0, c0] = pdf["init"].fillna(np.inf).to_numpy()
-    while True:
-        near = np.minimum(
-            np.minimum(dist[:-2, 1:-1], dist[2:, 1:-1]), np.minimum(dist[1:-1, :-2], dist[1:-1, 2:])
-        )
-        better = np.minimum(dist[1:-1, 1:-1], near + cost[1:-1, 1:-1])
-        if np.array_equal(better, dist[1:-1, 1:-1]):
-            break
-        dist[1:-1, 1:-1] = better
-    out = pdf[["route_id", "tile_id", "row", "col", "cost", "old"]].assign(dist=dist[r0, c0])
-    return out[np.isfinite(out["dist"])]
-
-
-def _block_of(axis: str, block: int) -> Column:
-    return F.floor(F.col(axis) / block)
-
+def prepare_roads(roads: DataFrame, block: int = BLOCK) -> Roads:
+    """Road cells and block borders, written once for all rounds of all searches."""
+    return prepare(roads, block)
 
-def prepare_roads(roads: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Road cells with their block, written once for all rounds of all searches."""
-    return settle(roads.withColumn("bi", _block_of("row", block)).withColumn("bj", _block_of("col", block)), "roads")
 
+def _search(
+    requests: DataFrame, roads: DataFrame | Roads, blocked: DataFrame | None, penalties: DataFrame | None, weighted: bool, block: int
+) -> Search:
+    """Least costs of ``requests``. ``roads`` is the output of :func:`cell_risk`, :func:`road_hazards` or :func:`prepare_roads`.
 
-def search(
-    requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, penalties: DataFrame | None = None,
-    weighted: bool = True, block: int = BLOCK,
-) -> DataFrame:
-    """Cheapest arrival per request and reached road cell: (route_id, tile_id, row, col, cost, dist).
-
-    ``roads`` is the output of :func:`cell_risk` or :func:`road_hazards`. Entering a cell costs
-    1 + risk w_r / 100 + accessibility w_a / 100 + 2.25 if penalised, or just 1 when not
-    ``weighted``. Every cost is at least 1, so nothing beyond the best arrival at the destination is
-    followed.
+    Entering a cell costs 1 + risk w_r / 100 + accessibility w_a / 100 + 2.25 if penalised, or just 1 when not
+    ``weighted``. Every cost is at least 1, so nothing beyond the best arrival at the destination is followed.
     """
-    ask = requests.select(*REQUEST)
-    road = roads if "bi" in roads.columns else prepare_roads(roads, block)
     keys = ["route_id", "row", "col"]
-    state = None
-    arrivals = ask.select(
-        "route_id", "tile_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"),
-        F.lit(0.0).alias("reach"), F.lit(None).cast("double").alias("via"),
-    )
-    while True:
-        met = arrivals.groupBy(*keys).agg(F.min("reach").alias("reach"), F.min("via").alias("via"))
-        active = arrivals.select(
-            "route_id", "tile_id", _block_of("row", block).alias("bi"), _block_of("col", block).alias("bj")
-        ).distinct()
-        work = active.join(ask.drop("tile_id"), "route_id").join(road, ["tile_id", "bi", "bj"])
+    ask = requests.select(*REQUEST)
+    changed = [df.select(*keys).join(ask.select("route_id"), "route_id", "left_semi") for df in (blocked, penalties) if df is not None]
+
+    def price(work: DataFrame, single: bool) -> DataFrame:
         work = work.where(~(F.col("avoid_water") & F.col("beside_water")))
-        if blocked is not None:
-            work = work.join(blocked.select(*keys).distinct(), keys, "left_anti")
         cost = F.lit(1.0)
         if weighted:
             risk = F.when(F.col("avoid_water"), F.col("risk")).otherwise(F.col("risk_dry"))
             cost = 1.0 + risk * _weight(1) / 100.0 + F.col("accessibility") * _weight(2) / 100.0
-        if penalties is not None:
+        if single and blocked is not None:
+            work = work.join(blocked.select(*keys).distinct(), keys, "left_anti")
+        if single and penalties is not None:
             marked = penalties.select(*keys).distinct().withColumn("_p", F.lit(True))
             end = ((F.col("row") == F.col("start_row")) & (F.col("col") == F.col("start_col"))) | (
                 (F.col("row") == F.col("dest_row")) & (F.col("col") == F.col("dest_col"))
             )
             work = work.join(marked, keys, "left")
             cost = cost + F.when(F.coalesce("_p", F.lit(False)) & ~end, PENALTY).otherwise(0.0)
-        work = work.withColumn("cost", cost).select("route_id", "tile_id", "bi", "bj", "row", "col", "cost")
-        work = work.join(met, keys, "left")
-        if state is None:
-            work = work.withColumn("old", F.lit(None).cast("double"))
-        else:
-            work = work.join(state.select(*keys, F.col("dist").alias("old")), keys, "left")
-        work = work.withColumn("init", F.least("old", "reach", F.col("via") + F.col("cost")))
-        solved = settle(
-            work.groupBy("route_id", "bi", "bj").applyInPandas(
-                _relax_block, "route_id bigint, tile_id bigint, row int, col int, cost double, old double, dist double"
-            ),
-            "solved",
-        )
-        fresh = solved.drop("old")
-        state = fresh if state is None else settle(
-            state.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh), "state"
-        )
-        goal = state.join(
-            ask.select("route_id", F.col("dest_row").alias("row"), F.col("dest_col").alias("col")), keys
-        ).select("route_id", F.col("dist").alias("_goal"))
-        moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-        improved = solved.where(F.col("old").isNull() | (F.col("dist") < F.col("old")))
-        rim = (F.col("row") % block).isin(0, block - 1) | (F.col("col") % block).isin(0, block - 1)
-        sent = improved.where(rim).withColumn("_m", F.explode(moves)).withColumn("nr", F.col("row") + F.col("_m.dr")).withColumn(
-            "nc", F.col("col") + F.col("_m.dc")
-        )
-        crosses = (F.floor(F.col("nr") / block) != F.floor(F.col("row") / block)) | (
-            F.floor(F.col("nc") / block) != F.floor(F.col("col") / block)
-        )
-        sent = sent.where(crosses & (F.col("nr") >= 0) & (F.col("nc") >= 0)).join(goal, "route_id", "left").where(
-            F.col("_goal").isNull() | (F.col("dist") + 1 < F.col("_goal"))
-        )
-        arrivals = settle(
-            sent.select(
-                "route_id", "tile_id", F.col("nr").alias("row"), F.col("nc").alias("col"),
-                F.lit(None).cast("double").alias("reach"), F.col("dist").alias("via"),
-            ),
-            "arrivals",
-        )
-        if arrivals.isEmpty():
-            return state
+        return work.withColumn("cost", cost)
 
+    ready = roads if isinstance(roads, Roads) else prepare(roads, block)
+    union = None if not changed else changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1])
+    return Search(ask, ready, price, union, ("avoid_water", "profile") if weighted else ("avoid_water",)).forward()
 
-def shortest_distance(requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+
+def shortest_distance(
+    requests: DataFrame, roads: DataFrame | Roads, blocked: DataFrame | None = None, block: int = BLOCK
+) -> DataFrame:
     """Unit-cost path length per request; NULL and "unreachable" when no road leads there."""
     requests = settle(requests.select(*REQUEST), "requests")
-    state = search(requests, roads, blocked, weighted=False, block=block)
-    goal = state.select("route_id", F.col("row").alias("dest_row"), F.col("col").alias("dest_col"), "dist")
-    return requests.join(goal, ["route_id", "dest_row", "dest_col"], "left").select(
-        "route_id", F.col("dist").cast("bigint").alias("distance_cells"),
-        F.when(F.col("dist").isNull(), "unreachable").otherwise("reached").alias("status"),
-    )
-
-
-def _walk_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow predecessors from the head cell until the walk leaves the block or ends."""
-    step = {(r, c): (pr, pc) for r, c, pr, pc in zip(pdf["row"], pdf["col"], pdf["p_row"], pdf["p_col"])}
-    head = pdf.iloc[0]
-    at, back, out = (head["h_row"], head["h_col"]), head["back"], []
-    while at in step:
-        out.append((at[0], at[1], back, *step[at]))
-        if np.isnan(step[at][0]):
-            break
-        at, back = step[at], back + 1
-    frame = pd.DataFrame(out, columns=["row", "col", "back", "p_row", "p_col"])
-    return frame.assign(route_id=head["route_id"])[["route_id", "row", "col", "back", "p_row", "p_col"]]
-
-
-def trace(requests: DataFrame, state: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Path rows (route_id, seq, row, col) of every reached request, seq 0 at the start.
-
-    **Departure**: among equally good predecessors the smallest (row, col) is taken; a priority queue
-    would depend on its insertion order.
-    """
-    grid = state.select(F.col("route_id").alias("tile_id"), "row", "col", "cost", "dist")
-    near = core(gather(with_halo(grid, 1, block), ["dist"], diagonals=False), block)
-    ways = []
-    for d, (dr, dc) in zip("ulrd", ((-1, 0), (0, -1), (0, 1), (1, 0))):  # ascending (row, col)
-        fits = F.col(f"n_{d}.dist") + F.col("cost") <= F.col("dist") + TIE
-        ways.append(F.when(fits, F.struct((F.col("row") + dr).alias("r"), (F.col("col") + dc).alias("c"))))
-    pred = F.when(F.col("dist") > 0, F.coalesce(*ways))
-    steps = settle(
-        near.select(
-            F.col("tile_id").alias("route_id"), "row", "col", pred["r"].alias("p_row"), pred["c"].alias("p_col"),
-            _block_of("row", block).alias("bi"), _block_of("col", block).alias("bj"),
-        ),
-        "steps",
-    )
-    heads = requests.select("route_id", F.col("dest_row").alias("h_row"), F.col("dest_col").alias("h_col"), F.lit(0).alias("back"))
-    path = None
-    while True:
-        placed = heads.withColumn("bi", F.floor(F.col("h_row") / block)).withColumn("bj", F.floor(F.col("h_col") / block))
-        walked = settle(
-            steps.join(placed, ["route_id", "bi", "bj"]).groupBy("route_id", "bi", "bj").applyInPandas(
-                _walk_block, "route_id bigint, row int, col int, back int, p_row double, p_col double"
-            ),
-            "walk",
-        )
-        path = walked if path is None else path.unionByName(walked)
-        ends = walked.groupBy("route_id").agg(F.max(F.struct("back", "p_row", "p_col")).alias("_e")).where(
-            F.col("_e.p_row").isNotNull() & ~F.isnan("_e.p_row")
-        )
-        heads = ends.select(
-            "route_id", F.col("_e.p_row").cast("int").alias("h_row"), F.col("_e.p_col").cast("int").alias("h_col"),
-            (F.col("_e.back") + 1).cast("int").alias("back"),
-        )
-        if heads.isEmpty():
-            break
-    length = path.groupBy("route_id").agg(F.max("back").alias("_last"))
-    return path.join(length, "route_id").select(
-        "route_id", (F.col("_last") - F.col("back")).alias("seq"), "row", "col"
+    goal = _search(requests, roads, blocked, None, False, block).costs()
+    return requests.select("route_id").join(goal, "route_id", "left").select(
+        "route_id", F.col("cost").cast("bigint").alias("distance_cells"),
+        F.when(F.col("cost").isNull(), "unreachable").otherwise("reached").alias("status"),
     )
 
 
 def cheapest_path(
-    requests: DataFrame, roads: DataFrame, blocked: DataFrame | None = None, penalties: DataFrame | None = None,
+    requests: DataFrame, roads: DataFrame | Roads, blocked: DataFrame | None = None, penalties: DataFrame | None = None,
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """(costs, path): (route_id, cost) of reached requests and their path rows."""
-    requests = settle(requests.select(*REQUEST), "requests")
-    state = search(requests, roads, blocked, penalties, block=block)
-    goal = state.select("route_id", F.col("row").alias("dest_row"), F.col("col").alias("dest_col"), F.col("dist").alias("cost"))
-    costs = requests.join(goal, ["route_id", "dest_row", "dest_col"]).select("route_id", "cost")
-    return costs, trace(requests, state, block)
+    """(costs, path): (route_id, cost) of reached requests and their path rows (route_id, seq, row, col)."""
+    found = _search(settle(requests.select(*REQUEST), "requests"), roads, blocked, penalties, True, block)
+    return found.costs(), found.paths()
 
 
 def ranked_routes(
@@ -395,7 +251,7 @@ def ranked_routes(
         )
         if alt + 1 < rounds and open_requests.isEmpty():
             break
-    return rank_alternatives(score_paths(valid, roads, cells, blocked, paths)), paths
+    return rank_alternatives(score_paths(valid, roads.cells, cells, blocked, paths)), paths
 
 
 def score_paths(requests: DataFrame, roads: DataFrame, cells: DataFrame, blocked: DataFrame, paths: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rastertab.operators import road_overlay
 from rastertab.operators import routes as rt
 from tests.grids import cells
 
@@ -92,8 +93,9 @@ def dijkstra(cost, start, dest):
     return dist[dest], path[::-1]
 
 
-@pytest.mark.parametrize("block", [4, 64])
-def test_weighted_search_matches_dijkstra(spark, block):
+@pytest.mark.parametrize("block,region", [(4, 1), (3, 2), (64, 8)])
+def test_weighted_search_matches_dijkstra(spark, monkeypatch, block, region):
+    monkeypatch.setattr(road_overlay, "REGION", region)  # small regions, so that searches take rounds
     rng = np.random.default_rng(6)
     tiles = {t: np.where(rng.random((15, 15)) < 0.75, 5, 1) for t in range(4)}
     for m in tiles.values():

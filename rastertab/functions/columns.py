@@ -61,9 +61,12 @@ def null_if_not_finite(c) -> Column:
 
 
 def unit_hash(*parts) -> Column:
-    """Deterministic number in [0, 1) derived from the given columns and literals."""
-    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    """Deterministic number in [0, 1) derived from the given columns and literals.
+
+    The first 32 bits of the MD5 of their text, joined by "|": other engines can repeat every choice made with it.
+    """
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def popcount_true(flags: list[Column]) -> Column:

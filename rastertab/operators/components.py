@@ -19,7 +19,6 @@ from rastertab.functions.state import settle
 
 BLOCK = 256
 CODE = 1 << 32  # label of a cell: row * CODE + col, ordered row-major
-MAX_ROUNDS = 60
 
 
 def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +61,7 @@ def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     seen = current.agg(mark.alias("m")).first()["m"]
     if seen["n"] == 0:
         return None
-    for _ in range(MAX_ROUNDS):
+    while True:  # each pair of steps shrinks what is left; rounds grow with the logarithm of the graph
         both = current.unionByName(current.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = attach(both.where("b > a"), least, [*keys, "a"], "inner", spread=["b"]).select(
@@ -78,7 +77,6 @@ def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         if now == seen:
             return current.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    raise RuntimeError(f"component contraction did not settle in {MAX_ROUNDS} rounds")
 
 
 def _seams(local: DataFrame, block: int) -> DataFrame:

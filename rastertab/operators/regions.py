@@ -11,6 +11,7 @@ from rastertab.functions.grid import EIGHT, OFFSETS, attach, row_major_rank, ste
 from rastertab.functions.quantiles import exact_quantiles
 from rastertab.functions.state import settle
 from rastertab.operators.components import BLOCK, component_area, components, drop_below
+from rastertab.operators.rings import footprints
 from rastertab.operators.outlines import outline_edges, outline_rings
 from rastertab.operators.stencil import PROTECTED_BOUNDARY, majority_filter
 from rastertab.schema import BUILDING, GROUND, OTHERS, TREE
@@ -266,6 +267,28 @@ def building_heights(labelled: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
+def labelled_buildings(
+    cells: DataFrame, source: str = "semantic_head", min_area: int = 1, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """(cells, labelled): cells with the labels that ``source`` means, and the cells of their buildings."""
+    if source == "height_threshold_fallback":
+        mask = threshold_mask(cells).select(*CELL, F.lit(BUILDING).alias("_l"))
+        cells = cells.join(mask, CELL, "left").withColumn("class", F.coalesce("_l", F.lit(OTHERS))).drop("_l")
+    masked = split_on_seams(cells) if "boundary" in cells.columns else cells.withColumn("building", F.col("class") == BUILDING)
+    return cells, settle(drop_below(components(masked.where("building"), block), min_area), "buildings")
+
+
+def building_footprints(
+    cells: DataFrame, source: str = "semantic_head", min_area: int = 1, block: int = BLOCK
+) -> DataFrame:
+    """Polygons of the buildings of all tiles, one row per corner: (tile_id, component, ring, is_hole, seq, x, z).
+
+    Corners follow each other by ``seq`` around their ring; polygons join :func:`buildings` by (tile_id, component).
+    """
+    cells, labelled = labelled_buildings(cells, source, min_area, block)
+    return footprints(outline_edges(labelled), tile_shape(cells), block)
+
+
 def buildings(
     cells: DataFrame, source: str = "semantic_head", min_area: int = 1, block: int = BLOCK
 ) -> DataFrame:
@@ -274,11 +297,7 @@ def buildings(
     ``source`` "semantic_head" takes class 3, "height_threshold_fallback" the height mask (whose
     cells become label 3 and all others label 0).
     """
-    if source == "height_threshold_fallback":
-        mask = threshold_mask(cells).select(*CELL, F.lit(BUILDING).alias("_l"))
-        cells = cells.join(mask, CELL, "left").withColumn("class", F.coalesce("_l", F.lit(OTHERS))).drop("_l")
-    masked = split_on_seams(cells) if "boundary" in cells.columns else cells.withColumn("building", F.col("class") == BUILDING)
-    labelled = settle(drop_below(components(masked.where("building"), block), min_area), "buildings")
+    cells, labelled = labelled_buildings(cells, source, min_area, block)
     rings = outline_rings(outline_edges(labelled), block)
     outline = rings.groupBy(*COMP).agg(
         F.count_if("is_hole").alias("holes"), F.sum(F.when(~F.col("is_hole"), F.col("corners"))).alias("corners")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertab.functions.columns import ratio, unit_hash
+from rastertab.functions.columns import ratio
 from rastertab.functions.quantiles import exact_quantiles
-from rastertab.functions.state import settle
-from rastertab.functions.ranking import prefix_extreme, spread_rank, value_rank
+from rastertab.functions.ranking import prefix_extreme, value_rank
 from rastertab.operators.metrics import TILE_METRICS
 from rastertab.schema import CLASS_NAMES
 
@@ -42,32 +42,47 @@ def long_metrics(tiles: DataFrame, metrics: Sequence[str], keep: Sequence[str] =
     return tiles.select(*keep, F.inline(entries)).where(F.col("value").isNotNull())
 
 
+def poisson_steps(terms: int = 12) -> list[float]:
+    """Cumulative Poisson(1) probabilities: a uniform number's weight is how many of them it reaches."""
+    total, out = 0.0, []
+    for k in range(terms):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(total)
+    return out
+
+
+RESIDUES = (1 << 31) - 1
+
+
+def replicate_weight(row_key: Column, replicate: Column, seed: int) -> Column:
+    """How often a row is drawn in a replicate: a Poisson(1) number from (a + replicate b) mod 2^31 - 1.
+
+    a and b are 28 bits each of the MD5 of the row's key and the seed, so numbers of a replicate are independent and
+    replicates are so in pairs.
+    """
+    text = F.md5(F.concat_ws("|", row_key.cast("string"), F.lit(seed).cast("string")).cast("binary"))
+    a, b = (F.conv(F.substring(text, at, 7), 16, 10).cast("bigint") for at in (1, 8))
+    u = F.pmod(a + replicate * b, F.lit(RESIDUES)) / F.lit(float(RESIDUES))
+    return sum(((u >= c).cast("int") for c in poisson_steps()), F.lit(0))
+
+
 def bootstrap_ci(
     tiles: DataFrame, metrics: Sequence[str] = TILE_METRICS, iterations: int = 1000, seed: int = 7
 ) -> DataFrame:
     """2.5 and 97.5 percentiles of resampled means per metric.
 
-    **Departure**: draws come from a hash of (seed, replicate, position) and not from a random
-    generator, so they are the same on every run and cluster size. Draws are spread over the
-    cluster and meet the values by an equi-join on the drawn position.
+    **Departure**: instead of n draws from n rows every row gets a Poisson(1) weight per replicate, from a hash; the
+    weights of rows need not know of each other, so each task sums its rows into one vector per replicate and only
+    those vectors are exchanged. All metrics of a row share its weight. Undefined values take no part.
     """
-    values = settle(long_metrics(tiles, metrics), "metrics")  # per-tile rows, read four times below
-    ranked = spread_rank(values, ["metric"], unit_hash(F.col("tile_id")), ["tile_id"], "pos")
-    sizes = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    draws = (
-        ranked.select("metric", "pos")
-        .join(sizes, "metric")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-        .withColumn("drawn", F.pmod(F.xxhash64(F.lit(seed), "metric", "replicate", "pos"), F.col("n")) + 1)
-        .groupBy("metric", "replicate", "drawn")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    picked = draws.join(
-        ranked.select("metric", F.col("pos").alias("drawn"), "value"), ["metric", "drawn"]
-    )
-    means = picked.groupBy("metric", "replicate").agg(
-        (F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean")
-    )
+    rows = tiles.select("tile_id", *metrics, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("replicate"))
+    rows = rows.withColumn("_w", replicate_weight(F.col("tile_id"), F.col("replicate"), seed)).where("_w > 0")
+    sums = []
+    for m in metrics:
+        sums += [F.sum(F.col("_w") * F.col(m)).alias(f"s_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"n_{m}")]
+    vectors = rows.groupBy("replicate").agg(*sums)
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(f"s_{m}", f"n_{m}").alias("mean")) for m in metrics])
+    means = vectors.select(F.inline(entries)).where("mean IS NOT NULL")
     return exact_quantiles(means, ["metric"], "mean", {"low": 0.025, "high": 0.975}).withColumn(
         "confidence", F.lit(0.95)
     )

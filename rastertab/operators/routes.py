@@ -255,21 +255,23 @@ def ranked_routes(
 
 
 def score_paths(requests: DataFrame, roads: DataFrame, cells: DataFrame, blocked: DataFrame, paths: DataFrame) -> DataFrame:
-    """Distance, minutes, mean risk and accessibility, avoided hazards, profile score and path text."""
+    """Distance, minutes, mean risk and accessibility, avoided hazards, profile score, path and its text."""
     ask = requests.select("route_id", "tile_id", "avoid_water", "profile")
     wet = F.col("avoid_water")
     placed = paths.join(ask, "route_id").join(roads, ["tile_id", "row", "col"])
     hazards = F.when(wet, F.col("hazards")).otherwise(F.col("hazards_dry"))
-    point = F.format_string("{'row': %d, 'column': %d}", F.col("row"), F.col("col"))
-    # One path is one value of the result, so its text is as long as the path and no longer.
-    text = F.concat(
-        F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", point.alias("t")))), lambda p: p["t"]), ", "), F.lit("]")
+    # One path is one value of the result, so its array is as long as the path and no longer.
+    points = F.transform(
+        F.sort_array(F.collect_list(F.struct("seq", "row", "col"))), lambda p: F.struct(p["row"].alias("row"), p["col"].alias("column"))
     )
     sums = placed.groupBy("route_id", "alt").agg(
         (F.count(F.lit(1)) - 1).alias("distance_cells"),
         F.avg(F.when(wet, F.col("risk")).otherwise(F.col("risk_dry"))).alias("_risk"),
-        F.avg("accessibility").alias("_access"), text.alias("path_text"),
+        F.avg("accessibility").alias("_access"), points.alias("path"),
     )
+    point = lambda p: F.format_string("{'row': %d, 'column': %d}", p["row"], p["column"])
+    text = F.concat(F.lit("["), F.array_join(F.transform("path", point), ", "), F.lit("]"))
+    sums = sums.withColumn("path_text", text)
     met = placed.select("route_id", "alt", F.explode(hazards).alias("hazard")).distinct()
     tile_names = roads.select(
         "tile_id", F.explode("hazards").alias("hazard")
@@ -293,7 +295,7 @@ def score_paths(requests: DataFrame, roads: DataFrame, cells: DataFrame, blocked
         python_round(F.col("distance_cells") * MINUTES_PER_CELL, 1).alias("travel_time_minutes"),
         "risk_score", "accessibility_score",
         F.coalesce("avoided_hazards", F.array().cast("array<string>")).alias("avoided_hazards"),
-        python_round(score, 3).alias("profile_score"), "path_text",
+        python_round(score, 3).alias("profile_score"), "path", "path_text",
     )
 
 
@@ -339,36 +341,52 @@ LIMITS = {
 }
 
 
-def route_brief(routes: DataFrame, requests: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Evacuation brief per selected route as one JSON text.
+def route_brief(
+    routes: DataFrame, requests: DataFrame, predictions: DataFrame, hazards: DataFrame, sizes: DataFrame, generated_at: Column | None = None
+) -> DataFrame:
+    """(route_id, brief): evacuation brief per selected route as one JSON text.
 
-    ``predictions`` is (tile_id, height_reference, semantic_source, boundary_confidence).
+    ``predictions`` is (tile_id, height_reference, semantic_source, boundary_confidence), ``hazards`` the output of
+    :func:`hazard_counts`, ``sizes`` that of :func:`grid_sizes`. ``generated_at`` is a timestamp, by default now; the
+    brief has it in UTC. Unknown numbers are null in the text and not left out.
     """
-    joined = routes.where("selected").join(
-        requests.select("route_id", "tile_id", "start_row", "start_col", "dest_row", "dest_col"), "route_id"
-    ).join(predictions, "tile_id", "left")
+    joined = (
+        routes.where("selected")
+        .join(requests.select("route_id", "tile_id", "avoid_water", "start_row", "start_col", "dest_row", "dest_col"), "route_id")
+        .join(hazards, "route_id", "left")
+        .join(sizes, "route_id", "left")
+        .join(predictions, "tile_id", "left")
+    )
     limits = F.array(
         F.lit(LIMITS["always"]),
         F.when(F.col("height_reference") == "relative", LIMITS["relative"]).otherwise(LIMITS["absolute"]),
         F.when(F.col("semantic_source") == "trained", LIMITS["trained"]).otherwise(LIMITS["fixture"]),
     )
+    at = F.current_timestamp() if generated_at is None else generated_at
+    utc = F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz"))
 
     def point(end: str) -> Column:
         return F.struct(F.col(f"{end}_row").alias("row"), F.col(f"{end}_col").alias("column"))
 
     brief = F.struct(
         F.lit("evacuation-decision-support").alias("briefType"),
-        point("start").alias("origin"), point("dest").alias("destination"), "profile",
+        F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"),
+        point("start").alias("origin"), point("dest").alias("destination"), F.col("rows").alias("gridSize"), "profile",
         F.col("distance_cells").alias("distanceCells"), F.col("travel_time_minutes").alias("estimatedTravelTimeMinutes"),
         F.col("risk_score").alias("riskScore"), F.col("accessibility_score").alias("accessibilityScore"),
         F.col("avoided_hazards").alias("avoidedHazards"),
+        F.struct(
+            F.col("water_cells").alias("waterCells"), F.col("water_blocked_road_cells").alias("waterBlockedRoadCells"),
+            F.col("debris_cells").alias("debrisCells"), F.col("blocked_road_cells").alias("blockedRoadCells"),
+            F.col("avoid_water").alias("waterAvoidance"),
+        ).alias("hazards"),
         F.struct(
             F.col("semantic_source").alias("semanticSource"), F.col("boundary_confidence").alias("boundaryConfidence"),
             limits.alias("limitations"),
         ).alias("prediction"),
-        F.col("path_text").alias("route"),
+        F.col("path").alias("route"),
     )
-    return joined.select("route_id", F.to_json(brief).alias("brief"))
+    return joined.select("route_id", F.to_json(brief, {"ignoreNullFields": "false"}).alias("brief"))
 
 
 def grid_sizes(requests: DataFrame, cells: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ WORLD_X, WORLD_Z, VERTICAL = 15.0, 11.0, 3.6
 
 
 def slope_degrees(cells: DataFrame, exaggeration: float = 1.0, cell_size: tuple[float, float] | None = None) -> DataFrame:
-    """Central-difference slope, clamped at the edge; an invalid neighbour counts as the own height.
+    """Central-difference slope, clamped at the edge; an invalid or non-finite neighbour counts as the own height.
 
     By default in scene units (15 x 11 world, vertical 3.6 / max(maximum height, 1)); with
     ``cell_size`` = (x, z) in metres it is the slope of the heights as they are.
@@ -110,7 +110,8 @@ def slope_degrees(cells: DataFrame, exaggeration: float = 1.0, cell_size: tuple[
     rows = attach(rows, scalars)
 
     def at(d: str) -> Column:
-        return F.when(F.col(f"n_{d}.valid"), F.coalesce(F.col(f"n_{d}.height"), F.col("height"))).otherwise(F.col("height"))
+        usable = F.col(f"n_{d}.valid") & finite(F.col(f"n_{d}.height"))
+        return F.when(usable, F.col(f"n_{d}.height")).otherwise(F.col("height"))
 
     if cell_size is None:
         vertical = F.lit(VERTICAL * exaggeration) / F.greatest(F.col("_max"), F.lit(1.0))

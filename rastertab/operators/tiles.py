@@ -302,19 +302,25 @@ def photometric(bands: DataFrame, seed: int = 7) -> DataFrame:
     def uniform(i: int, low: float, high: float) -> Column:
         return low + (high - low) * unit_hash(tile, seed, i)
 
-    gain = F.when(chance(1, 0.6), uniform(2, 0.85, 1.15)).otherwise(1.0)
-    offset = F.when(chance(1, 0.6), uniform(3, -8.0, 8.0)).otherwise(0.0)
-    rows = attach(bands, means, ["tile_id", "band"])
-    v, mean = F.col("value") * gain + offset, F.col("_mean") * gain + offset
-    contrast = F.when(chance(4, 0.4), uniform(5, 0.9, 1.1)).otherwise(1.0)
-    v = (v - mean) * contrast + mean
+    # the draws of a tile are made once per band and joined with its mean
+    drawn = means.withColumns(
+        {
+            "_gain": F.when(chance(1, 0.6), uniform(2, 0.85, 1.15)), "_offset": uniform(3, -8.0, 8.0),
+            "_contrast": F.when(chance(4, 0.4), uniform(5, 0.9, 1.1)), "_gamma": F.when(chance(6, 0.25), uniform(7, 0.9, 1.1)), "_noisy": chance(8, 0.15),
+        }
+    )
+    rows = attach(bands, drawn, ["tile_id", "band"])
+    changed = F.col("_gain").isNotNull()
+    v = F.when(changed, F.col("value") * F.col("_gain") + F.col("_offset")).otherwise(F.col("value"))
+    mean = F.when(changed, F.col("_mean") * F.col("_gain") + F.col("_offset")).otherwise(F.col("_mean"))
+    v = F.when(F.col("_contrast").isNotNull(), (v - mean) * F.col("_contrast") + mean).otherwise(v)
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / 255.0))
-    v = F.when(chance(6, 0.25), 255.0 * F.pow(unit, uniform(7, 0.9, 1.1))).otherwise(v)
+    v = F.when(F.col("_gamma").isNotNull(), 255.0 * F.pow(unit, F.col("_gamma"))).otherwise(v)
     cell = (tile, F.col("row"), F.col("col"), F.col("band"))
     normal = F.sqrt(-2.0 * F.log(1.0 - unit_hash(*cell, seed, 9))) * F.cos(2.0 * math.pi * unit_hash(*cell, seed, 10))
-    v = F.when(chance(8, 0.15), v + 2.0 * normal).otherwise(v)
+    v = F.when(F.col("_noisy"), v + 2.0 * normal).otherwise(v)
     clipped = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v))).cast("int")
-    return rows.withColumn("value", clipped).drop("_mean")
+    return rows.withColumn("value", clipped).drop("_mean", "_gain", "_offset", "_contrast", "_gamma", "_noisy")
 
 
 def focus_crops(cells: DataFrame, size: int, per_tile: int = 1, seed: int = 7) -> DataFrame:

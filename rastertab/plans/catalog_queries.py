@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.state import new_path
 from rastertab.operators import audit, catalog, metrics
 from rastertab.plans import fixtures as fx
-from rastertab.plans.registry import query, rounded
+from rastertab.plans.registry import query, rounded, unit_sql
 from rastertab.sources import io
 
 _N = "count(*) FILTER (kind='images') AS n_images, count(*) FILTER (kind='heights') AS n_heights, count(*) FILTER (kind='classes') AS n_classes"
@@ -153,19 +153,16 @@ def _samples(spark, sf_dir):
     return catalog.pair_triplets(f).join(cities, ["split", "key"])
 
 
-@query("ds08_stratified_sample", """
+@query("ds08_stratified_sample", f"""
 WITH c AS (SELECT split, city, count(*) AS n FROM samples GROUP BY ALL), t AS (SELECT split, count(*) AS total FROM samples GROUP BY split),
-s AS (SELECT c.split, city, greatest(1, least(n, round_even(30.0*n/total, 0)))::BIGINT AS chosen FROM c JOIN t USING (split))
-SELECT split, sum(chosen)::BIGINT >= 30 AS reached, least(30, sum(chosen)::BIGINT) AS picked, count(*) AS cities FROM s GROUP BY split""")
+s AS (SELECT c.split, city, greatest(1, least(n, round_even(30.0*n/total, 0)))::BIGINT AS share FROM c JOIN t USING (split)),
+a AS (SELECT *, row_number() OVER (PARTITION BY split, city ORDER BY {unit_sql("7", "key")}, key) AS i FROM samples JOIN s USING (split, city)),
+o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {unit_sql("8", "key")}, key) AS j FROM a WHERE i<=share)
+SELECT split, city, key FROM o WHERE j<=30""")
 def ds08(spark, sf_dir):
-    """Which samples are picked depends on a hash; how many are picked does not."""
     s = _samples(spark, sf_dir)
     targets = s.select("split").distinct().withColumn("target", F.lit(30))
-    picked = catalog.stratified_sample(s, targets)
-    cities = s.groupBy("split").agg(F.countDistinct("city").alias("cities"))
-    return picked.groupBy("split").agg(F.count(F.lit(1)).alias("picked")).join(cities, "split").select(
-        "split", (F.col("picked") >= 30).alias("reached"), "picked", "cities"
-    )
+    return catalog.stratified_sample(s, targets).select("split", "city", "key")
 
 
 @query("ds09_split_by_group", """

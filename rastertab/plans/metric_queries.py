@@ -175,7 +175,13 @@ def mt15(spark, sf_dir):
     return rounded(reports.by_group(_tiles(spark, sf_dir)))
 
 
-@query("mt16_bootstrap_ci")
+_WEIGHT = "+".join(f"(u>={c!r}::DOUBLE)::INT" for c in reports.poisson_steps())
+_MEANS = " UNION ALL ".join(f"SELECT '{m}' AS metric, sum(w*{m})/nullif(sum(w) FILTER ({m} IS NOT NULL),0) AS mean FROM wt GROUP BY r" for m in _M)
+
+
+@query("mt16_bootstrap_ci", f"""WITH ab AS (SELECT *, ('0x'||md5(tile_id||'|7')[1:7])::BIGINT AS a, ('0x'||md5(tile_id||'|7')[8:14])::BIGINT AS b FROM tiles),
+un AS (SELECT *, ((a+r*b)%{reports.RESIDUES})/{reports.RESIDUES}.0::DOUBLE AS u FROM ab, (SELECT unnest(range(1,1001)) AS r)), wt AS (SELECT *, {_WEIGHT} AS w FROM un), ms AS ({_MEANS})
+SELECT metric, round(quantile_cont(mean,0.025),6) AS low, round(quantile_cont(mean,0.975),6) AS high, 0.95::DOUBLE AS confidence FROM ms WHERE mean IS NOT NULL GROUP BY metric""")
 def mt16(spark, sf_dir):
     return rounded(reports.bootstrap_ci(_tiles(spark, sf_dir)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertab.functions.grid import tile_shape
 from rastertab.operators import components as cc
-from rastertab.operators import outlines, regions, stencil, tiles
+from rastertab.operators import outlines, regions, rings, stencil, tiles
 from rastertab.plans import fixtures as fx
 from rastertab.plans.registry import query, rounded
 from rastertab.plans.stencil_queries import base_sql, green_sql, majority_sql, same_class_sql, smooth_sql, terrain_sql
@@ -270,6 +270,38 @@ def rg16(spark, sf_dir):
     return rounded(regions.buildings(fx.cells(spark, sf_dir)))
 
 
+def ring_sql() -> str:
+    """CTEs after parts_sql: successor edges nx, walks from each ring's leftmost-topmost corner, corners rv."""
+    return """ed AS (SELECT *, CASE WHEN x2>x1 THEN 0 WHEN y2>y1 THEN 1 WHEN x2<x1 THEN 2 ELSE 3 END AS d, x2::BIGINT*4294967296+y2 AS code FROM eg),
+nx AS (SELECT e.*, n.d AS nd FROM ed e JOIN ed n ON n.tile_id=e.tile_id AND n.component=e.component AND n.x1=e.x2 AND n.y1=e.y2
+ QUALIFY row_number() OVER (PARTITION BY e.tile_id, e.component, e.x1, e.y1, e.d ORDER BY (n.d<>(e.d+3)%4)::INT)=1),
+wl(tile_id, component, ring, sx, sy, sd, n, x1, y1, x2, y2, d, nd) AS (SELECT tile_id, component, code, x1, y1, d, 0, x1, y1, x2, y2, d, nd FROM nx WHERE nd<>d
+ UNION ALL SELECT w.tile_id, w.component, w.ring, sx, sy, sd, n+1, e.x1, e.y1, e.x2, e.y2, e.d, e.nd FROM wl w JOIN nx e ON e.tile_id=w.tile_id AND e.component=w.component AND e.x1=w.x2 AND e.y1=w.y2 AND e.d=w.nd
+ WHERE NOT (e.x1=sx AND e.y1=sy AND e.d=sd) AND (e.nd=e.d OR e.code>w.ring)),
+cl AS (SELECT w.tile_id, w.component, ring, sx, sy, sd, sum(w.x1::BIGINT*w.y2-w.x2::BIGINT*w.y1)/2.0 AS area FROM wl w GROUP BY w.tile_id, w.component, ring, sx, sy, sd HAVING bool_or(EXISTS (SELECT 1 FROM nx e WHERE e.tile_id=w.tile_id AND e.component=w.component AND e.x1=w.x2 AND e.y1=w.y2 AND e.d=w.nd AND e.x1=w.sx AND e.y1=w.sy AND e.d=w.sd))),
+oc AS (SELECT tile_id, component, first(ring ORDER BY abs(area) DESC, ring) AS outer_ring FROM cl GROUP BY ALL),
+rc AS (SELECT w.tile_id, w.component, w.ring, row_number() OVER (PARTITION BY w.tile_id, w.component, w.ring ORDER BY n)-1 AS seq, x2 AS x, y2 AS y FROM wl w JOIN cl USING (tile_id, component, ring, sx, sy, sd) WHERE w.nd<>w.d)"""
+
+
+_CORNERS = "SELECT rc.tile_id, rc.component, ring, ring<>outer_ring AS is_hole, seq, x, y FROM rc JOIN oc USING (tile_id, component)"
+
+
+@query("rg12_ring_vertices", f"WITH RECURSIVE {_PARTS}, {ring_sql()} {_CORNERS}")
+def rg12c(spark, sf_dir):
+    return rings.ring_vertices(outlines.outline_edges(_built(spark, sf_dir)))
+
+
+@query("rg12_ring_vertices_across_blocks", f"WITH RECURSIVE {_PARTS}, {ring_sql()} {_CORNERS}")
+def rg12d(spark, sf_dir):
+    return rings.ring_vertices(outlines.outline_edges(_built(spark, sf_dir)), block=2)
+
+
+@query("rg16_footprints", f"""WITH RECURSIVE {seam_sql('0.04')}, {parts_sql('SELECT tile_id, "row", col FROM bm WHERE building')}, {ring_sql()}
+SELECT rc.tile_id, rc.component, ring, ring<>outer_ring AS is_hole, seq, round(x/cs::DOUBLE-0.5,6) AS x, round(y/rs::DOUBLE-0.5,6) AS z FROM rc JOIN oc USING (tile_id, component) JOIN sh USING (tile_id)""")
+def rg16c(spark, sf_dir):
+    return regions.building_footprints(fx.cells(spark, sf_dir))
+
+
 @query("rg16_buildings_from_heights", f"""WITH RECURSIVE {_MASK}, {label_sql('lab', 'SELECT * FROM tm')} SELECT tile_id, component, count(*) AS area FROM lab GROUP BY ALL HAVING count(*)>=4""")
 def rg16b(spark, sf_dir):
     """Areas only: the statistics are those of rg16."""

@@ -94,6 +94,11 @@ def with_views(sql: str) -> str:
     return f"WITH RECURSIVE {views} {body}"
 
 
+def unit_sql(*parts: str) -> str:
+    """SQL twin of unit_hash."""
+    return f"(('0x'||md5(concat_ws('|', {', '.join(parts)}))[1:8])::UBIGINT/4294967296.0::DOUBLE)"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query function (spark, sf_dir) -> DataFrame and, if given, its SQL twin."""
 

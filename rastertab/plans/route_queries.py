@@ -170,7 +170,7 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY profile_score
 @query("rt07_ranked_routes", f"""WITH RECURSIVE {_THREE}, {_ALTS} SELECT route_id, alt, profile, distance_cells, risk_score, accessibility_score, travel_time_minutes, avoided_hazards, profile_score FROM fs""")
 def rt07(spark, sf_dir):
     out, _ = rt.ranked_routes(requests(spark, sf_dir), risky(spark, sf_dir), blocked(spark, sf_dir))
-    return out.withColumn("avoided_hazards", F.array_join("avoided_hazards", ",")).drop("path_text", "place", "selected")
+    return out.withColumn("avoided_hazards", F.array_join("avoided_hazards", ",")).drop("path", "path_text", "place", "selected")
 
 
 @query("rt08_rank_alternatives", """
@@ -203,18 +203,41 @@ def rt10(spark, sf_dir):
     return rt.route_to_scene(path, sizes)
 
 
-@query("rt11_route_brief", f"""WITH RECURSIVE {_REQ}, {_PROB}, {_RISK}, {_W}, {_round_sql(0)}, n AS (SELECT route_id, count(*)-1 AS d FROM fp0 GROUP BY route_id)
-SELECT route_id, d AS distance, start_row, dest_col, CASE WHEN tile_id%2=0 THEN '{rt.LIMITS['relative']}' ELSE '{rt.LIMITS['absolute']}' END AS height_limit FROM n JOIN vq USING (route_id)""")
+_ONE = f"""{_REQ}, {_PROB}, {_RISK}, {_W}, {_round_sql(0)}, {_ALTS.replace(" UNION ALL SELECT 1, * FROM fp1 UNION ALL SELECT 2, * FROM fp2", "")}"""
+_BRIEF = (
+    "briefType string, generatedAt string, origin struct<row int, column int>, destination struct<row int, column int>, gridSize int, profile string, "
+    "distanceCells bigint, estimatedTravelTimeMinutes double, riskScore double, accessibilityScore double, avoidedHazards array<string>, "
+    "hazards struct<waterCells bigint, waterBlockedRoadCells bigint, debrisCells bigint, blockedRoadCells bigint, waterAvoidance boolean>, "
+    "prediction struct<semanticSource string, boundaryConfidence double, limitations array<string>>, route array<struct<row int, column int>>"
+)
+
+
+@query("rt11_route_brief", f"""WITH RECURSIVE {_ONE}, w AS (SELECT tile_id, count(*) FILTER (class=4) AS w FROM cells GROUP BY tile_id), b AS (SELECT tile_id, count(*) FILTER (beside_water) AS b FROM rd GROUP BY tile_id), d AS (SELECT route_id, count(*) AS d FROM bl GROUP BY route_id),
+p AS (SELECT route_id, string_agg("row"||','||col, ';' ORDER BY seq) AS route FROM fp0 GROUP BY route_id), g AS (SELECT tile_id, max("row")+1 AS rs FROM cells GROUP BY tile_id)
+SELECT route_id, 'evacuation-decision-support' AS brief_type, '2024-05-01T12:30:00.000Z' AS generated_at, start_row, start_col, dest_row, dest_col, rs::INT AS grid_size, f.profile, distance_cells::BIGINT AS distance, travel_time_minutes AS minutes, risk_score AS risk, accessibility_score AS access,
+avoided_hazards AS avoided, CASE WHEN avoid_water THEN w ELSE 0 END AS water, CASE WHEN avoid_water THEN b ELSE 0 END AS water_roads, coalesce(d,0) AS debris, coalesce(d,0) AS blocked, avoid_water, 'trained' AS source, CASE WHEN tile_id%3>0 THEN 0.9::DOUBLE END AS confidence,
+'{rt.LIMITS['always']} '||CASE WHEN tile_id%2=0 THEN '{rt.LIMITS['relative']}' ELSE '{rt.LIMITS['absolute']}' END||' {rt.LIMITS['trained']}' AS limitations, route
+FROM fs f JOIN vq USING (route_id) JOIN w USING (tile_id) JOIN b USING (tile_id) JOIN g USING (tile_id) JOIN p USING (route_id) LEFT JOIN d USING (route_id)""")
 def rt11(spark, sf_dir):
+    """Every field of the brief, read back from its JSON text."""
     r, b, c = requests(spark, sf_dir), blocked(spark, sf_dir), risky(spark, sf_dir)
     ranked, _ = rt.ranked_routes(r, c, b, rounds=1)
     kinds = c.select("tile_id").distinct().select(
         "tile_id", F.when(F.col("tile_id") % 2 == 0, "relative").otherwise("absolute").alias("height_reference"),
-        F.lit("trained").alias("semantic_source"), F.lit(0.9).alias("boundary_confidence"),
+        F.lit("trained").alias("semantic_source"), F.when(F.col("tile_id") % 3 > 0, 0.9).alias("boundary_confidence"),
     )
-    brief = rt.route_brief(ranked, r, kinds)
-    part = lambda p: F.get_json_object("brief", p)
-    return brief.select(
-        "route_id", part("$.distanceCells").cast("bigint").alias("distance"), part("$.origin.row").cast("int").alias("start_row"),
-        part("$.destination.column").cast("int").alias("dest_col"), part("$.prediction.limitations[1]").alias("height_limit"),
+    at = F.timestamp_seconds(F.lit(1714566600))
+    text = rt.route_brief(ranked, r, kinds, rt.hazard_counts(r, c, b), rt.grid_sizes(r, c), at)
+    j = text.select("route_id", F.from_json("brief", _BRIEF).alias("j"))
+    return j.select(
+        "route_id", F.col("j.briefType").alias("brief_type"), F.col("j.generatedAt").alias("generated_at"),
+        F.col("j.origin.row").alias("start_row"), F.col("j.origin.column").alias("start_col"), F.col("j.destination.row").alias("dest_row"),
+        F.col("j.destination.column").alias("dest_col"), F.col("j.gridSize").alias("grid_size"), "j.profile", F.col("j.distanceCells").alias("distance"),
+        F.col("j.estimatedTravelTimeMinutes").alias("minutes"), F.col("j.riskScore").alias("risk"), F.col("j.accessibilityScore").alias("access"),
+        F.array_join("j.avoidedHazards", ",").alias("avoided"), F.col("j.hazards.waterCells").alias("water"),
+        F.col("j.hazards.waterBlockedRoadCells").alias("water_roads"), F.col("j.hazards.debrisCells").alias("debris"),
+        F.col("j.hazards.blockedRoadCells").alias("blocked"), F.col("j.hazards.waterAvoidance").alias("avoid_water"),
+        F.col("j.prediction.semanticSource").alias("source"), F.col("j.prediction.boundaryConfidence").alias("confidence"),
+        F.array_join("j.prediction.limitations", " ").alias("limitations"),
+        F.array_join(F.transform("j.route", lambda p: F.concat_ws(",", p["row"].cast("string"), p["column"].cast("string"))), ";").alias("route"),
     )

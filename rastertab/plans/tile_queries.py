@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertab.operators import tiles
 from rastertab.plans import fixtures as fx
-from rastertab.plans.registry import query, rounded
+from rastertab.plans.registry import query, rounded, unit_sql
 
 _SH = 'sh AS (SELECT tile_id, max("row")+1 AS rs, max(col)+1 AS cs FROM cells GROUP BY tile_id)'
 # Starts of 16-wide tiles with half overlap for each axis length up to 32.
@@ -137,25 +137,34 @@ def tl13(spark, sf_dir):
     return tiles.dihedral(fx.cells(spark, sf_dir).select("tile_id", "row", "col", "height"))
 
 
-@query("tl14_photometric")
+def _draws_sql() -> str:
+    u = lambda i: unit_sql("tile_id", "7", str(i))
+    between = lambda i, low, high: f"({low}+({high}-({low}))*{u(i)})"
+    cell = lambda i: unit_sql("tile_id", '"row"', "col", "band", "7", str(i))
+    return f"""bn AS (SELECT tile_id, "row", col, unnest([0,1,2])::INT AS band, unnest([k*2.5, height/2.0, (k+class*10)::DOUBLE]) AS value FROM cells),
+dr AS (SELECT tile_id, band, avg(value) AS mean, any_value({u(1)}<0.6) AS p_gain, any_value({between(2, 0.85, 1.15)}) AS gain, any_value({between(3, -8.0, 8.0)}) AS shift, any_value({u(4)}<0.4) AS p_con, any_value({between(5, 0.9, 1.1)}) AS con,
+ any_value({u(6)}<0.25) AS p_gam, any_value({between(7, 0.9, 1.1)}) AS gam, any_value({u(8)}<0.15) AS p_noise FROM bn GROUP BY tile_id, band),
+v1 AS (SELECT b.*, p_con, con, p_gam, gam, p_noise, CASE WHEN p_gain THEN value*gain+shift ELSE value END AS v, CASE WHEN p_gain THEN mean*gain+shift ELSE mean END AS mn FROM bn b JOIN dr USING (tile_id, band)),
+v2 AS (SELECT * REPLACE (CASE WHEN p_con THEN (v-mn)*con+mn ELSE v END AS v) FROM v1),
+v3 AS (SELECT * REPLACE (CASE WHEN p_gam THEN 255.0*pow(greatest(0.0,least(1.0,v/255.0)),gam) ELSE v END AS v) FROM v2),
+v4 AS (SELECT * REPLACE (CASE WHEN p_noise THEN v+2.0*(sqrt(-2.0*ln(1.0-{cell(9)}))*cos(2.0*pi()*{cell(10)})) ELSE v END AS v) FROM v3)"""
+
+
+@query("tl14_photometric", f"""WITH {_draws_sql()} SELECT tile_id, "row", col, band, floor(greatest(0.0,least(255.0,v)))::INT AS value FROM v4""")
 def tl14(spark, sf_dir):
     return tiles.photometric(fx.bands(spark, sf_dir).drop("valid"))
 
 
-@query("tl15_focus_crops", f"""WITH {_SH} SELECT tile_id, count(*) AS crops, true AS inside FROM sh, (SELECT unnest(range(3))) GROUP BY tile_id""")
+@query("tl15_focus_crops", f"""WITH {_SH}, p AS (SELECT tile_id, quantile_cont(height,0.9) AS p90 FROM cells GROUP BY tile_id),
+e AS (SELECT c.*, class=3 AS b, class=3 AND (SELECT count(*) FROM off4 o JOIN cells n ON n.tile_id=c.tile_id AND n."row"=c."row"+o.dr AND n.col=c.col+o.dc WHERE n.class=3)<4 AS edge, height>=p90 AS high FROM cells c JOIN p USING (tile_id)),
+x AS (SELECT e.*, crop, {unit_sql("tile_id", "crop", "7")} AS u, {unit_sql("tile_id", "crop", '"row"', "col", "7")} AS h FROM e, (SELECT unnest(range(3))::INT AS crop)),
+f AS (SELECT *, CASE WHEN u<0.25 THEN 'building' WHEN u<0.4 THEN 'high' WHEN u<0.5 THEN 'edge' ELSE 'valid' END AS focus, CASE WHEN u<0.25 THEN b WHEN u<0.4 THEN high WHEN u<0.5 THEN edge ELSE true END AS fits FROM x),
+d AS (SELECT tile_id, crop, focus, first("row" ORDER BY (NOT fits)::INT, h, "row", col) AS r, first(col ORDER BY (NOT fits)::INT, h, "row", col) AS c, bool_or(fits) AS focused FROM f GROUP BY ALL)
+SELECT tile_id, crop, focus, (CASE WHEN rs>8 AND cs>8 THEN greatest(0,least(r-4,rs-8)) ELSE greatest(0,floor((rs-8)/2.0)) END)::INT AS top, (CASE WHEN rs>8 AND cs>8 THEN greatest(0,least(c-4,cs-8)) ELSE greatest(0,floor((cs-8)/2.0)) END)::INT AS "left", focused FROM d JOIN sh USING (tile_id)""")
 def tl15(spark, sf_dir):
-    """Which crop is drawn depends on a hash; number and containment do not."""
-    c = fx.cells(spark, sf_dir).withColumn("valid", F.lit(True))
-    windows = tiles.focus_crops(c, 8, 3)
-    inside = tiles.crop_cells(c.select("tile_id", "row", "col"), windows, 8).groupBy("tile_id", "crop").agg(
-        F.count(F.lit(1)).alias("n"), F.max("row").alias("r")
-    )
-    return inside.groupBy("tile_id").agg(
-        F.count(F.lit(1)).alias("crops"), F.bool_and((F.col("n") <= 64) & (F.col("r") <= 7)).alias("inside")
-    )
-
-
-@query("tl16_sample_pixels", "SELECT tile_id, least(100, count(*)) AS n FROM cells GROUP BY tile_id")
+    return tiles.focus_crops(fx.cells(spark, sf_dir).withColumn("valid", F.lit(True)), 8, 3)
+
+
+@query("tl16_sample_pixels", f"""SELECT tile_id, "row", col FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY {unit_sql("tile_id", '"row"', "col", "7")}, "row", col) AS i FROM cells) WHERE i<=100""")
 def tl16(spark, sf_dir):
-    """Which cells are drawn depends on a hash; how many does not."""
-    return tiles.sample_pixels(fx.cells(spark, sf_dir), 100).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    return tiles.sample_pixels(fx.cells(spark, sf_dir), 100).select("tile_id", "row", "col")

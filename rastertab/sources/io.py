@@ -34,7 +34,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     )
     base = root.rstrip("/").split("/")[-1]
-    relative = F.regexp_extract("path", f"/{base}/(.*)$", 1)
+    relative = F.regexp_extract("path", f"/\\Q{base}\\E/(.*)$", 1)
     parts = F.split(relative, "/")
     return found.select(
         F.try_element_at(parts, F.lit(1)).alias("kind"),

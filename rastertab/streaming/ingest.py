@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rastertab.functions.columns import finite
 from rastertab.functions.state import new_path
@@ -68,12 +72,106 @@ def stream_verdicts(files: DataFrame, watermark: str = "10 minutes", wait: str =
     )
 
 
-def stream_audit(cells: DataFrame) -> DataFrame:
-    """Running class histogram and invalid counts per split; use update or complete mode."""
+class _Pairing(StatefulProcessor):
+    """Files of one (split, key): a triplet at once, what is wrong at expiry, late files as they come.
+
+    State is the files seen since the first one, by path; it goes when the timer of the first file expires.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "path string", "kind string, arrived bigint")
+
+    def _row(self, key, verdict: str, files: dict[str, tuple[str, int]]) -> dict:
+        held = {k: sorted(p for p, (kind, _) in files.items() if kind == k) for k in KINDS}
+        first = min((at for _, at in files.values()), default=None)
+        return {"split": key[0], "key": key[1], "verdict": verdict, **{f"n_{k}": len(held[k]) for k in KINDS},
+                **{k: held[k][0] if held[k] else None for k in KINDS}, "first_arrival": first}
+
+    def _frame(self, rows: list[dict]) -> pd.DataFrame:
+        names = ["split", "key", "verdict", *(f"n_{k}" for k in KINDS), *KINDS, "first_arrival"]
+        return pd.DataFrame(rows, columns=names).astype({f"n_{k}": "int64" for k in KINDS} | {"first_arrival": "Int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        water, out = timerValues.getCurrentWatermarkInMs(), []
+        files = {k[0]: (v[0], v[1]) for k, v in self.files.iterator()}
+        before, fresh = len(files), {}
+        for frame in rows:
+            for kind, path, at in zip(frame["kind"], frame["path"], frame["at"]):
+                if path in files or path in fresh:
+                    continue  # announced twice
+                if at < water:
+                    out.append(self._row(key, "late", {path: (kind, int(at))}))
+                else:
+                    fresh[path] = (kind, int(at))
+        if fresh:
+            if not before:
+                self.handle.registerTimer(min(at for _, at in fresh.values()) + self.wait_ms)
+            for path, value in fresh.items():
+                self.files.updateValue((path,), value)
+            files |= fresh
+            if len(fresh) and [sum(kind == k for kind, _ in files.values()) for k in KINDS] == [1, 1, 1]:
+                out.append(self._row(key, "triplet", files))
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        files = {k[0]: (v[0], v[1]) for k, v in self.files.iterator()}
+        self.files.clear()
+        n = [sum(kind == k for kind, _ in files.values()) for k in KINDS]
+        if files and n != [1, 1, 1]:
+            verdict = "orphan" if n[0] == 0 else "duplicate" if max(n) > 1 else "missing"
+            yield self._frame([self._row(key, verdict, files)])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_pairing(files: DataFrame, watermark: str = "10 minutes", wait_seconds: int = 600) -> DataFrame:
+    """Every file of the stream in some row: triplet, orphan, missing, duplicate or late.
+
+    Input (split, kind, path, arrived). A triplet is told as soon as its three files are there. ``wait_seconds`` after a
+    key's first file, on the clock of the watermark, orphans, keys that miss a file and keys with more files of a kind
+    are told, a duplicate also where a triplet was told before. A file that comes after the watermark has passed it is
+    a row of its own, so that late files are sinked and not lost. Needs the RocksDB state store.
+    """
+    # Spark drops late rows before they reach state where it knows the event time; a plain number keeps them
+    keyed = files.withWatermark("arrived", watermark).select(
+        "split", pair_key("path").alias("key"), "kind", "path", F.unix_millis("arrived").alias("at")
+    )
+    counts = ", ".join([*(f"n_{k} bigint" for k in KINDS), *(f"{k} string" for k in KINDS)])
+    rows = keyed.groupBy("split", "key").transformWithStateInPandas(
+        statefulProcessor=_Pairing(wait_seconds * 1000), outputStructType=f"split string, key string, verdict string, {counts}, first_arrival bigint",
+        outputMode="Append", timeMode="EventTime",
+    )
+    return rows.withColumn("first_arrival", F.timestamp_millis("first_arrival"))
+
+
+def settled_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`stream_pairing` without the triplets that later turned out to be duplicates."""
+    twice = rows.where("verdict = 'duplicate'").select("split", "key").distinct()
+    return rows.where("verdict <> 'triplet'").unionByName(
+        rows.where("verdict = 'triplet'").join(twice, ["split", "key"], "left_anti")
+    )
+
+
+SALTS = 64  # parts of a split's running counts
+
+
+def stream_audit(cells: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Running class histogram and invalid counts per (split, part); use update or complete mode.
+
+    Cells are dealt over ``salts`` parts by tile row, so that one tile or split of very many cells keeps all tasks and
+    state partitions busy; :func:`merged_audit` adds the parts up.
+    """
     void = F.coalesce(F.col("class") == VOID_CLASS, F.lit(False))
     legal = F.coalesce(F.col("class").between(0, CLASS_COUNT - 1), F.lit(False))
     valid = F.col("valid")
-    return with_validity(cells).groupBy("split").agg(
+    part = F.pmod(F.xxhash64("tile_id", "row"), F.lit(salts)).cast("int").alias("part")
+    return with_validity(cells).groupBy("split", part).agg(
         *[F.count_if(valid & (F.col("class") == c)).alias(f"class_{c}") for c in range(CLASS_COUNT)],
         F.count_if(~finite("height")).alias("height_nonfinite"),
         F.count_if(~legal & ~void).alias("class_illegal"),
@@ -82,6 +180,11 @@ def stream_audit(cells: DataFrame) -> DataFrame:
     )
 
 
+def merged_audit(parts: DataFrame) -> DataFrame:
+    """One row per split from the parts of :func:`stream_audit`."""
+    return parts.groupBy("split").agg(*[F.sum(c).alias(c) for c in parts.columns if c not in ("split", "part")])
+
+
 def run_append(stream: DataFrame, label: str) -> str:
     """Drain an append-mode stream into a Parquet folder; exactly once through its checkpoint."""
     spark = stream.sparkSession

@@ -1,17 +1,17 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 1. Every text becomes its set of hashed n-word shingles. Sets that are equal collapse by fingerprint.
-2. Blocks for the search come from partition signatures: the hash space is cut into more parts than two linked sets
-   can differ in, so they agree on at least one part that is not empty. Documents that share a signature, directly or
-   by way of others, form a family; documents without a family link with nothing.
+2. An index over prefixes finds blocks for the search: shingles are put into one order, rare ones first, and linked
+   sets share one of their first n - ceil(t n) + 1 shingles in that order, as in any other. Documents that share such a
+   shingle, directly or by way of others, form a family; documents without a family link with nothing.
 3. Inside a family, an inverted index over the members' shingles answers each member's T-occurrence query: the short
    lists are merged and counted, the long ones are probed by binary search for the candidates left, and documents
    that reach the overlap the two set sizes require are links. Candidates already connected to the query are skipped,
    since a class needs no second link. Families above ``BLOCK`` members are searched as pairs of blocks.
 4. Links and copies are contracted to classes.
 
-No step gathers a key of unbounded size: signatures are range-partitioned by (signature, document), so one that a
-third of all documents share spreads over partitions and yields a chain instead of pairs.
+No step gathers a key of unbounded size: prefixes are range-partitioned by (shingle, document), so one that a third of
+all documents share spreads over partitions and yields a chain instead of pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from rastertab.llm.stars import dealt_parts, forest, roots
 
 BLOCK = 1024  # members of a family that one task searches among themselves
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
-SKETCH = 18  # 2^18 counters tell the shingles of frequent passages in families that are too large
+SKETCH = 20  # 2^20 counters tell the shingles of frequent passages
+SAMPLE = 20_000  # documents, chosen by hash, whose shingles say which are frequent
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MU = 0.01  # DivideSkip's weight of a probe against a merge step
 
@@ -51,80 +52,56 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(out * ODD))
 
 
-class Signer:
-    """Partition signatures for a Jaccard threshold of ``percent`` / 100.
+def prefix(hashes: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order (frequency class, hash): n - ceil(t n) + 1 of n at a threshold t.
 
-    Sizes fall into bands whose bounds grow by 100 / percent. Linked sets lie in the same or in neighbouring bands, so
-    each set signs for its own band and the next, by the number of parts of that label. Linked sets of a label with
-    largest size r differ in at most H = 2r (100 - percent) / (100 + percent) shingles, hence agree on one of H + 1
-    parts; ``spare`` further parts make one of those a part that is not empty, if either set has at most ``spare``
-    empty parts. Sets with more also sign their empty parts, so that two such sets meet there.
+    Linked sets share at least ceil(t n) shingles of either, so that in any order common to all sets their prefixes
+    have one in common. With frequent shingles last, that one is rarely a passage which strangers share.
     """
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        tops, top = [], 1.0
-        while top < 2**40:
-            tops.append(int(top))
-            top = max(top * 100 / percent, top + 1)
-        self.tops = np.array(tops)  # band i holds sizes above tops[i - 1], up to tops[i]
-
-    def parts(self, label: int, thinned: bool = False) -> tuple[int, int]:
-        top = int(self.tops[label])
-        differ = 2 * top * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // (6 if thinned else 25)  # sets without their frequent shingles leave more parts empty
-        return differ + 1 + spare, spare
-
-    def sign(self, hashes: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-        """Signatures of a set. With ``frequent`` (a flag per hash bucket) the shingles it flags make up one part of
-        their own, never signed, and the others are cut as before: one agreeing part more is certain, so linked sets
-        still share a signature, but no longer on the strength of frequent passages."""
-        if not len(hashes):
-            return np.zeros(0, np.int64)
-        band, out = int(np.searchsorted(self.tops, len(hashes))), []
-        if frequent is not None:
-            hashes = hashes[~frequent[sketch_buckets(hashes)]]
-        for label in (band, band + 1):
-            parts, spare = self.parts(label, frequent is not None)
-            bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
-            ends = np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes ^ ODD), dtype=np.uint64)))
-            part = np.arange(parts, dtype=np.uint64) + np.uint64(label << 40)
-            sums = _mix((total[ends[1:]] - total[ends[:-1]]) + _mix((part + np.uint64(1)) * ODD))
-            full = ends[1:] > ends[:-1]
-            out.append(sums if (~full).sum() > spare else sums[full])
-        return np.concatenate(out).astype(np.int64)
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.argsort(classes[sketch_buckets(hashes)], kind="stable")  # hashes are sorted
+    return hashes[order[: n - (-(-percent * n // 100)) + 1]].astype(np.int64)
 
 
 def sketch_buckets(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes + ODD) >> np.uint64(64 - SKETCH)).astype(np.int64)
 
 
-def frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
-    """Flags of the hash buckets that clearly more of ``docs`` fall into than the average: those of passages that many
-    documents share. Which ones are flagged decides about cost only."""
+def frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
+    """A class per hash bucket: 0 unless clearly more of ``docs`` fall into it than on average, then by powers of two.
+
+    The class decides where a shingle stands in the common order, so it decides about cost only.
+    """
 
     def run(batches):
-        total = np.zeros(1 << SKETCH, np.int64)
+        total = np.zeros(1 << SKETCH, np.int32)
         for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(sketch_buckets(shingle_set(text.as_py(), size)), minlength=len(total))
+            found = [sketch_buckets(shingle_set(text.as_py(), size)) for text in batch.column(0)]
+            at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+            total[at] += n.astype(np.int32)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(1 << SKETCH)
-    for r in rows.collect():  # 2^SKETCH rows at most
-        total[r.bucket] = r.n
-    usual = np.median(total)
-    return total > usual + np.maximum(20, 6 * np.sqrt(usual))
+    parts = settle(docs.select("text").mapInArrow(run, "bucket bigint, n bigint"), "sketch")
+    usual = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH)
+    limit = usual + max(8.0, 6 * usual**0.5)
+    rows = parts.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    classes = np.zeros(1 << SKETCH, np.uint8)
+    for r in rows.collect():  # buckets that stand out, 2^SKETCH at the very most
+        classes[r.bucket] = 1 + int(np.log2(r.n / limit))
+    return classes
 
 
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp_a, fp_b, sigs): set size, fingerprint and, for the first of equal sets in a task, signatures."""
+    """(doc_id, n, fp_a, fp_b, sigs): set size, fingerprint and, for the first of equal sets in a task, its prefix."""
+    share = SAMPLE / max(1, docs.count())
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(some, size))  # 2^SKETCH bytes
 
     def start():
-        signer, seen = Signer(percent), set()
+        classes, seen = shared.value, set()
 
         def step(texts):
             sizes, a, b, sigs = [], [], [], []
@@ -134,7 +111,7 @@ def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 sizes.append(len(hashes))
                 a.append(int.from_bytes(mark[:8], "little", signed=True))
                 b.append(int.from_bytes(mark[8:], "little", signed=True))
-                sigs.append(np.zeros(0, np.int64) if mark in seen else signer.sign(hashes))
+                sigs.append(np.zeros(0, np.int64) if mark in seen else prefix(hashes, percent, classes))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(mark)
@@ -270,21 +247,21 @@ def sizes(member: DataFrame) -> DataFrame:
 
 
 def split_families(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, family) of the documents of ``large`` (doc_id, whole), signed anew without their frequent passages.
+    """(doc_id, family) of the documents of ``large`` (doc_id, whole), in the order of their own frequent passages.
 
-    Families grow too large where passages that many documents share make up whole parts of otherwise different
-    texts. Linked documents stay together in the families found here, too.
+    Families grow too large where documents share passages that are rare in the corpus. Linked documents stay together
+    in the families found here, too.
     """
     texts = settle(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(large.hint("merge"), "doc_id"), "large"
     )
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(texts, size)))  # 2^SKETCH bits
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(texts, size))  # 2^SKETCH bytes
 
     def start():
-        signer, frequent = Signer(percent), np.unpackbits(flags.value).astype(bool)
+        classes = shared.value
         return lambda texts: [
             (lambda s: lists_of(np.concatenate([np.zeros(0, np.int64), *s]), [len(x) for x in s], pa.int64()))(
-                [signer.sign(shingle_set(t, size), frequent) for t in texts]
+                [prefix(shingle_set(t, size), percent, classes) for t in texts]
             )
         ]
 

@@ -74,13 +74,15 @@ class Chunks(dict):
     Blanks end a word for the tokenizer, so a text's ids are those of its chunks in turn. Chunks of lower-case letters
     are single words that normalising leaves alone; all new ones of a piece are encoded in a few calls, without
     normalising, and cut where a token ends a word. ASCII marks after letters are a word of their own. A chunk met for
-    the first time stands in its texts as an empty buffer that ``learn`` fills, so each word is looked up once.
+    the first time stands in its texts as an empty buffer that ``learn`` fills, so each word is looked up once. A text
+    that spells a token which the library cuts out beforehand is left to the library as a whole.
     """
 
     def __init__(self, name: str):
         file = name if "/" in name else tokenizer_path(name)
         self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.special = sorted(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.first = {c for t in self.special for c in (t[0], t[0].upper())}
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -140,6 +142,12 @@ class Chunks(dict):
         for chunk, head, buffer in ended:
             buffer[:] = self[chunk] = self[head] + marks[chunk[len(head) :]]
 
+    def spells_special(self, text: str) -> bool:
+        if not any(first in text for first in self.first):
+            return False
+        low = text.lower()
+        return any(token in low for token in self.special)
+
     def taken(self) -> tuple[list[bytes], list[bytearray]]:
         """Chunks met since the last call and their buffers."""
         met = self.new, self.buffers
@@ -158,7 +166,10 @@ class Chunks(dict):
             else:
                 raw = text.encode()
                 raw = raw if COMBINING.search(text) else raw.lower()
-            found.append(list(map(get, raw.split())))
+            if self.spells_special(text):
+                found.append([array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()])
+            else:
+                found.append(list(map(get, raw.split())))
         self.learn()
         return [b"".join(parts) for parts in found]
 

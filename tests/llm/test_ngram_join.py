@@ -57,10 +57,9 @@ def test_classes_equal_brute_force(spark, size, percent, block):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == slow_classes(rows, size, percent)
 
 
-def test_linked_sets_share_a_signature():
+def test_linked_sets_share_a_shingle_of_their_prefixes():
     rng = np.random.default_rng(3)
     for percent in (50, 80, 85, 95):
-        signer = j.Signer(percent)
         for n in [*range(1, 60), 200, 1000]:
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
             for _ in range(5):
@@ -69,10 +68,19 @@ def test_linked_sets_share_a_signature():
                 y = np.union1d(y, rng.integers(0, 2**63, 2).astype(np.uint64))
                 both = len(np.intersect1d(x, y))
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    assert set(signer.sign(x)) & set(signer.sign(y))
-                    for share in (0.1, 0.6, 1.0):
-                        flags = rng.random(1 << j.SKETCH) < share
-                        assert set(signer.sign(x, flags)) & set(signer.sign(y, flags))
+                    for top in (1, 2, 9):
+                        classes = rng.integers(0, top, 1 << j.SKETCH).astype(np.uint8)
+                        assert set(j.prefix(x, percent, classes)) & set(j.prefix(y, percent, classes))
+
+
+def test_frequent_passages_come_last(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(200))) for i in range(60)], "doc_id bigint, text string")
+    classes = j.frequency_classes(docs, 4)
+    common = j.shingle_set(passage, 4)
+    assert (classes[j.sketch_buckets(common)] > 0).all()
+    for row in docs.limit(5).collect():
+        assert not set(j.prefix(j.shingle_set(row.text, 4), 85, classes)) & set(common.astype(np.int64))
 
 
 def test_divide_skip_finds_what_a_double_loop_finds():

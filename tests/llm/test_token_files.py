@@ -21,11 +21,11 @@ def test_files_hold_what_the_library_encodes(spark, tmp_path):
     rng = random.Random(3)
     letters = "abJKs ,.'\n\t019éßİΣ漢🙂̌́  "
     texts = [None, "", "It's,", "x',", "J̌ow", "ÀÉ." * 30, "<|endoftext|> a", "a.b.,", "ΑΣ ΣΑΣ", "été, École. ÿß µ x.", "\xa0a\x85b\x1cc"]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y  z", "<|STARTOFTEXT|> z", " <|endoftext|>\n", "<|endoftext|><|endoftext|>", "<|endoftext| >", "É<|startoftext|>É́"]
     texts += ["".join(rng.choice(letters) for _ in range(n)) for n in range(300)]
     rows = [(3 * i % 1000 if i else None, x, "s") for i, x in enumerate(texts)] + [(3, "again", "s")] * 2
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, start string")
     lib = Tokenizer.from_file(path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     want = sorted((-1 if d is None else d, lib.encode(x or "", add_special_tokens=False).ids + [1]) for d, x, _ in rows)
     got = t.token_files(docs, str(tmp_path / "f")).orderBy("start").collect()
     upto = 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import ratio
 from rastertab.functions.quantiles import exact_quantiles
 from rastertab.functions.ranking import prefix_extreme, value_rank
+from rastertab.functions.state import settle
 from rastertab.operators.metrics import TILE_METRICS
 from rastertab.schema import CLASS_NAMES
 
@@ -80,7 +81,7 @@ def bootstrap_ci(
     sums = []
     for m in metrics:
         sums += [F.sum(F.col("_w") * F.col(m)).alias(f"s_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"n_{m}")]
-    vectors = rows.groupBy("replicate").agg(*sums)
+    vectors = settle(rows.groupBy("replicate").agg(*sums), "replicates")  # a row per replicate, read several times
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(f"s_{m}", f"n_{m}").alias("mean")) for m in metrics])
     means = vectors.select(F.inline(entries)).where("mean IS NOT NULL")
     return exact_quantiles(means, ["metric"], "mean", {"low": 0.025, "high": 0.975}).withColumn(

@@ -35,4 +35,13 @@ def settle(df: DataFrame, label: str = "round") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.settled_path = path
+    return kept
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete what :func:`settle` wrote for a frame that nothing will read again, so that rounds don't pile up."""
+    spark = settled.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(settled.settled_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,9 +5,10 @@ recurs at its position stays a constant, any other becomes ``<*>``; lines with t
 Templates that recur across documents are dropped wherever they stand.
 
 Copies of whole documents also repeat their lines, so a template counts the groups of documents it stands in: equal
-texts are one document, and texts that share most of their lines with others are one group. A line is known again by
-its leading tokens, a long one also by others at its ends. Boilerplate of any length goes, copies are left to
-near-duplicate detection.
+texts are one document, and texts that share more than two thirds of their lines with others are one group. A line is
+known again as a whole, a long one by either end, so that common openings make no copies. Nor do they make templates:
+beyond the leading tokens, which the tree has fixed, half of the tokens must recur too. Boilerplate of any length goes,
+copies are left to near-duplicate detection.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from rastertab.functions.state import settle
 DEPTH = 3  # leading tokens that the tree looks at
 MIN_TOKENS = 4  # shorter lines are no templates
 MIN_DOCS = 5  # groups of documents in which a template recurs
-MOSTLY = 2 / 3  # share of a text's lines that other texts have too, from which it belongs to a group
-MIN_CONSTANT = 0.5  # share of constant tokens that a template needs
+MOSTLY = 2 / 3  # share of a text's lines that other texts have too, above which it belongs to a group
+MIN_CONSTANT = 0.5  # share of constant tokens that a template needs beyond the leading ones
 WILD = "<*>"
-LONG = 16  # tokens of a line from which a copy may well differ in its leading ones
+LONG = 16  # tokens of a line from which a copy may well differ in one of them
 
 
 TOKENS = "array_remove(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
@@ -32,27 +33,28 @@ TOKENS = "array_remove(split({}, '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
 def line_rows(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(text_hash, line_no, line, leaf, anchors) of every line with at least ``min_tokens`` tokens.
 
-    Anchors are the leading ``depth`` tokens, in lines of ``LONG`` tokens also the next, the last and those before.
+    The leaf is the token count and the leading ``depth`` tokens. A line is known again by its anchors: the whole line,
+    in lines of ``LONG`` tokens or more either half of so many at its two ends. Digits are generalised in all of them.
     """
-    run = f"IF(size(w) >= {{}}, regexp_replace(array_join(slice(w, {{}}, {depth}), ' '), '[0-9]+', '0'), NULL)"
-    runs = ", ".join(run.format(*x) for x in ((0, 1), (LONG, depth + 1), (LONG, -depth), (LONG, -2 * depth)))
+    half = LONG // 2
+    ends = f"array(xxhash64(array_join(slice(w, 1, {half}), ' ')), xxhash64(concat('end ', array_join(slice(w, -{half}, {half}), ' '))))"
+    mark = f"""named_struct('leaf', xxhash64(size(w), array_join(slice(w, 1, {depth}), ' ')),
+        'anchors', IF(size(w) >= {LONG}, {ends}, array(xxhash64(array_join(w, ' ')))))"""
+    general = TOKENS.format("regexp_replace(l, '[0-9]+', '0')")
     return (
         docs.select(F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
-        .selectExpr("text_hash", "lines", f"transform(lines, l -> {TOKENS.format('l')}) AS words")
-        .selectExpr("text_hash", "lines", "transform(words, w -> size(w)) AS sizes",
-                    f"transform(words, w -> IF(size(w) >= {min_tokens}, array({runs}), NULL)) AS runs")
+        .selectExpr("text_hash", "lines", f"transform(lines, l -> {general}) AS words")
+        .selectExpr("text_hash", "lines", f"transform(words, w -> IF(size(w) >= {min_tokens}, {mark}, NULL)) AS marks")
         .selectExpr(
             "text_hash",
             """inline(filter(transform(lines, (l, i) -> named_struct('line_no', i, 'line', l,
-                'leaf', xxhash64(sizes[i], runs[i][0]),
-                'anchors', transform(filter(runs[i], r -> r IS NOT NULL), r -> xxhash64(r)))),
-                x -> x.anchors IS NOT NULL))""",
+                'leaf', marks[i].leaf, 'anchors', marks[i].anchors)), x -> x.anchors IS NOT NULL))""",
         )
     )
 
 
 def copy_groups(places: DataFrame, mostly: float = MOSTLY) -> DataFrame:
-    """(text_hash, group) of the texts that share at least ``mostly`` of their lines; all others stand for themselves.
+    """(text_hash, group) of the texts that share more than ``mostly`` of their lines; all others stand for themselves.
 
     ``places`` has (text_hash, line_no, anchors) once for each line. A group is named by its least anchor. Anchors of
     one text alone name none, so changed words do not part copies; a text without its group's least anchor has the
@@ -70,7 +72,7 @@ def copy_groups(places: DataFrame, mostly: float = MOSTLY) -> DataFrame:
             F.size(F.collect_set(F.when(F.col("shared"), F.col("line_no")))).alias("n"),
             F.size(F.collect_set("line_no")).alias("of"),
         )
-        .where((F.col("n") > 0) & (F.col("n") >= mostly * F.col("of")))
+        .where(F.col("n") > mostly * F.col("of"))
         .selectExpr("text_hash", "least[0] AS anchor", "get(least, 1) AS next"),
         "copies",
     )
@@ -109,7 +111,7 @@ def text_templates(
         .agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("s")))), lambda x: x.s), " ")
             .alias("template"),
-            F.avg(F.coalesce(F.col("constant"), F.lit(False)).cast("int")).alias("share"),
+            F.avg(F.when(F.col("at") >= depth, F.coalesce(F.col("constant"), F.lit(False)).cast("int"))).alias("share"),
         )
         .where(F.col("share") >= min_constant),
         "templates",

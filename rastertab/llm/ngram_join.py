@@ -7,7 +7,8 @@
 3. Inside a family, an inverted index over the members' shingles answers each member's T-occurrence query: the short
    lists are merged and counted, the long ones are probed by binary search for the candidates left, and documents
    that reach the overlap the two set sizes require are links. Candidates already connected to the query are skipped,
-   since a class needs no second link. Families above ``BLOCK`` members are searched as pairs of blocks.
+   since a class needs no second link. Families above ``SPLIT`` members are cut anew without the shingles of frequent
+   passages, families above ``BLOCK`` are searched as pairs of blocks.
 4. Links and copies are contracted to classes.
 
 No step gathers a key of unbounded size: signatures are range-partitioned by (signature, document), so one that a
@@ -22,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertab.functions.state import settle
+from rastertab.functions.state import discard, settle
 from rastertab.llm.common import lists_of, over_texts
 from rastertab.llm.stars import dealt_parts, forest, roots
 
 BLOCK = 1024  # members of a family that one task searches among themselves
+SPLIT = 64  # members of a family above which it is signed anew without the shingles of frequent passages
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
 SKETCH = 18  # 2^18 counters tell the shingles of frequent passages in families that are too large
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +110,7 @@ def frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                total += np.bincount(sketch_buckets(shingle_set(text.as_py(), size)), minlength=len(total))
+                np.add.at(total, sketch_buckets(shingle_set(text.as_py(), size)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
@@ -290,6 +292,7 @@ def split_families(docs: DataFrame, large: DataFrame, size: int, percent: int) -
 
     marks = over_texts(texts, start, "sigs array<bigint>")
     found = roots(chains(marks.select(F.explode("sigs").alias("sig"), "doc_id")))
+    discard(texts)
     ids = large.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("family"))
 
@@ -302,22 +305,24 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
     the same doc_id are one node, whatever their texts; rows without a doc_id link with nothing and have no
     component. Equal texts are equal sets, hence linked. No rows give no rows; other columns are left out.
     """
-    marks = settle(signed(docs, size, percent), "signed")
+    signatures = settle(signed(docs, size, percent), "signed")
+    marks = settle(signatures.drop("sigs"), "marks")
     some = marks.where("n > 0").select("doc_id", "fp_a", "fp_b")
     reps = some.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
     copies = settle(some.join(reps, ["fp_a", "fp_b"]).select("doc_id", "rep").distinct(), "copies")
     edges = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    near = chains(marks.select(F.explode("sigs").alias("sig"), "doc_id"))
+    near = chains(signatures.select(F.explode("sigs").alias("sig"), "doc_id"))
+    discard(signatures)
     families = roots(near.union(edges))
     heads = copies.where("doc_id = rep").select("doc_id").distinct()
     member = heads.join(families, heads.doc_id == families.node, "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("family")
     )
     member = settle(member.join(sizes(member).where("m > 1"), "family"), "families")
-    large = member.where(F.col("m") > block)
+    large = member.where(F.col("m") > SPLIT)
     if not large.isEmpty():
         again = split_families(docs, large.select("doc_id", F.col("family").alias("whole")), size, percent)
-        kept = member.where(F.col("m") <= block).select("doc_id", "family")
+        kept = member.where(F.col("m") <= SPLIT).select("doc_id", "family")
         member = kept.union(again)
     member = member.select("doc_id", "family")
     blocks = sizes(member).where("m > 1").select("family", F.ceil(F.col("m") / block).cast("int").alias("blocks"))

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertab.functions.state import settle
+from rastertab.functions.state import discard, settle
 
 PARTS = 64  # range partitions at least, so that tasks stay small on small clusters too
 
@@ -58,7 +58,8 @@ def roots(edges: DataFrame) -> DataFrame:
     now = settle(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = settle(_star(_star(now, True), False).distinct(), "stars")
+        before, now = now, settle(_star(_star(now, True), False).distinct(), "stars")
+        discard(before)
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == was or mark[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

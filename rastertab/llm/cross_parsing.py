@@ -57,26 +57,26 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Edges:
     """Transitions of all automata as a double array: ``base[state] + symbol`` is a slot that names its state.
 
-    States of many edges are placed first; a state takes the first of a few free places that fit, or new ones.
+    States of many edges are placed first, those of one edge fill the gaps.
     """
 
     TRIES = 32
 
     def __init__(self, nexts: list[dict[int, int]], width: int):
         used, base, owner, target = bytearray(width), [0] * len(nexts), [-1] * width, [0] * width
-        free = width  # lower slots stay empty, so that no base is negative
+        free = rover = width  # lower slots stay empty, so that no base is negative
         for state in sorted((k for k, out in enumerate(nexts) if out), key=lambda k: -len(nexts[k])):
             symbols = list(nexts[state])
             low, high = min(symbols), max(symbols)
-            at = free
-            for _ in range(self.TRIES):
+            at, tries = (free if low == high else rover), 0
+            while True:
                 at = used.find(0, at)
                 at = len(used) if at < 0 else at
                 if not any(at - low + c < len(used) and used[at - low + c] for c in symbols):
                     break
-                at += 1
-            else:
-                at = len(used)
+                at, tries = at + 1, tries + 1
+                if tries > self.TRIES:
+                    rover = at  # what is free before it is left to states of one edge
             if (more := at - low + high + 1 - len(used)) > 0:
                 used.extend(bytes(more))
                 owner.extend([-1] * more)

@@ -219,7 +219,7 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
     """Rings accepted as holes of ring ``outer``: (tile_id, region, ring, area).
 
     A hole must be simple, start inside the outer ring, not meet it, and not meet a hole accepted
-    before it (larger area first). Acceptance resolves in rounds over the table of meeting pairs.
+    before it (larger area first). Acceptance resolves in rounds over the table of meeting pairs, see :func:`outranked`.
     """
     keys = ["tile_id", "region"]
     meets = settle(segment_crossings(edges).select(*keys, "ring", "o_ring").distinct(), "crossings")
@@ -252,25 +252,48 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
         .join(ranked.select(*keys, F.col("ring").alias("o_ring"), F.col("rank").alias("o_rank")), [*keys, "o_ring"])
         .select(*keys, F.least("rank", "o_rank")["r"].alias("first"), F.greatest("rank", "o_rank")["r"].alias("then"))
     )
-    conflicts = settle(conflicts.distinct(), "conflicts")
-    dropped = None
-    while True:  # every round resolves the best ring of each chain at least
-        left = conflicts.count()
-        if left == 0:
-            break
-        # A ring that loses to nobody is accepted; whatever it outranks is dropped with its conflicts.
-        losers = conflicts.select(*keys, F.col("then").alias("first")).distinct()
-        winners = conflicts.join(losers, [*keys, "first"], "left_anti")
-        gone = winners.select(*keys, F.col("then").alias("ring")).distinct()
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        dropped = settle(dropped, "dropped")
-        conflicts = settle(
-            conflicts.join(dropped.withColumnRenamed("ring", "first"), [*keys, "first"], "left_anti").join(
-                dropped.withColumnRenamed("ring", "then"), [*keys, "then"], "left_anti"
+    dropped = outranked(conflicts.distinct(), keys)
+    return candidates if dropped is None else candidates.join(dropped, [*keys, "ring"], "left_anti")
+
+
+def outranked(conflicts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """(keys…, ring) of the rings that an accepted ring outranks; None without conflicts. All other rings are accepted.
+
+    ``conflicts`` is (keys…, first, then). A ring is accepted when no ring that outranks it is. A ring that one open
+    ring alone outranks has the opposite fate, and so on along a chain: chains are resolved by pointer jumping, with
+    the parity of the way, so rounds grow with the logarithm of a chain. Every round also settles whatever an accepted
+    ring outranks.
+    """
+    keys, gone = list(keys), None
+    left = settle(conflicts.select(*keys, "first", "then"), "conflicts")
+    while not left.isEmpty():
+        over = left.groupBy(*keys, F.col("then").alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("to"))
+        over = settle(over, "over")
+        now = over.where("n = 1").select(*keys, "ring", "to", F.lit(True).alias("odd"))
+        while True:
+            ahead = now.select(*keys, F.col("ring").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+            step = now.join(ahead, [*keys, "to"], "left").select(
+                *keys, "ring", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                F.col("_to").isNotNull().alias("moved"),
+            )
+            now = settle(step, "chains")
+            if now.where("moved").isEmpty():
+                break
+            now = now.drop("moved")
+        tops = left.select(*keys, F.col("first").alias("ring")).distinct().join(over, [*keys, "ring"], "left_anti")
+        ended = now.join(tops.withColumnRenamed("ring", "to"), [*keys, "to"], "left_semi")
+        accepted = tops.unionByName(ended.where("NOT odd").select(*keys, "ring"))
+        beaten = left.join(accepted.withColumnRenamed("ring", "first"), [*keys, "first"], "left_semi")
+        lost = settle(beaten.select(*keys, F.col("then").alias("ring")).distinct(), "lost")
+        gone = lost if gone is None else gone.unionByName(lost)
+        settled = accepted.unionByName(lost).distinct()
+        left = settle(
+            left.join(settled.withColumnRenamed("ring", "first"), [*keys, "first"], "left_anti").join(
+                settled.withColumnRenamed("ring", "then"), [*keys, "then"], "left_anti"
             ),
             "conflicts",
         )
-    return candidates if dropped is None else candidates.join(dropped, [*keys, "ring"], "left_anti")
+    return gone
 
 
 def tagged_split(name: str) -> Column:

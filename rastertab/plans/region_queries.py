@@ -229,15 +229,19 @@ def rg13(spark, sf_dir):
 
 
 
-@query("rg14_segment_crossings", f"""
-WITH {_seg_sql()}, pr AS (SELECT a.*, b.ring AS o_ring, b.seq AS o_seq, b.x1 AS u1, b.z1 AS v1, b.x2 AS u2, b.z2 AS v2 FROM sg a JOIN sg b ON a.tile_id=b.tile_id AND (a.ring<b.ring OR (a.ring=b.ring AND a.seq<b.seq))
- WHERE NOT (a.ring=b.ring AND (b.seq-a.seq=1 OR b.seq-a.seq=a.n-1))),
-o AS (SELECT *, (x2-x1)*(v1-z1)-(z2-z1)*(u1-x1) AS s1, (x2-x1)*(v2-z1)-(z2-z1)*(u2-x1) AS s2, (u2-u1)*(z1-v1)-(v2-v1)*(x1-u1) AS s3, (u2-u1)*(z2-v1)-(v2-v1)*(x2-u1) AS s4 FROM pr)
-SELECT tile_id, 0 AS region, ring, seq, o_ring, o_seq FROM o WHERE ((s1>1e-9 AND s2<-1e-9) OR (s1<-1e-9 AND s2>1e-9)) AND ((s3>1e-9 AND s4<-1e-9) OR (s3<-1e-9 AND s4>1e-9))
+_SIDES = "(x2-x1)*(v1-z1)-(z2-z1)*(u1-x1) AS s1, (x2-x1)*(v2-z1)-(z2-z1)*(u2-x1) AS s2, (u2-u1)*(z1-v1)-(v2-v1)*(x1-u1) AS s3, (u2-u1)*(z2-v1)-(v2-v1)*(x2-u1) AS s4"
+_MEET = """((s1>1e-9 AND s2<-1e-9) OR (s1<-1e-9 AND s2>1e-9)) AND ((s3>1e-9 AND s4<-1e-9) OR (s3<-1e-9 AND s4>1e-9))
  OR (abs(s1)<=1e-9 AND u1 BETWEEN least(x1,x2)-1e-9 AND greatest(x1,x2)+1e-9 AND v1 BETWEEN least(z1,z2)-1e-9 AND greatest(z1,z2)+1e-9)
  OR (abs(s2)<=1e-9 AND u2 BETWEEN least(x1,x2)-1e-9 AND greatest(x1,x2)+1e-9 AND v2 BETWEEN least(z1,z2)-1e-9 AND greatest(z1,z2)+1e-9)
  OR (abs(s3)<=1e-9 AND x1 BETWEEN least(u1,u2)-1e-9 AND greatest(u1,u2)+1e-9 AND z1 BETWEEN least(v1,v2)-1e-9 AND greatest(v1,v2)+1e-9)
- OR (abs(s4)<=1e-9 AND x2 BETWEEN least(u1,u2)-1e-9 AND greatest(u1,u2)+1e-9 AND z2 BETWEEN least(v1,v2)-1e-9 AND greatest(v1,v2)+1e-9)""")
+ OR (abs(s4)<=1e-9 AND x2 BETWEEN least(u1,u2)-1e-9 AND greatest(u1,u2)+1e-9 AND z2 BETWEEN least(v1,v2)-1e-9 AND greatest(v1,v2)+1e-9)"""
+
+
+@query("rg14_segment_crossings", f"""
+WITH {_seg_sql()}, pr AS (SELECT a.*, b.ring AS o_ring, b.seq AS o_seq, b.x1 AS u1, b.z1 AS v1, b.x2 AS u2, b.z2 AS v2 FROM sg a JOIN sg b ON a.tile_id=b.tile_id AND (a.ring<b.ring OR (a.ring=b.ring AND a.seq<b.seq))
+ WHERE NOT (a.ring=b.ring AND (b.seq-a.seq=1 OR b.seq-a.seq=a.n-1))),
+o AS (SELECT *, {_SIDES} FROM pr)
+SELECT tile_id, 0 AS region, ring, seq, o_ring, o_seq FROM o WHERE {_MEET}""")
 def rg14(spark, sf_dir):
     return outlines.segment_crossings(outlines.polygon_edges(_polygons(spark, sf_dir)))
 
@@ -256,9 +260,33 @@ def hole_polygons(spark, sf_dir):
     return e.select(F.col("vec_id").alias("tile_id"), F.lit(0).alias("region"), F.inline(F.array(*rings)))
 
 
-@query("rg15_safe_holes")
+def _hole_sql() -> str:
+    """Segments of hole_polygons, as pieces (ring, n, seq, x1, z1, x2, z2)."""
+    e = lambda i: f"embedding[{i + 1}]::DOUBLE"
+    half = f"(0.1+abs({e(0)})/10)"
+    rings = {0: [(f"-{half}", f"-{half}"), (half, f"-{half}"), (half, half), (f"-{half}", half)]}
+    for r in range(1, 5):
+        x, z, s = f"{e(4 * r)}/10", f"{e(4 * r + 1)}/10", f"(0.01+abs({e(4 * r + 2)})/10)"
+        rings[r] = [(x, z), (f"{x}+{s}", z), (f"{x}+{s}/3", f"{z}+{s}")]
+    rows = []
+    for r, points in rings.items():
+        for i, (a, b) in enumerate(zip(points, [*points[1:], points[0]])):
+            rows.append(f"SELECT vec_id AS tile_id, {r} AS ring, {len(points)} AS n, {i} AS seq, {a[0]} AS x1, {a[1]} AS z1, {b[0]} AS x2, {b[1]} AS z2 FROM embeddings")
+    return "sg AS (" + " UNION ALL ".join(rows) + ")"
+
+
+@query("rg15_safe_holes", f"""WITH RECURSIVE {_hole_sql()},
+pr AS (SELECT a.*, b.ring AS o_ring, b.seq AS o_seq, b.x1 AS u1, b.z1 AS v1, b.x2 AS u2, b.z2 AS v2 FROM sg a JOIN sg b ON a.tile_id=b.tile_id AND (a.ring<b.ring OR (a.ring=b.ring AND a.seq<b.seq)) WHERE NOT (a.ring=b.ring AND (b.seq-a.seq=1 OR b.seq-a.seq=a.n-1))),
+o AS (SELECT *, {_SIDES} FROM pr), mt AS (SELECT DISTINCT tile_id, ring, o_ring FROM o WHERE {_MEET}),
+bad AS (SELECT tile_id, ring FROM mt WHERE ring=o_ring UNION SELECT tile_id, o_ring FROM mt WHERE ring=0),
+ar AS (SELECT tile_id, ring, abs(sum(x1*z2-x2*z1)/2) AS area FROM sg WHERE ring>0 GROUP BY ALL),
+ins AS (SELECT p.tile_id, p.ring FROM sg p JOIN sg s ON s.tile_id=p.tile_id AND s.ring=0 AND (s.z1>p.z1)<>(s.z2>p.z1) WHERE p.ring>0 AND p.seq=0 AND p.x1 < (s.x1-s.x2)*(p.z1-s.z2)/(s.z1-s.z2)+s.x2 GROUP BY ALL HAVING count(*)%2=1),
+cd AS (SELECT ar.*, row_number() OVER (PARTITION BY tile_id ORDER BY area DESC, ring) AS k FROM ar JOIN ins USING (tile_id, ring) ANTI JOIN bad USING (tile_id, ring)),
+cf AS (SELECT tile_id, ring, list(o_ring) AS foes FROM (SELECT tile_id, ring, o_ring FROM mt UNION ALL SELECT tile_id, o_ring, ring FROM mt) GROUP BY ALL),
+rk AS (SELECT cd.*, coalesce(foes, []) AS foes FROM cd LEFT JOIN cf USING (tile_id, ring)),
+go(tile_id, k, acc) AS (SELECT DISTINCT tile_id, 0::BIGINT, []::INT[] FROM cd UNION ALL SELECT g.tile_id, r.k, CASE WHEN list_has_any(acc, foes) THEN acc ELSE list_append(acc, r.ring) END FROM go g JOIN rk r ON r.tile_id=g.tile_id AND r.k=g.k+1)
+SELECT tile_id, 0 AS region, ring, round(area,6) AS area FROM cd JOIN (SELECT tile_id, unnest(last(acc ORDER BY k)) AS ring FROM go GROUP BY tile_id) USING (tile_id, ring)""")
 def rg15(spark, sf_dir):
-    """Greedy acceptance has no short SQL form; the tests compare it with a direct loop."""
     return rounded(outlines.safe_holes(outlines.polygon_edges(hole_polygons(spark, sf_dir))))
 
 

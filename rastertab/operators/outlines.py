@@ -11,6 +11,7 @@ from rastertab.functions.columns import finite, python_round
 from rastertab.functions.grid import attach, stencil
 from rastertab.functions.state import settle
 from rastertab.operators.components import BLOCK, CODE, edge_pieces
+from rastertab.operators.containment import points_in_polygons
 
 TOLERANCE = 1e-9
 
@@ -97,32 +98,6 @@ def normalized_edges(edges: DataFrame, shape: DataFrame) -> DataFrame:
     )
 
 
-def points_in_polygons(
-    points: DataFrame, edges: DataFrame, point_key: Sequence[str] = ("point_id",), bands: int = 1024
-) -> DataFrame:
-    """(tile_id, point_key…, region) for points inside a region by the even-odd rule, holes excluded.
-
-    Edges are filed under the horizontal bands they cross and under nothing else, so a point meets
-    only the edges at its own height, by an equi-join on (tile, band).
-    """
-
-    def band(z: Column) -> Column:
-        return F.floor((z + 0.5) * bands)
-
-    low, high = F.least("z1", "z2"), F.greatest("z1", "z2")
-    filed = edges.where(low < high).withColumn("_band", F.explode(F.sequence(band(low), band(high)))).select(
-        "tile_id", "region", "x1", "z1", "x2", "z2", "_band"
-    )
-    placed = points.select("tile_id", *point_key, "x", "z").withColumn("_band", band(F.col("z")))
-    met = placed.join(filed, ["tile_id", "_band"])
-    straddles = (F.col("z1") > F.col("z")) != (F.col("z2") > F.col("z"))
-    at = F.try_divide((F.col("x1") - F.col("x2")) * (F.col("z") - F.col("z2")), F.col("z1") - F.col("z2")) + F.col("x2")
-    crossed = met.where(straddles & (F.col("x") < at))
-    return crossed.groupBy("tile_id", *point_key, "region").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") % 2 == 1
-    ).drop("_n")
-
-
 def rasterize(edges: DataFrame, shape: DataFrame) -> DataFrame:
     """(tile_id, row, col, region) of the cells whose centre lies inside a region, by scanlines.
 

@@ -24,6 +24,19 @@ def query(name, sql=None):
     return register
 
 
+def _classes_sql(percent: int, last: str = "") -> str:
+    """Classes of texts whose sets of 4-word shingles link at ``percent``, by counting shared shingles of all pairs."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, array_to_string(w[i:i+3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w)-2)) AS i FROM d WHERE len(w) >= 4) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= {percent} * (u.n + v.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+cc(doc_id, c) USING KEY (doc_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT m.doc_id, min(k.c) FROM cc k JOIN e ON e.a = k.doc_id JOIN recurring.cc m ON m.doc_id = e.b WHERE k.c < m.c GROUP BY m.doc_id)
+SELECT cc.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id{last} FROM cc LEFT JOIN n USING (doc_id)"""
+
+
 @query("op1_byte_bpe")
 def op1(spark, sf_dir):
     rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
@@ -41,7 +54,7 @@ def op4(spark, sf_dir):
     return quality_llr.judge(docs, quality_llr.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op6_ngram_join")
+@query("op6_ngram_join", _classes_sql(85))
 def op6(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -123,7 +136,7 @@ def op11(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-@query("op12_tensor_minhash")
+@query("op12_tensor_minhash", _classes_sql(80, ", c = cc.doc_id AS kept"))
 def op12(spark, sf_dir):
     found = tensor_minhash.classes(table(spark, sf_dir, "documents"), size=4, percent=80)
     # a row without a doc_id is a class of its own

@@ -47,8 +47,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with one exact quantile column per entry of ``wanted``.
 
-    A number p in 0..1 gives the linearly interpolated quantile, ``"upper"`` the element at index
-    n div 2 of the sorted values. NULL, NaN and infinite values and NULL keys are ignored; groups without a value are
+    A number p in 0..1 gives the linearly interpolated quantile, low * (1 - d) + high * d with every step rounded on its
+    own and never beyond the two values it lies between; ``"upper"`` the element at index n div 2 of the sorted values. NULL, NaN and infinite values and NULL keys are ignored; groups without a value are
     absent.
     """
     value = F.col(value) if isinstance(value, str) else value
@@ -76,7 +76,7 @@ def exact_quantiles(
             position = f"({float(p)!r}D * (_total - 1))"
             ends = (f"floor({position})", f"ceil({position})")
             blend = f"{low} * (ceil({position}) - {position}) + {high} * ({position} - floor({position}))"
-            outputs.append(f"if(floor({position}) = ceil({position}), {low}, {blend}) AS `{name}`")
+            outputs.append(f"if(floor({position}) = ceil({position}), {low}, greatest({low}, least({high}, {blend}))) AS `{name}`")
         for side, rank in enumerate(ends):
             slots.append(f"named_struct('slot', {2 * i + side}, 'rank', bigint({rank}))")
     if count_name:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertab.operators import audit
 from rastertab.plans import fixtures as fx
-from rastertab.plans.registry import query, rounded
+from rastertab.plans.registry import quantile_sql, query, rounded
 from rastertab.schema import CLASS_NAMES
 
 _Q = ", ".join(
@@ -166,8 +166,8 @@ def au14b(spark, sf_dir):
     return audit.palette_problems(_class_bands(spark, sf_dir))
 
 
-@query("au15_normalize_bands", """
-WITH q AS (SELECT tile_id, band, quantile_cont(value,0.02) AS lo, quantile_cont(value,0.98) AS hi FROM bands WHERE valid GROUP BY ALL)
+@query("au15_normalize_bands", f"""
+WITH q AS (SELECT tile_id, band, {quantile_sql("value", 0.02)} AS lo, {quantile_sql("value", 0.98)} AS hi FROM bands WHERE valid GROUP BY tile_id, band)
 SELECT b.tile_id, "row", col, b.band, CASE WHEN hi>lo THEN floor(greatest(0,least(255,(value-lo)/(hi-lo)*255)))::INT ELSE 0 END AS value FROM bands b LEFT JOIN q ON q.tile_id=b.tile_id AND q.band=b.band""")
 def au15(spark, sf_dir):
     return audit.normalize_bands(fx.bands(spark, sf_dir)).drop("valid")

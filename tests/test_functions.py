@@ -82,3 +82,21 @@ def test_prefix_extreme_over_chunks(spark):
     got = prefix_extreme(df, ["k"], "o", F.col("v"), "m", largest=False, inclusive=False, chunk=7).orderBy("o").collect()
     assert got[0]["m"] is None
     assert [r["m"] for r in got[1:]] == list(np.minimum.accumulate(values)[:-1])
+
+
+def test_quantiles_stay_between_their_neighbours_and_agree_with_their_sql(spark):
+    """Between two equal values lies that value, however a blend of them rounds; and the SQL twin rounds alike."""
+    import duckdb
+
+    from rastertab.plans.registry import quantile_sql
+
+    flat = [0.45, 0.9, 1.8, 0.93, 1.86, 1.95]  # blends of each of these with itself miss it by rounding
+    rows = [(g, v) for g, v in enumerate(flat) for _ in range(1024)]
+    rows += [(100 + g, round(0.01 * ((g * 104729 + i * 7919) % 5003), 2)) for g in range(20) for i in range(1024)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: (r["a"], r["b"]) for r in exact_quantiles(df, ["g"], "v", {"a": 0.72, "b": 0.98}).collect()}
+    assert [got[g] for g in range(len(flat))] == [(v, v) for v in flat]
+    con = duckdb.connect()
+    con.register("t", df.toPandas())
+    sql = f"SELECT g, {quantile_sql('v', 0.72)}, {quantile_sql('v', 0.98)} FROM t GROUP BY g"
+    assert {g: (a, b) for g, a, b in con.execute(sql).fetchall()} == got

@@ -8,7 +8,7 @@ from rastertab.functions.grid import tile_shape
 from rastertab.operators import components as cc
 from rastertab.operators import outlines, regions, rings, stencil, tiles
 from rastertab.plans import fixtures as fx
-from rastertab.plans.registry import query, rounded
+from rastertab.plans.registry import quantile_sql, query, rounded
 from rastertab.plans.stencil_queries import base_sql, green_sql, majority_sql, same_class_sql, smooth_sql, terrain_sql
 
 _SH = 'sh AS (SELECT tile_id, max("row")+1 AS rs, max(col)+1 AS cs FROM cells GROUP BY tile_id)'
@@ -68,8 +68,8 @@ def rg01b(spark, sf_dir):
     return cc.components(fx.cells(spark, sf_dir).where(F.col("class") != 3), block=8)
 
 
-_MASK = """q0 AS (SELECT tile_id, min(height) AS mn, max(height) AS mx FROM cells GROUP BY tile_id),
-q1 AS (SELECT tile_id, greatest(quantile_cont(height,0.72), any_value(mx)*0.2, 0.75) AS th FROM cells JOIN q0 USING (tile_id) WHERE height>greatest(mn,1e-3) GROUP BY tile_id),
+_MASK = f"""q0 AS (SELECT tile_id, min(height) AS mn, max(height) AS mx FROM cells GROUP BY tile_id),
+q1 AS (SELECT tile_id, greatest({quantile_sql("height", 0.72)}, any_value(mx)*0.2, 0.75) AS th FROM cells JOIN q0 USING (tile_id) WHERE height>greatest(mn,1e-3) GROUP BY tile_id),
 tm AS (SELECT tile_id, "row", col FROM cells JOIN q1 USING (tile_id) WHERE height>=th)"""
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastertab.operators import stencil
 from rastertab.plans import fixtures as fx
-from rastertab.plans.registry import query, rounded
+from rastertab.plans.registry import quantile_sql, query, rounded
 
 _AT = 'n.tile_id=c.tile_id AND n."row"=c."row"+o.dr AND n.col=c.col+o.dc'
 
@@ -89,8 +89,8 @@ def st04(spark, sf_dir):
     return stencil.mask_boundary(fx.cells(spark, sf_dir), F.col("class") == 3).select("tile_id", "row", "col", "edge")
 
 
-@query("st05_height_boundary", """
-WITH q AS (SELECT tile_id, greatest(quantile_cont(height,0.72),0.75) AS th FROM cells GROUP BY tile_id), m AS (SELECT tile_id, "row", col, height>=th AS a FROM cells JOIN q USING (tile_id))
+@query("st05_height_boundary", f"""
+WITH q AS (SELECT tile_id, greatest({quantile_sql("height", 0.72)}, 0.75) AS th FROM cells GROUP BY tile_id), m AS (SELECT tile_id, "row", col, height>=th AS a FROM cells JOIN q USING (tile_id))
 SELECT c.tile_id, c."row", c.col, c.a AND (SELECT count(*) FROM off4 o JOIN m n ON n.tile_id=c.tile_id AND n."row"=c."row"+dr AND n.col=c.col+dc WHERE n.a)<4 AS edge_height FROM m c""")
 def st05(spark, sf_dir):
     return stencil.height_boundary(fx.cells(spark, sf_dir)).select("tile_id", "row", "col", "edge_height")

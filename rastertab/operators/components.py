@@ -14,21 +14,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertab.functions.grid import attach
+from rastertab.functions.grid import attach, block_numbers, over_blocks
 from rastertab.functions.state import settle
 
 BLOCK = 256
 CODE = 1 << 32  # label of a cell: row * CODE + col, ordered row-major
 
 
-def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """4-connected labels of one block: least row-major code, spread along row and column runs."""
-    r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    r0, c0 = r - r.min(), c - c.min()
+GRID_CELLS = 1 << 21  # cells of the grids that are labelled at once
+
+
+def _label_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """4-connected labels of whole blocks: least row-major code, spread along row and column runs.
+
+    The blocks stand below each other in one grid, an empty line apart.
+    """
+    r, c, which = pdf["row"].to_numpy(), pdf["col"].to_numpy(), block_numbers(pdf)
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    r0 = r - np.minimum.reduceat(r, first)[which]
+    c0 = c - np.minimum.reduceat(c, first)[which]
+    lines = np.cumsum(np.maximum.reduceat(r0, first) + 2)
+    part = ((lines - 1) // max(1, GRID_CELLS // (int(c0.max()) + 1)))[which]
+    r0 = r0 + np.concatenate([[0], lines[:-1]])[which]
+    code = np.unique(pdf["layer"].to_numpy(), return_inverse=True)[1]  # so that -1 means no cell
+    own, local = r.astype(np.int64) * CODE + c, np.empty(len(pdf), np.int64)
+    ends = np.flatnonzero(np.diff(part, append=part[-1] + 1)) + 1
+    for low, high in zip([0, *ends[:-1]], ends):
+        some = slice(low, high)
+        local[some] = _label_grid(r0[some] - r0[some].min(), c0[some], code[some], own[some])
+    return pd.DataFrame({"tile_id": pdf["tile_id"], "layer": pdf["layer"], "row": r, "col": c, "local": local})
+
+
+def _label_grid(r0: np.ndarray, c0: np.ndarray, code: np.ndarray, own: np.ndarray) -> np.ndarray:
     layer = np.full((r0.max() + 1, c0.max() + 1), -1, dtype=np.int64)
-    layer[r0, c0] = np.unique(pdf["layer"].to_numpy(), return_inverse=True)[1]  # so that -1 means no cell
+    layer[r0, c0] = code
     label = np.zeros(layer.shape, dtype=np.int64)
-    label[r0, c0] = r.astype(np.int64) * CODE + c
+    label[r0, c0] = own
     axes = []
     for turned in (False, True):
         grid = layer.T if turned else layer
@@ -43,7 +64,7 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
             label = np.ascontiguousarray(low.T) if turned else low
         if np.array_equal(before, label):
             break
-    return pd.DataFrame({"tile_id": pdf["tile_id"], "layer": pdf["layer"], "row": r, "col": c, "local": label[r0, c0]})
+    return label[r0, c0]
 
 
 def contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame | None:
@@ -101,10 +122,8 @@ def components(mask: DataFrame, block: int = BLOCK, layer: str | None = None) ->
     """
     tag = F.col(layer) if layer else F.lit(0)
     cells = mask.select("tile_id", "row", "col", tag.cast("bigint").alias("layer"))
-    blocks = cells.groupBy("tile_id", F.floor(F.col("row") / block), F.floor(F.col("col") / block))
-    local = settle(
-        blocks.applyInPandas(_label_block, "tile_id bigint, layer bigint, row int, col int, local bigint"), "labels"
-    )
+    shape = "tile_id bigint, layer bigint, row int, col int, local bigint"
+    local = settle(over_blocks(cells, ("row", "col"), block, _label_blocks, shape), "labels")
     stars = contract(_seams(local, block), ["tile_id", "layer"])
     if stars is None:
         labelled = local.withColumn("component", F.col("local"))
@@ -129,23 +148,26 @@ def drop_below(labelled: DataFrame, min_area: int) -> DataFrame:
 
 
 def _label_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Least point per connected piece of the unit edges of one block."""
-    comp = np.concatenate([pdf["component"].to_numpy()] * 2)
-    point = np.concatenate([pdf["p1"].to_numpy(), pdf["p2"].to_numpy()])
-    nodes = pd.DataFrame({"component": comp, "point": point})
-    ids, uniques = pd.factorize(pd.MultiIndex.from_frame(nodes))
+    """Least point per connected piece of the unit edges of each of the given blocks."""
+    ends = [pdf["tile_id"], pdf["component"], pd.Series(block_numbers(pdf))]
+    nodes = pd.concat(
+        [pd.DataFrame({"tile_id": ends[0], "which": ends[2], "component": ends[1], "point": pdf[p]}) for p in ("p1", "p2")], ignore_index=True
+    )
+    ids = nodes.groupby(["which", "component", "point"], sort=True).ngroup().to_numpy()  # ordered as the points of a piece are
     n = len(pdf)
     a, b = ids[:n], ids[n:]
-    names = np.array([u[1] for u in uniques], dtype=np.int64)
-    label = names.copy()
+    label = np.arange(ids.max() + 1)
     while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        if np.array_equal(before, label):
+        low, now = np.minimum(label[a], label[b]), label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if np.array_equal(now, label):
             break
-    out = nodes.assign(tile_id=pdf["tile_id"].iloc[0], local=label[ids]).drop_duplicates()
+        label = now
+    points = np.empty(len(label), np.int64)
+    points[ids] = nodes["point"].to_numpy()
+    out = nodes.assign(local=points[label[ids]]).drop_duplicates(["which", "component", "point"])
     return out[["tile_id", "component", "point", "local"]]
 
 
@@ -155,10 +177,9 @@ def edge_pieces(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     ``edges`` has tile_id, component, p1, p2 (point codes y * 2^32 + x) and y1, x1.
     """
     keys = ["tile_id", "component"]
-    blocks = edges.groupBy("tile_id", F.floor(F.col("y1") / block), F.floor(F.col("x1") / block))
-    local = settle(
-        blocks.applyInPandas(_label_edges, "tile_id bigint, component bigint, point bigint, local bigint"), "rings"
-    )
+    slim = edges.select("tile_id", "component", "p1", "p2", "y1", "x1")
+    shape = "tile_id bigint, component bigint, point bigint, local bigint"
+    local = settle(over_blocks(slim, ("y1", "x1"), block, _label_edges, shape), "rings")
     # A point on a block border is seen by at most four blocks.
     shared = local.groupBy(*keys, "point").agg(F.min("local").alias("a"), F.collect_set("local").alias("_all"))
     links = shared.where(F.size("_all") > 1).select(*keys, "a", F.explode("_all").alias("b"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertab.functions.columns import python_round
-from rastertab.functions.grid import attach
+from rastertab.functions.grid import attach, block_numbers, over_blocks
 from rastertab.functions.state import settle
 from rastertab.operators.components import BLOCK, CODE
 
@@ -45,12 +45,17 @@ def _places(before: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return jump, place
 
 
-def _join_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one block: closed rings are ranked from their least corner, pieces of others from their first edge."""
-    pdf = pdf.sort_values("edge", ignore_index=True)
+def _join_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of whole blocks: closed rings are ranked from their least corner, pieces of others from their first edge."""
+    # edges are numbered anew, block after block, as their numbers are known in one tile only
+    names, code = np.unique(np.concatenate([pdf["edge"], pdf["next"]]), return_inverse=True)
+    which, n = block_numbers(pdf) * len(names), len(pdf)
+    order = np.argsort(which + code[:n], kind="stable")
+    own, wanted = (which + code[:n])[order], (which + code[n:])[order]
+    pdf = pdf.iloc[order].reset_index(drop=True)
     edge, after, turns = pdf["edge"].to_numpy(), pdf["next"].to_numpy(), pdf["turns"].to_numpy()
-    spot = np.minimum(np.searchsorted(edge, after), len(edge) - 1)
-    here = edge[spot] == after
+    spot = np.minimum(np.searchsorted(own, wanted), n - 1)
+    here = own[spot] == wanted
     every = np.arange(len(edge))
     before = every.copy()
     before[spot[here]] = every[here]
@@ -85,8 +90,7 @@ def ring_vertices(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     others are holes. Runs jobs.
     """
     linked = successors(edges)
-    blocks = linked.groupBy("tile_id", F.floor(F.col("y1") / block), F.floor(F.col("x1") / block))
-    local = settle(blocks.applyInPandas(_join_block, _PIECES), "rings")
+    local = settle(over_blocks(linked, ("y1", "x1"), block, _join_blocks, _PIECES), "rings")
     whole = local.where("ring IS NOT NULL").select("tile_id", "component", "ring", F.col("place").alias("seq"), "turns", "edge", "x", "y")
     pieces = local.where("ring IS NULL")
     if not pieces.isEmpty():

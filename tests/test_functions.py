@@ -100,3 +100,27 @@ def test_quantiles_stay_between_their_neighbours_and_agree_with_their_sql(spark)
     con.register("t", df.toPandas())
     sql = f"SELECT g, {quantile_sql('v', 0.72)}, {quantile_sql('v', 0.98)} FROM t GROUP BY g"
     assert {g: (a, b) for g, a, b in con.execute(sql).fetchall()} == got
+
+
+def test_small_blocks_come_whole_and_many_in_a_call(spark):
+    """One call a block made tiny blocks cost as much as large ones; a block beyond a batch still comes whole."""
+    from rastertab.functions.grid import block_numbers, over_blocks
+
+    rows = [(t, r, c) for t in range(300) for r in range(4) for c in range(4)] + [(900, r, c) for r in range(40) for c in range(40)]
+    df = spark.createDataFrame(rows, "tile_id bigint, row int, col int")
+
+    def step(pdf):
+        which = block_numbers(pdf)
+        sizes = pdf.assign(which=which, calls=0).groupby("which", as_index=False).agg(tile_id=("tile_id", "first"), n=("row", "size"), calls=("calls", "sum"))
+        sizes.loc[0, "calls"] = 1
+        return sizes[["tile_id", "n", "calls"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        small = over_blocks(df, ("row", "col"), 2, step, "tile_id bigint, n bigint, calls bigint").collect()
+        large = over_blocks(df, ("row", "col"), 64, step, "tile_id bigint, n bigint, calls bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(small) == 300 * 4 + 400 and all(r["n"] == 4 for r in small)
+    assert sum(r["calls"] for r in small) < 60
+    assert sorted((r["tile_id"], r["n"]) for r in large) == [(t, 16) for t in range(300)] + [(900, 1600)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,42 @@ def poisson_steps(terms: int = 12) -> list[float]:
 RESIDUES = (1 << 31) - 1
 
 
-def replicate_weight(row_key: Column, replicate: Column, seed: int) -> Column:
-    """How often a row is drawn in a replicate: a Poisson(1) number from (a + replicate b) mod 2^31 - 1.
+REPLICATES = 1 << 20  # weights held at once in a task
 
-    a and b are 28 bits each of the MD5 of the row's key and the seed, so numbers of a replicate are independent and
-    replicates are so in pairs.
+
+def replicate_sums(tiles: DataFrame, metrics: Sequence[str], iterations: int, seed: int) -> DataFrame:
+    """(replicate, s_<metric>…, n_<metric>…) partial sums: one row per replicate and task.
+
+    How often a row is drawn in a replicate is a Poisson(1) number from (a + replicate b) mod 2^31 - 1, where a and b are
+    28 bits each of the MD5 of the row's key and the seed, so numbers of a replicate are independent and replicates are
+    so in pairs.
     """
-    text = F.md5(F.concat_ws("|", row_key.cast("string"), F.lit(seed).cast("string")).cast("binary"))
+    text = F.md5(F.concat_ws("|", F.col("tile_id").cast("string"), F.lit(seed).cast("string")).cast("binary"))
     a, b = (F.conv(F.substring(text, at, 7), 16, 10).cast("bigint") for at in (1, 8))
-    u = F.pmod(a + replicate * b, F.lit(RESIDUES)) / F.lit(float(RESIDUES))
-    return sum(((u >= c).cast("int") for c in poisson_steps()), F.lit(0))
+    names = [*(f"s_{m}" for m in metrics), *(f"n_{m}" for m in metrics)]
+    steps = np.array(poisson_steps())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, r = None, np.arange(1, iterations + 1)
+        for batch in batches:
+            held = max(1, REPLICATES // iterations)
+            for at in range(0, batch.num_rows, held):
+                piece = batch.slice(at, held)
+                a, b = (piece.column(i).to_numpy() for i in (0, 1))
+                u = ((a[:, None] + r * b[:, None]) % RESIDUES) / float(RESIDUES)
+                weights = np.searchsorted(steps, u, side="right").astype(float)
+                known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in piece.columns[2:]])
+                values = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in piece.columns[2:]])
+                odd = ~np.isfinite(values)  # spoils the replicates that draw the row, and no others
+                sums = np.hstack([weights.T @ np.where(odd, 0.0, values), weights.T @ known])
+                if odd.any():
+                    sums[:, : odd.shape[1]][(weights > 0).astype(float).T @ odd > 0] = np.nan
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(r), *(pa.array(c) for c in total.T)], names=["replicate", *names])
+
+    rows = tiles.select(a.alias("_a"), b.alias("_b"), *(F.col(m).cast("double").alias(m) for m in metrics))
+    return rows.mapInArrow(run, ", ".join(["replicate bigint", *(f"{n} double" for n in names)]))
 
 
 def bootstrap_ci(
@@ -76,12 +104,9 @@ def bootstrap_ci(
     weights of rows need not know of each other, so each task sums its rows into one vector per replicate and only
     those vectors are exchanged. All metrics of a row share its weight. Undefined values take no part.
     """
-    rows = tiles.select("tile_id", *metrics, F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("replicate"))
-    rows = rows.withColumn("_w", replicate_weight(F.col("tile_id"), F.col("replicate"), seed)).where("_w > 0")
-    sums = []
-    for m in metrics:
-        sums += [F.sum(F.col("_w") * F.col(m)).alias(f"s_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"n_{m}")]
-    vectors = settle(rows.groupBy("replicate").agg(*sums), "replicates")  # a row per replicate, read several times
+    parts = replicate_sums(tiles, metrics, iterations, seed)
+    names = [c for c in parts.columns if c != "replicate"]
+    vectors = settle(parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names]), "replicates")  # a row per replicate, read several times
     entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(f"s_{m}", f"n_{m}").alias("mean")) for m in metrics])
     means = vectors.select(F.inline(entries)).where("mean IS NOT NULL")
     return exact_quantiles(means, ["metric"], "mean", {"low": 0.025, "high": 0.975}).withColumn(

@@ -30,6 +30,7 @@ from rastertab.llm.stars import dealt_parts, forest, roots
 BLOCK = 1024  # members of a family that one task searches among themselves
 SPLIT = 64  # members of a family above which it is signed anew without the shingles of frequent passages
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
+PART_BITS = 14  # counters handed on in one row
 SKETCH = 18  # 2^18 counters tell the shingles of frequent passages in families that are too large
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MU = 0.01  # DivideSkip's weight of a probe against a merge step
@@ -102,24 +103,46 @@ def sketch_buckets(hashes: np.ndarray) -> np.ndarray:
     return (_mix(hashes + ODD) >> np.uint64(64 - SKETCH)).astype(np.int64)
 
 
-def frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
-    """Flags of the hash buckets that clearly more of ``docs`` fall into than the average: those of passages that many
-    documents share. Which ones are flagged decides about cost only."""
+def sketch_counts(docs: DataFrame, size: int) -> DataFrame:
+    """(part, counts): how many of ``docs`` fall into each hash bucket, 2^PART_BITS packed counters a row.
 
-    def run(batches):
+    A task hands on its counters as they are, so their rows are 2^(SKETCH - PART_BITS) a task, whatever the texts.
+    """
+    schema = "part int, counts binary"
+
+    def packed(total: dict[int, np.ndarray]):
+        values = [v.tobytes() for v in total.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(values, pa.binary())], ["part", "counts"])
+
+    def count(batches):
         total = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, sketch_buckets(shingle_set(text.as_py(), size)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(1 << SKETCH)
-    for r in rows.collect():  # 2^SKETCH rows at most
-        total[r.bucket] = r.n
-    usual = np.median(total)
-    return total > usual + np.maximum(20, 6 * np.sqrt(usual))
+        parts = total.reshape(-1, 1 << PART_BITS)
+        yield packed({i: v for i, v in enumerate(parts) if v.any()})
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(counts.as_py(), np.int64)
+                total[part] = total[part] + own if part in total else own
+        if total:
+            yield packed(total)
+
+    return docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+
+
+def frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
+    """Flags of the hash buckets that clearly more of ``docs`` fall into than the average: those of passages that many
+    documents share. Which ones are flagged decides about cost only."""
+
+    counts = np.zeros(1 << SKETCH)
+    for r in sketch_counts(docs, size).collect():  # 2^4 rows, 2^SKETCH counts in all
+        counts[r.part << PART_BITS : (r.part + 1) << PART_BITS] = np.frombuffer(r.counts, np.int64)
+    usual = np.median(counts)
+    return counts > usual + np.maximum(20, 6 * np.sqrt(usual))
 
 
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:

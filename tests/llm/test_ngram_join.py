@@ -105,3 +105,22 @@ def test_one_document_of_each_class_stays(spark):
     assert kept.columns == ["text", "doc_id"]
     assert {str(r.doc_id) for r in kept.collect()} == least
     assert j.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_bucket_counts_are_few_rows_whatever_the_tasks(spark):
+    """Every task handed on a row for each bucket it had met, more rows than documents."""
+    import numpy as np
+
+    from rastertab.llm import ngram_join as j
+
+    texts = [" ".join(f"w{(i * 31 + k) % 997}" for k in range(40)) for i in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    rows = j.sketch_counts(docs, 4).collect()
+    assert len(rows) <= 1 << (j.SKETCH - j.PART_BITS)
+    got = np.zeros(1 << j.SKETCH, np.int64)
+    for r in rows:
+        got[r.part << j.PART_BITS : (r.part + 1) << j.PART_BITS] += np.frombuffer(r.counts, np.int64)
+    want = np.zeros(1 << j.SKETCH, np.int64)
+    for t in texts:
+        np.add.at(want, j.sketch_buckets(j.shingle_set(t, 4)), 1)
+    assert (got == want).all()

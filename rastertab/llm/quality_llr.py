@@ -1,6 +1,6 @@
 """Quality rules with a hashed n-gram log-likelihood ratio between trusted and raw text.
 
-Byte n-grams of every document feed the raw multinomial, those of a bounded sample of trusted documents the target.
+Byte n-grams of every document feed the raw multinomial, those of the trusted documents the target.
 A document's score is the mean log ratio of its n-grams; the threshold is set once from labelled documents that the
 multinomials have not seen, and applied to every document alike.
 """
@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastertab.llm.common import bounded_sample, over_texts
+from rastertab.functions.state import settle
+from rastertab.llm.common import over_texts
 
 BITS = 16  # 2^16 buckets for all n-grams: a fixed size, whatever the corpus
 GRAMS = (3, 5)
-SAMPLE = 20_000  # labelled documents used at most, half to fit and half to set the threshold
 LOSS = 0.001  # share of trusted documents that the threshold may reject
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -75,13 +75,11 @@ class Model:
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all documents and of those whose id is in ``trusted`` (bounded).
+    """(bucket, raw, target): n-gram counts of all documents and of those whose id is in ``trusted``.
 
     Each task adds up its documents and hands on one row per bucket, so a hot source or id costs nothing more.
     """
-    marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id").distinct().withColumn("_t", F.lit(True))), "doc_id", "left"
-    )
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("_t", F.lit(True)), "doc_id", "left")
 
     def run(batches):
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -98,16 +96,16 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float = LOSS) -> Model:
-    """Counts over all documents, target counts and threshold over at most ``sample`` labelled ones.
+def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Model:
+    """Counts over all documents, target counts and threshold over all labelled ones.
 
-    Of the sample, rows with an even hash fit the target and the others set the threshold: midway between the lowest
+    Labelled documents with an even hash fit the target and the others set the threshold: midway between the lowest
     trusted scores (the share ``loss`` aside) and the highest rejected score below them; without rejected labels
     below, just under the trusted ones. Without trusted labels every ratio is 0 and the threshold keeps all.
     """
-    chosen = bounded_sample(labels.select("doc_id", "quality").dropna().distinct(), "doc_id", sample)
+    labelled = labels.select("doc_id", "quality").dropna().distinct()
     even = F.xxhash64("doc_id", F.lit(7)) % 2 == 0
-    trusted = chosen.where((F.col("quality") == 1) & even)
+    trusted = labelled.where((F.col("quality") == 1) & even)
     raw, target = np.full(1 << BITS, 0.5), np.full(1 << BITS, 0.5)
     for row in gram_counts(docs, trusted).collect():  # at most one row per bucket
         raw[row.bucket] += row.raw
@@ -119,13 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float =
     prior = 0.05 * target.sum()
     weights = np.log((target + prior * share) / (target.sum() + prior) / share)
     model = Model(weights, -np.inf)
-    judged = docs.select("doc_id", "text").join(F.broadcast(chosen.where(~even)), "doc_id")
-    rows = scores(judged, model, ("doc_id", "quality")).select("quality", "score", "n_words").collect()  # <= sample
-    good = np.sort([r.score for r in rows if r.quality == 1 and r.n_words >= 50])
-    if len(good):
-        low = good[int(loss * len(good))]
-        below = [r.score for r in rows if r.quality == 0 and r.score < low]
-        model.threshold = float((low + max(below)) / 2 if below else low - 1e-9)
+    judged = docs.select("doc_id", "text").join(labelled.where(~even), "doc_id")
+    rows = settle(scores(judged, model, ("quality",)).select("quality", "score", "n_words"), "judged")
+    good = rows.where("quality = 1 AND n_words >= 50").select("score")
+    n = good.count()
+    if n:
+        low = good.orderBy("score").offset(int(loss * n)).first().score
+        below = rows.where((F.col("quality") == 0) & (F.col("score") < F.lit(low))).agg(F.max("score").alias("m")).first().m
+        model.threshold = float(low - 1e-9 if below is None else (low + below) / 2)
     return model
 
 

@@ -56,3 +56,22 @@ def test_without_labels_or_rows_only_the_base_rules_judge(spark, corpus):
     assert {r.kept for r in q.judge(docs, model).where("n_words >= 50").collect()} == {True}
     none = docs.limit(0)
     assert q.judge(none, q.fit(none, labels)).count() == 0
+
+
+def test_every_labelled_document_takes_part(spark):
+    """Of more than 20 000 labelled documents only so many were looked at."""
+    words = [f"w{k}" for k in range(300)]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(words[: 300 if i % 5 else 40], k=50)), int(i % 5 > 0)) for i in range(21_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, k, 0) for i, _, k in rows], "doc_id bigint, quality int, toxic int")
+    model = q.fit(docs, labels)
+    odd = {r[0] for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 7) % 2 <> 0 AS odd").where("odd").collect()}
+    trusted = labels.where("quality = 1").join(docs, "doc_id", "left_semi")
+    counted = q.gram_counts(docs, trusted).selectExpr("sum(target)").first()[0]
+    assert counted == sum(len(q.buckets(t.encode())) for _, t, k in rows if k)
+    judged = [(k, model.score(t)) for i, t, k in rows if i in odd]
+    good = sorted(s for k, s in judged if k)
+    low = good[int(q.LOSS * len(good))]
+    below = [s for k, s in judged if not k and s < low]
+    assert model.threshold == pytest.approx((low + max(below)) / 2 if below else low - 1e-9, abs=1e-12)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,25 +74,33 @@ class Model:
         return float(self.weights[at].mean()) if len(at) else 0.0
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all documents and of those whose id is in ``trusted``.
-
-    Each task adds up its documents and hands on one row per bucket, so a hot source or id costs nothing more.
-    """
-    marked = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("_t", F.lit(True)), "doc_id", "left")
+def _bucket_counts(texts: DataFrame) -> DataFrame:
+    """(bucket, n) of the n-grams of column ``text``, added up by each task, so that no text leaves its task."""
 
     def run(batches):
-        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for text, own in zip(batch.column(0), batch.column(1)):
-                counts = np.bincount(buckets((text.as_py() or "").encode()), minlength=0)
-                raw[: len(counts)] += counts
-                if own.as_py():
-                    target[: len(counts)] += counts
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
-
-    parts = marked.select("text", "_t").mapInArrow(run, "bucket bigint, raw bigint, target bigint")
+            for text in batch.column(0):
+                some = np.bincount(buckets((text.as_py() or "").encode()), minlength=0)
+                counts[: len(some)] += some
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+
+    return texts.select("text").mapInArrow(run, "bucket bigint, n bigint")
+
+
+def gram_counts(docs: DataFrame, trusted: DataFrame, where: Column | None = None) -> DataFrame:
+    """(bucket, raw, target): n-gram counts of all documents and of those whose id is in ``trusted``.
+
+    Each task adds up its documents and hands on one row per bucket, so a hot source or id costs nothing more. Only
+    texts that meet ``where``, a condition on doc_id that holds for all trusted documents, are dealt out by their id;
+    labels cover any share of the documents, so they are never sent to every executor.
+    """
+    raw = _bucket_counts(docs).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("bigint").alias("target"))
+    ids = trusted.select("doc_id").distinct().hint("shuffle_hash")
+    some = docs if where is None else docs.where(where)
+    own = _bucket_counts(some.select("doc_id", "text").join(ids, "doc_id"))
+    parts = raw.unionByName(own.select("bucket", F.lit(0).cast("bigint").alias("raw"), F.col("n").alias("target")))
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -104,10 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Model:
     below, just under the trusted ones. Without trusted labels every ratio is 0 and the threshold keeps all.
     """
     labelled = labels.select("doc_id", "quality").dropna().distinct()
-    even = F.xxhash64("doc_id", F.lit(7)) % 2 == 0
+    half = lambda doc_id: F.xxhash64(doc_id, F.lit(7)) % 2 == 0
+    even = half(F.col("doc_id"))
+    own = half(F.col("doc_id").try_cast(labelled.schema["doc_id"].dataType))  # the same of documents, whatever their type
     trusted = labelled.where((F.col("quality") == 1) & even)
     raw, target = np.full(1 << BITS, 0.5), np.full(1 << BITS, 0.5)
-    for row in gram_counts(docs, trusted).collect():  # at most one row per bucket
+    for row in gram_counts(docs, trusted, own).collect():  # at most one row per bucket
         raw[row.bucket] += row.raw
         target[row.bucket] += row.target
     if target.sum() < len(target):
@@ -117,8 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Model:
     prior = 0.05 * target.sum()
     weights = np.log((target + prior * share) / (target.sum() + prior) / share)
     model = Model(weights, -np.inf)
-    judged = docs.select("doc_id", "text").join(labelled.where(~even), "doc_id")
-    rows = settle(scores(judged, model, ("quality",)).select("quality", "score", "n_words"), "judged")
+    # scores meet the labels, not texts: a row is a few bytes, and the texts stay where they are
+    judged = scores(docs.where(~own), model).select("doc_id", "score", "n_words")
+    rows = settle(judged.join(labelled.where(~even).hint("shuffle_hash"), "doc_id").select("quality", "score", "n_words"), "judged")
     good = rows.where("quality = 1 AND n_words >= 50").select("score")
     n = good.count()
     if n:

@@ -75,3 +75,31 @@ def test_every_labelled_document_takes_part(spark):
     low = good[int(q.LOSS * len(good))]
     below = [s for k, s in judged if not k and s < low]
     assert model.threshold == pytest.approx((low + max(below)) / 2 if below else low - 1e-9, abs=1e-12)
+
+
+def test_texts_are_dealt_out_once_at_most(spark, tmp_path, monkeypatch):
+    """Labels that were sent to every task at a small size made all texts move, twice, at a larger one."""
+    rows = [(i, f"alpha beta {i} " * 60) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels")
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents"), spark.read.parquet(f"{tmp_path}/labels")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    real = q.settle
+    monkeypatch.setattr(q, "settle", lambda df, label: seen.append(plan(df)) or real(df, label))
+    q.fit(docs, labels)
+    counts = plan(q.gram_counts(docs, labels.where("quality = 1")))
+    assert "Broadcast" not in counts + seen[0]
+    moved = [line for line in seen[0].splitlines() if "Join" in line]
+    assert moved and all("text" not in line for line in moved)
+    below = seen[0][seen[0].index("Join") :]
+    assert "hashpartitioning" in seen[0] and not any("Exchange" in line and "text" in line for line in below.splitlines())
+
+
+def test_labels_may_have_ids_of_another_type(corpus):
+    docs, labels = corpus
+    model, other = q.fit(docs, labels), q.fit(docs, labels.selectExpr("cast(doc_id AS bigint) AS doc_id", "quality"))
+    assert (model.weights == other.weights).all() and model.threshold == other.threshold
+    narrow = docs.selectExpr("cast(doc_id AS int) AS doc_id", "text")
+    narrow = q.fit(narrow, labels)
+    assert (model.weights == narrow.weights).all() and model.threshold == narrow.threshold

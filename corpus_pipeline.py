@@ -54,11 +54,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     NULL and empty texts have no ids; repeated rows and rows without a doc_id are rows of their own.
     """
-    rows = byte_bpe.decode(byte_bpe.encode(docs, keep=("doc_id", "text")))
-    return rows.selectExpr(
-        "doc_id", "cast(size(ids) AS bigint) AS n_tokens", "ids",
-        "decoded = cast(coalesce(text, '') AS binary) AS round_trip",
-    )
+    return byte_bpe.round_trip(docs).selectExpr("doc_id", "cast(size(ids) AS bigint) AS n_tokens", "ids", "round_trip")
 
 
 STAGES = [

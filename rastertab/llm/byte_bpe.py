@@ -24,6 +24,7 @@ from rastertab.llm.common import lists_of, over_texts
 
 RANKS = "byte_bpe_50k.tiktoken"
 KNOWN = 600_000  # pre-tokens a worker remembers before it starts over; a bound on memory only
+RUN_CHARS = 1_000_000  # characters of texts that are split into pre-tokens at once; a bound on memory only
 
 
 class MergeReplay:
@@ -125,6 +126,16 @@ class MergeReplay:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed int32 ids of each text; None and "" have none."""
+        out, run, held = [], [], 0
+        for text in texts:
+            run.append(text)
+            held += len(text or "")
+            if held >= RUN_CHARS:
+                out += self._encode_run(run)
+                run, held = [], 0
+        return out + self._encode_run(run)
+
+    def _encode_run(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.known) > KNOWN:
             self.known.clear()
@@ -132,6 +143,10 @@ class MergeReplay:
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def decode(self, packed: bytes) -> bytes:
+        """The bytes that packed int32 ids stand for."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<i4").tolist()))
+
 
 @lru_cache(maxsize=2)
 def encoder(ranks_file: str = RANKS, pattern: str = PATTERN) -> MergeReplay:
@@ -181,6 +196,26 @@ def decode(rows: DataFrame, ranks_file: str = RANKS, ids: str = "ids", out: str
     return rows.select(*(f.name for f in fields)).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, ranks_file: str = RANKS, pattern: str = PATTERN, keep=("doc_id",)) -> DataFrame:
+    """(``keep``…, ids array<int>, round_trip boolean): :func:`encode`, and whether the ids decode to the whole text.
+
+    One pass: each row is decoded where it was encoded, so neither its text nor its decoded bytes go to a second
+    worker. NULL and empty texts have no ids, which decode to no bytes.
+    """
+
+    def start():
+        bpe = encoder(ranks_file, pattern)
+
+        def step(texts):
+            packed = bpe.encode(texts)
+            same = [bpe.decode(p) == (t or "").encode() for t, p in zip(texts, packed)]
+            return [lists_of(np.frombuffer(b"".join(packed), "<i4"), [len(p) // 4 for p in packed], pa.int32()), same]
+
+        return step
+
+    return over_texts(docs, start, "ids array<int>, round_trip boolean", keep)
+
+
 def _arrays(column: pa.Array):
     values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     valid = column.is_valid().to_numpy(zero_copy_only=False)

@@ -4,7 +4,9 @@ import random
 import tiktoken
 from public_tokenizers import PATTERN, path
 
-from rastertab.llm.byte_bpe import decode, encode, encoder
+import corpus_pipeline as cp
+from rastertab.llm import byte_bpe
+from rastertab.llm.byte_bpe import decode, encode, encoder, round_trip
 
 
 def reference():
@@ -49,3 +51,24 @@ def test_lower_ranks_that_come_up_late_go_first():
 
 def test_no_rows(spark):
     assert decode(encode(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
+
+
+def test_round_trip_needs_one_worker_a_task(spark):
+    """Two passes held two workers with the whole rank table in every task."""
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts())] + [(3, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    both = round_trip(docs, keep=("doc_id", "text"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = reference()
+    got = both.collect()
+    assert len(got) == len(rows) and all(r.round_trip and r.ids == want.encode_ordinary(r.text or "") for r in got)
+    encoded = cp.encode_tokens(spark, docs, "")
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert encoder().decode((65).to_bytes(4, "little") * 2) == encoder().bytes_of[65] * 2
+
+
+def test_long_texts_are_split_run_by_run(monkeypatch):
+    some = list(texts())
+    whole = encoder().encode(some)
+    monkeypatch.setattr(byte_bpe, "RUN_CHARS", 50)
+    assert encoder().encode(some) == whole and encoder().encode([]) == []

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertab.functions.state import settle
+from rastertab.functions.state import settle, shuffled
 
 GRID = 64  # cells of the first level per unit of length
 SHIFT = 0.3183098861837907  # grid lines are moved off round numbers, where vertices are
@@ -71,7 +71,7 @@ def _parities(points: DataFrame, key: Sequence[str], corners: DataFrame, edges:
     """(key…, region) of the points that lie inside; ``points`` are (cell, key…, x, z)."""
     level = F.col("_l")
     right, bottom = _line(F.col("_i") + 1, level), _line(F.col("_j"), level)
-    met = points.join(edges.select(*CELL, "region", *ENDS), CELL)
+    met = points.join(shuffled(edges.select(*CELL, "region", *ENDS)), CELL)
     x, z = F.col("x"), F.col("z")
     at = F.try_divide((F.col("x1") - F.col("x2")) * (z - F.col("z2")), F.col("z1") - F.col("z2")) + F.col("x2")
     beside = ((F.col("z1") > z) != (F.col("z2") > z)) & (x < at) & (at <= right)
@@ -79,7 +79,7 @@ def _parities(points: DataFrame, key: Sequence[str], corners: DataFrame, edges:
     below = ((F.col("x1") > right) != (F.col("x2") > right)) & (height > bottom) & (height <= z)
     crossed = F.coalesce(beside, F.lit(False)).cast("int") + F.coalesce(below, F.lit(False)).cast("int")
     votes = met.where(crossed > 0).select(*key, "region", crossed.alias("_v"))
-    inside = points.join(corners.select(*CELL, "region"), CELL).select(*key, "region", F.lit(1).alias("_v"))
+    inside = points.join(shuffled(corners.select(*CELL, "region")), CELL).select(*key, "region", F.lit(1).alias("_v"))
     return votes.unionByName(inside).groupBy(*key, "region").agg(F.sum("_v").alias("_v")).where("_v % 2 = 1").drop("_v")
 
 
@@ -109,16 +109,16 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: Sequence[
         full = settle(filed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowded).select(*CELL), "crowded")
         if full.isEmpty():
             break
-        calm = _parities(placed.join(full, CELL, "left_anti"), key, corners, filed)
+        calm = _parities(placed.join(shuffled(full), CELL, "left_anti"), key, corners, filed)
         done = calm if done is None else done.unionByName(calm)
         parts = _children(full)
         # corners of the parts, as points of the cell they come from
         names = ["_cl", "_ci", "_cj"]
         asked = parts.select("tile_id", F.col("_pl").alias("_l"), F.col("_pi").alias("_i"), F.col("_pj").alias("_j"), *(F.col(a).alias(b) for a, b in zip(CELL[1:], names)), "x", "z")
         found = _parities(asked, ["tile_id", *names], corners, filed)
-        deeper = filed.join(full, CELL, "left_semi").select("tile_id", "region", *ENDS, F.col("_l").alias("_pl"), F.col("_i").alias("_pi"), F.col("_j").alias("_pj"))
+        deeper = filed.join(shuffled(full), CELL, "left_semi").select("tile_id", "region", *ENDS, F.col("_l").alias("_pl"), F.col("_i").alias("_pi"), F.col("_j").alias("_pj"))
         again = _file(deeper.withColumn("_l", F.col("_pl") + 1)).where((F.floor(F.col("_i") / 2) == F.col("_pi")) & (F.floor(F.col("_j") / 2) == F.col("_pj")))
-        below = placed.join(full, CELL, "left_semi").withColumn("_l", F.col("_l") + 1)
+        below = placed.join(shuffled(full), CELL, "left_semi").withColumn("_l", F.col("_l") + 1)
         placed = settle(_place(below.drop("_i", "_j")), "placed")
         corners = settle(found.select("tile_id", *(F.col(b).alias(a) for a, b in zip(CELL[1:], names)), "region"), "corners")
         filed = settle(again.select(*CELL, "region", *ENDS), "filed")

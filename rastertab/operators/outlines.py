@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rastertab.functions.columns import finite, python_round
 from rastertab.functions.grid import attach, stencil
-from rastertab.functions.state import settle
+from rastertab.functions.state import settle, shuffled
 from rastertab.operators.components import BLOCK, CODE, edge_pieces
 from rastertab.operators.containment import points_in_polygons
 
@@ -173,7 +173,7 @@ def segment_crossings(edges: DataFrame, grid: float = 1.0 / 64) -> DataFrame:
     )
     keys = ["tile_id", "region", "_bx", "_bz"]
     other = filed.select(*keys, *[F.col(c).alias(f"o_{c}") for c in filed.columns if c not in keys])
-    pairs = filed.join(other, keys).where(
+    pairs = filed.join(shuffled(other), keys).where(
         ((F.col("ring") < F.col("o_ring")) | ((F.col("ring") == F.col("o_ring")) & (F.col("seq") < F.col("o_seq"))))
         & (F.col("_bx") == F.greatest("bx0", "o_bx0"))
         & (F.col("_bz") == F.greatest("bz0", "o_bz0"))
@@ -214,8 +214,8 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
     ).unionByName(meets.where((F.col("o_ring") == outer) & (F.col("ring") != outer)).select(*keys, "ring")).distinct()
     candidates = settle(
         areas.join(
-            inside.select(tagged_split("tile_id").alias("tile_id"), "region", "ring"), [*keys, "ring"], "left_semi"
-        ).join(blocked, [*keys, "ring"], "left_anti"),
+            shuffled(inside.select(tagged_split("tile_id").alias("tile_id"), "region", "ring")), [*keys, "ring"], "left_semi"
+        ).join(shuffled(blocked), [*keys, "ring"], "left_anti"),
         "holes",
     )
     # Ordered conflicts: ``first`` outranks ``then``.
@@ -223,12 +223,12 @@ def safe_holes(edges: DataFrame, outer: int = 0) -> DataFrame:
     ranked = candidates.select(*keys, "ring", rank.alias("rank"))
     conflicts = (
         meets.where(F.col("ring") != F.col("o_ring"))
-        .join(ranked, [*keys, "ring"])
-        .join(ranked.select(*keys, F.col("ring").alias("o_ring"), F.col("rank").alias("o_rank")), [*keys, "o_ring"])
+        .join(shuffled(ranked), [*keys, "ring"])
+        .join(shuffled(ranked.select(*keys, F.col("ring").alias("o_ring"), F.col("rank").alias("o_rank"))), [*keys, "o_ring"])
         .select(*keys, F.least("rank", "o_rank")["r"].alias("first"), F.greatest("rank", "o_rank")["r"].alias("then"))
     )
     dropped = outranked(conflicts.distinct(), keys)
-    return candidates if dropped is None else candidates.join(dropped, [*keys, "ring"], "left_anti")
+    return candidates if dropped is None else candidates.join(shuffled(dropped), [*keys, "ring"], "left_anti")
 
 
 def outranked(conflicts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
@@ -247,7 +247,7 @@ def outranked(conflicts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         now = over.where("n = 1").select(*keys, "ring", "to", F.lit(True).alias("odd"))
         while True:
             ahead = now.select(*keys, F.col("ring").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
-            step = now.join(ahead, [*keys, "to"], "left").select(
+            step = now.join(shuffled(ahead), [*keys, "to"], "left").select(
                 *keys, "ring", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
                 F.col("_to").isNotNull().alias("moved"),
             )
@@ -255,16 +255,16 @@ def outranked(conflicts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
             if now.where("moved").isEmpty():
                 break
             now = now.drop("moved")
-        tops = left.select(*keys, F.col("first").alias("ring")).distinct().join(over, [*keys, "ring"], "left_anti")
-        ended = now.join(tops.withColumnRenamed("ring", "to"), [*keys, "to"], "left_semi")
+        tops = left.select(*keys, F.col("first").alias("ring")).distinct().join(shuffled(over), [*keys, "ring"], "left_anti")
+        ended = now.join(shuffled(tops.withColumnRenamed("ring", "to")), [*keys, "to"], "left_semi")
         accepted = tops.unionByName(ended.where("NOT odd").select(*keys, "ring"))
-        beaten = left.join(accepted.withColumnRenamed("ring", "first"), [*keys, "first"], "left_semi")
+        beaten = left.join(shuffled(accepted.withColumnRenamed("ring", "first")), [*keys, "first"], "left_semi")
         lost = settle(beaten.select(*keys, F.col("then").alias("ring")).distinct(), "lost")
         gone = lost if gone is None else gone.unionByName(lost)
         settled = accepted.unionByName(lost).distinct()
         left = settle(
-            left.join(settled.withColumnRenamed("ring", "first"), [*keys, "first"], "left_anti").join(
-                settled.withColumnRenamed("ring", "then"), [*keys, "then"], "left_anti"
+            left.join(shuffled(settled.withColumnRenamed("ring", "first")), [*keys, "first"], "left_anti").join(
+                shuffled(settled.withColumnRenamed("ring", "then")), [*keys, "then"], "left_anti"
             ),
             "conflicts",
         )

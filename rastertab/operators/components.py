@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertab.functions.grid import attach, block_numbers, over_blocks
-from rastertab.functions.state import settle
+from rastertab.functions.state import settle, shuffled
 
 BLOCK = 256
 CODE = 1 << 32  # label of a cell: row * CODE + col, ordered row-major
@@ -108,7 +108,7 @@ def _seams(local: DataFrame, block: int) -> DataFrame:
         behind = local.where(F.col(axis) % block == 0)
         pairs.append(
             ahead.withColumnRenamed("local", "a").join(
-                behind.withColumnRenamed("local", "b"), ["tile_id", "layer", "row", "col"]
+                shuffled(behind.withColumnRenamed("local", "b")), ["tile_id", "layer", "row", "col"]
             ).select("tile_id", "layer", "a", "b")
         )
     return pairs[0].unionByName(pairs[1])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rastertab.functions.columns import finite, python_round
 from rastertab.functions.grid import EIGHT, OFFSETS, attach, row_major_rank, stencil, tile_shape
 from rastertab.functions.quantiles import exact_quantiles
-from rastertab.functions.state import settle
+from rastertab.functions.state import settle, shuffled
 from rastertab.operators.components import BLOCK, component_area, components, drop_below
 from rastertab.operators.rings import footprints
 from rastertab.operators.outlines import outline_edges, outline_rings
@@ -52,12 +52,12 @@ def drop_small_buildings(cells: DataFrame, area: int = 4, block: int = BLOCK) ->
     around = cells.where(F.col("class") != BUILDING).select(
         "tile_id", F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col("class").alias("_n")
     )
-    votes = _around(small).join(around, ["tile_id", "n_row", "n_col"]).groupBy(*COMP, "_n").agg(F.count(F.lit(1)).alias("n"))
+    votes = _around(small).join(shuffled(around), ["tile_id", "n_row", "n_col"]).groupBy(*COMP, "_n").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy(*COMP).agg(F.max(F.struct("n", (-F.col("_n")).alias("_c"))).alias("_b"))
-    replaced = small.join(best, COMP, "left").select(
+    replaced = small.join(shuffled(best), COMP, "left").select(
         *CELL, F.coalesce((-F.col("_b._c")).cast("int"), F.lit(GROUND)).alias("_new")
     )
-    return cells.join(replaced, CELL, "left").withColumn("class", F.coalesce("_new", "class")).select(*cells.columns)
+    return cells.join(shuffled(replaced), CELL, "left").withColumn("class", F.coalesce("_new", "class")).select(*cells.columns)
 
 
 def fill_small_holes(cells: DataFrame, area: int = 4, block: int = BLOCK) -> DataFrame:
@@ -75,13 +75,13 @@ def fill_small_holes(cells: DataFrame, area: int = 4, block: int = BLOCK) -> Dat
     extent = tile_shape(cells).select("tile_id", F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
     sized = attach(small, extent)
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("_rows") - 1) | (F.col("col") == F.col("_cols") - 1)
-    open_side = _around(small).join(outside, ["tile_id", "n_row", "n_col"]).where(F.col("_other") != F.col("component"))
+    open_side = _around(small).join(shuffled(outside), ["tile_id", "n_row", "n_col"]).where(F.col("_other") != F.col("component"))
     bad = sized.where(edge).select(*COMP).unionByName(open_side.select(*COMP))
     if "boundary" in cells.columns:
         strong = cells.where(F.nanvl("boundary", F.lit(0.0)) >= PROTECTED_BOUNDARY).select(*CELL)
-        bad = bad.unionByName(small.join(strong, CELL).select(*COMP))
-    filled = small.join(bad.distinct(), COMP, "left_anti").select(*CELL, F.lit(True).alias("_fill"))
-    return cells.join(filled, CELL, "left").withColumn(
+        bad = bad.unionByName(small.join(shuffled(strong), CELL).select(*COMP))
+    filled = small.join(shuffled(bad.distinct()), COMP, "left_anti").select(*CELL, F.lit(True).alias("_fill"))
+    return cells.join(shuffled(filled), CELL, "left").withColumn(
         "class", F.when(F.col("_fill"), BUILDING).otherwise(F.col("class"))
     ).select(*cells.columns)
 

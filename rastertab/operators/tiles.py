@@ -181,18 +181,20 @@ def resize_nearest(cells: DataFrame, rows: int, cols: int, rule: str = "centre")
     return placed.select(*rest, F.col("_r").alias("row"), F.col("_c").alias("col")).select(*cells.columns)
 
 
-def _triangle_targets(index: str, source: str, target: int) -> Column:
-    """Structs (t, w): output positions reached by a cell and its triangle weight there."""
+def _triangle_targets(rows: DataFrame, index: str, source: str, target: int, at: str, weight: str) -> DataFrame:
+    """A row per output position ``at`` that a cell reaches, with its triangle ``weight`` there.
+
+    Plain columns on exploded positions: functions over arrays are interpreted value by value, which took most of the
+    time of a resampling.
+    """
     scale = F.col(source) / F.lit(float(target))
     support = F.greatest(scale, F.lit(1.0))
     centre = F.col(index) + 0.5
     low = F.greatest(F.lit(0), F.ceil((centre - support) / scale - 0.5 - 1e-9).cast("int"))
     high = F.least(F.lit(target - 1), F.floor((centre + support) / scale - 0.5 + 1e-9).cast("int"))
-    weighted = F.transform(
-        F.when(low <= high, F.sequence(low, high)),
-        lambda t: F.struct(t.alias("t"), (1.0 - F.abs(centre - (t + 0.5) * scale) / support).alias("w")),
-    )
-    return F.filter(weighted, lambda x: x["w"] > 0)
+    reached = rows.withColumn(at, F.explode(F.when(low <= high, F.sequence(low, high))))
+    w = 1.0 - F.abs(centre - (F.col(at) + 0.5) * scale) / support
+    return reached.withColumn(weight, w).where(F.col(weight) > 0)
 
 
 def resize_bilinear(
@@ -206,13 +208,13 @@ def resize_bilinear(
     """
     shape = tile_shape(cells).select("tile_id", F.col("rows").alias("_rows"), F.col("cols").alias("_cols"))
     placed = attach(cells, shape, how="inner")
-    placed = placed.withColumn("_r", F.explode(_triangle_targets("row", "_rows", rows)))
-    placed = placed.withColumn("_c", F.explode(_triangle_targets("col", "_cols", cols)))
-    placed = placed.withColumn("_w", F.col("_r.w") * F.col("_c.w"))
+    placed = _triangle_targets(placed, "row", "_rows", rows, "_r", "_rw")
+    placed = _triangle_targets(placed, "col", "_cols", cols, "_c", "_cw")
+    placed = placed.withColumn("_w", F.col("_rw") * F.col("_cw"))
     use = F.col(valid) if valid else F.lit(True)
     own = F.when(use, F.col("_w")).otherwise(0.0)
     aggs = [F.sum(own * F.when(use, F.col(v)).otherwise(0.0)).alias(v) for v in values]
-    sums = placed.groupBy("tile_id", F.col("_r.t").alias("row"), F.col("_c.t").alias("col"), *by).agg(
+    sums = placed.groupBy("tile_id", F.col("_r").alias("row"), F.col("_c").alias("col"), *by).agg(
         *aggs, F.sum(own).alias("_own"), F.sum("_w").alias("_all")
     )
     covered = F.col("_own") / F.col("_all") > 1e-6

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertab.functions.state import discard, settle
-from rastertab.llm.common import lists_of, over_texts
+from rastertab.llm.common import PIECE_ROWS, lists_of, over_texts
 from rastertab.llm.stars import dealt_parts, forest, roots
 
 BLOCK = 1024  # members of a family that one task searches among themselves
@@ -258,8 +258,7 @@ def family_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) links among ``members`` (family, u, v, block, doc_id, text), each (family, u, v) searched by itself."""
 
     def search(rows):
-        ids, texts, blocks, u, v = rows
-        sets = [shingle_set(t, size) for t in texts]
+        ids, sets, blocks, u, v = rows
         left, right = np.flatnonzero(np.array(blocks) == u), np.flatnonzero(np.array(blocks) == v)
         if u == v:
             order = np.argsort([len(s) for s in sets], kind="stable")
@@ -269,18 +268,19 @@ def family_links(members: DataFrame, size: int, percent: int) -> DataFrame:
         return [(ids[i], ids[j]) for i, j in divide_skip(sets, left, right, percent)]
 
     def run(batches):
-        key, ids, texts, blocks, out = None, [], [], [], []
-        for batch in batches:
-            for *k, block, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+        key, ids, sets, blocks, out = None, [], [], [], []
+        pieces = (batch.slice(at, PIECE_ROWS) for batch in batches for at in range(0, batch.num_rows, PIECE_ROWS))
+        for piece in pieces:
+            for *k, block, doc, text in zip(*(c.to_pylist() for c in piece.columns)):
                 if k != key:
                     if len(ids) > 1:
-                        out += search((ids, texts, blocks, key[1], key[2]))
-                    key, ids, texts, blocks = k, [], [], []
+                        out += search((ids, sets, blocks, key[1], key[2]))
+                    key, ids, sets, blocks = k, [], [], []
                 ids.append(doc)
-                texts.append(text)
+                sets.append(shingle_set(text, size))
                 blocks.append(block)
         if len(ids) > 1:
-            out += search((ids, texts, blocks, key[1], key[2]))
+            out += search((ids, sets, blocks, key[1], key[2]))
         yield pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"]
         )

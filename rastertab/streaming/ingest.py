@@ -72,10 +72,16 @@ def stream_verdicts(files: DataFrame, watermark: str = "10 minutes", wait: str =
     )
 
 
+PAIRING_BUCKETS = 1024  # states of a pairing stream
+_HELD = ["split", "key", "kind", "path", "arrived", "due"]  # what is kept of a file
+
+
 class _Pairing(StatefulProcessor):
-    """Files of one (split, key): a triplet at once, what is wrong at expiry, late files as they come.
+    """Files of a bucket of keys: triplets at once, what is wrong at expiry, late files as they come.
 
-    State is the files seen since the first one, by path; it goes when the timer of the first file expires.
+    State is one value with the files of the bucket's open keys; a key's files go when its time, ``wait_ms`` after its
+    first file, is over. A value is looked up, so no scan passes over what was deleted before, and a bucket is read and
+    written once for all its keys.
     """
 
     def __init__(self, wait_ms: int):
@@ -83,7 +89,25 @@ class _Pairing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.files = handle.getMapState("files", "path string", "kind string, arrived bigint")
+        types = ["string"] * 4 + ["bigint"] * 2
+        self.held = handle.getValueState("held", ", ".join(f"{c} array<{t}>" for c, t in zip(_HELD, types)))
+
+    def _open(self) -> tuple[dict, dict]:
+        """Files by path and time of expiry of each open (split, key)."""
+        files: dict[tuple, dict[str, tuple[str, int]]] = {}
+        due: dict[tuple, int] = {}
+        held = self.held.get()
+        for split, name, kind, path, at, until in zip(*held) if held else ():
+            files.setdefault((split, name), {})[path] = (kind, at)
+            due[split, name] = until
+        return files, due
+
+    def _keep(self, files: dict, due: dict) -> None:
+        rows = [(*name, kind, path, at, due[name]) for name, some in files.items() for path, (kind, at) in some.items()]
+        if rows:
+            self.held.update(tuple(list(column) for column in zip(*rows)))
+        else:
+            self.held.clear()
 
     def _row(self, key, verdict: str, files: dict[str, tuple[str, int]]) -> dict:
         held = {k: sorted(p for p, (kind, _) in files.items() if kind == k) for k in KINDS}
@@ -97,53 +121,73 @@ class _Pairing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         water, out = timerValues.getCurrentWatermarkInMs(), []
-        files = {k[0]: (v[0], v[1]) for k, v in self.files.iterator()}
-        before, fresh = len(files), {}
+        files, due = self._open()
+        next_due, fresh = min(due.values(), default=None), {}
         for frame in rows:
-            for kind, path, at in zip(frame["kind"], frame["path"], frame["at"]):
-                if path in files or path in fresh:
+            for split, name, kind, path, at in zip(*(frame[c].tolist() for c in ("split", "key", "kind", "path", "at"))):
+                at_key = (split, name)
+                if path in files.get(at_key, ()) or path in fresh.get(at_key, ()):
                     continue  # announced twice
                 if at < water:
-                    out.append(self._row(key, "late", {path: (kind, int(at))}))
+                    out.append(self._row(at_key, "late", {path: (kind, at)}))
                 else:
-                    fresh[path] = (kind, int(at))
+                    fresh.setdefault(at_key, {})[path] = (kind, at)
+        for at_key, some in fresh.items():
+            if at_key not in due:
+                due[at_key] = min(at for _, at in some.values()) + self.wait_ms
+            own = files.setdefault(at_key, {})
+            own.update(some)
+            if [sum(kind == k for kind, _ in own.values()) for k in KINDS] == [1, 1, 1]:
+                out.append(self._row(at_key, "triplet", own))
         if fresh:
-            if not before:
-                self.handle.registerTimer(min(at for _, at in fresh.values()) + self.wait_ms)
-            for path, value in fresh.items():
-                self.files.updateValue((path,), value)
-            files |= fresh
-            if len(fresh) and [sum(kind == k for kind, _ in files.values()) for k in KINDS] == [1, 1, 1]:
-                out.append(self._row(key, "triplet", files))
+            first = min(due.values())
+            if next_due is None or first < next_due:
+                self.handle.registerTimer(first)
+            self._keep(files, due)
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        files = {k[0]: (v[0], v[1]) for k, v in self.files.iterator()}
-        self.files.clear()
-        n = [sum(kind == k for kind, _ in files.values()) for k in KINDS]
-        if files and n != [1, 1, 1]:
-            verdict = "orphan" if n[0] == 0 else "duplicate" if max(n) > 1 else "missing"
-            yield self._frame([self._row(key, verdict, files)])
+        water, fired, out = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs(), []
+        files, due = self._open()
+        over = [name for name, until in due.items() if until <= fired or until < water]
+        for name in over:
+            some = files.pop(name)
+            del due[name]
+            n = [sum(kind == k for kind, _ in some.values()) for k in KINDS]
+            if n != [1, 1, 1]:
+                verdict = "orphan" if n[0] == 0 else "duplicate" if max(n) > 1 else "missing"
+                out.append(self._row(name, verdict, some))
+        if over:
+            self._keep(files, due)
+            if due:
+                self.handle.registerTimer(min(due.values()))
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def stream_pairing(files: DataFrame, watermark: str = "10 minutes", wait_seconds: int = 600) -> DataFrame:
+def stream_pairing(
+    files: DataFrame, watermark: str = "10 minutes", wait_seconds: int = 600, buckets: int = PAIRING_BUCKETS
+) -> DataFrame:
     """Every file of the stream in some row: triplet, orphan, missing, duplicate or late.
 
     Input (split, kind, path, arrived). A triplet is told as soon as its three files are there. ``wait_seconds`` after a
     key's first file, on the clock of the watermark, orphans, keys that miss a file and keys with more files of a kind
     are told, a duplicate also where a triplet was told before. A file that comes after the watermark has passed it is
     a row of its own, so that late files are sinked and not lost. Needs the RocksDB state store.
+
+    Keys are dealt over ``buckets`` states; one holds the files of its open keys, and a batch reads those it has rows for.
     """
     # Spark drops late rows before they reach state where it knows the event time; a plain number keeps them
     keyed = files.withWatermark("arrived", watermark).select(
         "split", pair_key("path").alias("key"), "kind", "path", F.unix_millis("arrived").alias("at")
     )
     counts = ", ".join([*(f"n_{k} bigint" for k in KINDS), *(f"{k} string" for k in KINDS)])
-    rows = keyed.groupBy("split", "key").transformWithStateInPandas(
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("split", "key"), F.lit(buckets)).cast("int"))
+    rows = dealt.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Pairing(wait_seconds * 1000), outputStructType=f"split string, key string, verdict string, {counts}, first_arrival bigint",
         outputMode="Append", timeMode="EventTime",
     )

@@ -1,4 +1,7 @@
 import datetime as dt
+from types import SimpleNamespace
+
+import pandas as pd
 
 from rastertab.functions.state import new_path
 from rastertab.plans.stream_queries import _SCHEMA, _session
@@ -39,6 +42,47 @@ def test_pairing_tells_every_file(spark):
     assert rows.where("key = 'A1' AND split = 'train'").first().first_arrival is not None
 
 
+class State:
+    """A value and timers as Spark keeps them, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_pairing_calls_state_per_bucket_not_per_key():
+    state, pairing = State(), ingest._Pairing(100)
+    pairing.init(state)
+    clock = lambda at: SimpleNamespace(getCurrentWatermarkInMs=lambda: at)
+    fired = lambda at: SimpleNamespace(getExpiryTimeInMs=lambda: at)
+    files = [("train", f"K{i}", kind, path(kind, f"k{i}"), 1000 + i) for i in range(400) for kind in ("images", "heights", "classes") if kind != "heights" or i % 4]
+    frame = pd.DataFrame(files, columns=["split", "key", "kind", "path", "at"])
+    told = pd.concat(pairing.handleInputRows((0,), iter([frame[:500], frame[500:]]), clock(0)))
+    assert set(told["verdict"]) == {"triplet"} and len(told) == 300 and state.timers == [1100] and state.calls == 3
+    told = pd.concat(pairing.handleExpiredTimer((0,), clock(1300), fired(1100)))  # keys 0 to 199 are over
+    assert set(told["verdict"]) == {"missing"} and len(told) == 50 and state.timers == [1100, 1300] and state.calls == 6
+    late = pd.concat(pairing.handleInputRows((0,), iter([frame[:3]]), clock(1300)))
+    assert list(late["verdict"]) == ["late"] * 3 and state.calls == 7
+    told = pd.concat(pairing.handleExpiredTimer((0,), clock(9000), fired(1300)))
+    assert len(told) == 50 and state.value is None and state.calls == 9
+
+
 def test_audit_parts_add_up(spark):
     own, where = _session(spark), new_path(spark, "tiles")
     schema = "split string, tile_id bigint, row int, col int, height double, class int"

@@ -133,6 +133,24 @@ def test_weighted_search_matches_dijkstra(spark, monkeypatch, block, region):
             assert walked[10 + t] == p
 
 
+def test_small_blocks_share_a_call(spark):
+    cells = spark.range(600).selectExpr(
+        "id div 3 AS route_id", "0 AS bi", "int(id div 300) AS bj", "0 AS row", "int(id % 3) AS col", "1.0 + id div 3 AS cost"
+    )
+    ends = cells.where("col <> 1").selectExpr("route_id", "bi", "bj", "row", "col", "0.0 AS value", "0 AS kind")
+
+    def counted(rows):
+        out = road_overlay._fill_tables(road_overlay.AT)(rows)
+        return out.assign(calls=[1] + [0] * (len(out) - 1))
+
+    shape = "route_id bigint, bi int, bj int, cell array<bigint>, cost array<double>, dist array<double>, calls bigint"
+    got = road_overlay._in_batches(cells, ends, road_overlay.AT, counted, shape).collect()
+    assert {r.route_id: (r.bj, r.cell, r.dist) for r in got} == {
+        i: (int(3 * i >= 300), [0, 2], [0.0, 2.0 * (1 + i), 2.0 * (1 + i), 0.0]) for i in range(200)
+    }
+    assert sum(r.calls for r in got) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a batch, and its last group
+
+
 def test_debris_zone_is_clipped_and_scene_mapping_rounds(spark):
     zones = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], BLOCKED)
     sizes = spark.createDataFrame([(1, 5, 5)], "route_id bigint, rows int, cols int")

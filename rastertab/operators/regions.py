@@ -248,6 +248,26 @@ def roof_type(labelled: DataFrame, cells: DataFrame) -> DataFrame:
     return labelled.select(*COMP).distinct().join(profiles, COMP, "left").select(*COMP, roof_family().alias("roof_type"))
 
 
+def _noise() -> Column:
+    """Single cells without prominence; needs area, roof_height and ground_height."""
+    prominence = F.col("roof_height") - F.col("ground_height")
+    return (F.col("area") == 1) & (prominence < F.greatest(F.lit(0.5), F.abs("ground_height") * 0.25))
+
+
+def building_grounds(labelled: DataFrame, cells: DataFrame) -> DataFrame:
+    """(tile_id, component, ground_height) of the buildings in :func:`building_heights`.
+
+    Which buildings those are depends on the roofs of single cells only, so no other roof is looked at: the roof of a
+    single cell is its height.
+    """
+    sizes = component_area(labelled)
+    single = labelled.join(sizes.where("area = 1").select(*COMP), COMP, "left_semi")
+    roofs = single.join(cells.select(*CELL, "height"), CELL).where(finite("height")).select(*COMP, F.col("height").alias("_roof"))
+    joined = sizes.join(ground_height(labelled, cells), COMP).join(roofs, COMP, "left")
+    joined = joined.withColumn("roof_height", F.coalesce("_roof", "ground_height"))
+    return joined.where(~_noise()).select(*COMP, "ground_height")
+
+
 def building_heights(labelled: DataFrame, cells: DataFrame) -> DataFrame:
     """Ground, roof, relative, wall and rise heights; single cells without prominence are dropped."""
     ground = ground_height(labelled, cells)
@@ -257,10 +277,8 @@ def building_heights(labelled: DataFrame, cells: DataFrame) -> DataFrame:
     joined = joined.withColumn("roof_height", F.coalesce("p90", "ground_height")).withColumn(
         "roof_type", F.coalesce("roof_type", F.lit("flat"))
     )
-    prominence = F.col("roof_height") - F.col("ground_height")
-    noise = (F.col("area") == 1) & (prominence < F.greatest(F.lit(0.5), F.abs("ground_height") * 0.25))
-    relative = F.greatest(prominence, F.lit(0.05))
-    joined = joined.where(~noise).withColumn("height", relative)
+    relative = F.greatest(F.col("roof_height") - F.col("ground_height"), F.lit(0.05))
+    joined = joined.where(~_noise()).withColumn("height", relative)
     rise = F.when(F.col("roof_type") == "flat", 0.0).otherwise(F.greatest(F.col("height") * 0.28, F.lit(0.05)))
     return joined.withColumn("roof_rise", rise).withColumn("wall_height", F.col("height") - F.col("roof_rise")).select(
         *COMP, "area", "ground_height", "roof_height", "height", "roof_type", "wall_height", "roof_rise"

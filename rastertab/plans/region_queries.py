@@ -417,7 +417,7 @@ LEFT JOIN bh b ON b.tile_id=l.tile_id AND b.component=l.component""")
 def st14(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
     labelled = _built(spark, sf_dir)
-    table = regions.building_heights(labelled, c).select("tile_id", F.col("component").alias("region"), "ground_height")
+    table = regions.building_grounds(labelled, c).withColumnRenamed("component", "region")
     edges = outlines.normalized_edges(outlines.outline_edges(labelled), tile_shape(c))
     return rounded(stencil.ground_buildings(c.select("tile_id", "row", "col", "height", "class"), table, edges).drop("class"))
 
@@ -429,6 +429,6 @@ w AS ({green_sql('g')}) SELECT tile_id, "row", col, class, round(height,6) AS he
 def st16b(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
     labelled = _built(spark, sf_dir)
-    table = regions.building_heights(labelled, c).select("tile_id", F.col("component").alias("region"), "ground_height")
+    table = regions.building_grounds(labelled, c).withColumnRenamed("component", "region")
     edges = outlines.normalized_edges(outlines.outline_edges(labelled), tile_shape(c))
     return rounded(stencil.prepare_terrain(c, table, edges).select("tile_id", "row", "col", "class", "height"))

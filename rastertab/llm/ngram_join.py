@@ -8,7 +8,9 @@
    lists are merged and counted, the long ones are probed by binary search for the candidates left, and documents
    that reach the overlap the two set sizes require are links. Candidates already connected to the query are skipped,
    since a class needs no second link. Families above ``SPLIT`` members are cut anew without the shingles of frequent
-   passages, families above ``BLOCK`` are searched as pairs of blocks.
+   passages. Families that are still above ``BLOCK`` members or ``VOLUME`` shingles first lose the documents that have too
+   few shingles in common with all others together to link with any, then they are searched as pairs of blocks: only
+   then a text is copied, once for each block of its family.
 4. Links and copies are contracted to classes.
 
 No step gathers a key of unbounded size: signatures are range-partitioned by (signature, document), so one that a
@@ -27,7 +29,8 @@ from rastertab.functions.state import discard, settle
 from rastertab.llm.common import PIECE_ROWS, lists_of, over_texts
 from rastertab.llm.stars import dealt_parts, forest, roots
 
-BLOCK = 1024  # members of a family that one task searches among themselves
+BLOCK = 2048  # members of a family that one task searches among themselves
+VOLUME = 1 << 21  # shingles of a family that one task searches among themselves
 SPLIT = 64  # members of a family above which it is signed anew without the shingles of frequent passages
 SEEN = 200_000  # fingerprints a task remembers so as not to sign copies twice; a bound on memory only
 PART_BITS = 14  # counters handed on in one row
@@ -294,16 +297,43 @@ def sizes(member: DataFrame) -> DataFrame:
     return member.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
 
 
-def split_families(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, family) of the documents of ``large`` (doc_id, whole), signed anew without their frequent passages.
+def blocks_of(member: DataFrame, block: int) -> DataFrame:
+    """(family, blocks) of the families of ``member`` (doc_id, family, n) that have anything to search."""
+    load = member.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume")).where("m > 1")
+    return load.select("family", F.ceil(F.greatest(F.col("m") / block, F.col("volume") / VOLUME)).cast("int").alias("blocks"))
+
+
+def unlinked(texts: DataFrame, member: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id) of ``member`` (doc_id, family, n, texts) that link with nothing in their family, whole families given.
+
+    What two sets share, the family has twice. So if less than ``percent`` of a set's shingles stand in another text of
+    the family, it has no link. Clashes of hashes only let more documents stay, as do several texts of one doc_id.
+    """
+    held = texts.select("doc_id", "text").join(member.select("doc_id", "family").hint("merge"), "doc_id")
+
+    def start():
+        def step(batch):
+            sets = [shingle_set(t, size) for t in batch]
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            return [lists_of(flat, [len(s) for s in sets], pa.int64())]
+
+        return step
+
+    spread = over_texts(held, start, "hashes array<bigint>", keep=("doc_id", "family"))
+    each = spread.select("doc_id", "family", F.explode("hashes").alias("h")).select(F.xxhash64("family", "h").alias("h"), "doc_id")
+    once = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
+    alone = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    few = member.where("texts = 1").join(alone, "doc_id").where(100 * (F.col("n") - F.col("alone")) < percent * F.col("n"))
+    return few.select("doc_id")
+
+
+def split_families(texts: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, family) of the documents of ``large`` (doc_id) with these ``texts``, signed anew without frequent passages.
 
     Families grow too large where passages that many documents share make up whole parts of otherwise different
     texts. Linked documents stay together in the families found here, too.
     """
-    texts = settle(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(large.hint("merge"), "doc_id"), "large"
-    )
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(texts, size)))  # 2^SKETCH bits
+    flags = texts.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(texts, size)))  # 2^SKETCH bits
 
     def start():
         signer, frequent = Signer(percent), np.unpackbits(flags.value).astype(bool)
@@ -315,7 +345,6 @@ def split_families(docs: DataFrame, large: DataFrame, size: int, percent: int) -
 
     marks = over_texts(texts, start, "sigs array<bigint>")
     found = roots(chains(marks.select(F.explode("sigs").alias("sig"), "doc_id")))
-    discard(texts)
     ids = large.select("doc_id").distinct()
     return ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("family"))
 
@@ -342,15 +371,24 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOC
         "doc_id", F.coalesce("root", "doc_id").alias("family")
     )
     member = settle(member.join(sizes(member).where("m > 1"), "family"), "families")
-    large = member.where(F.col("m") > SPLIT)
-    if not large.isEmpty():
-        again = split_families(docs, large.select("doc_id", F.col("family").alias("whole")), size, percent)
+    held = marks.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    large = member.where(F.col("m") > SPLIT).select("doc_id")
+    if large.isEmpty():
+        member = settle(member.select("doc_id", "family").join(held, "doc_id"), "sized")
+    else:
+        texts = settle(
+            docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(large.hint("merge"), "doc_id"), "large"
+        )
         kept = member.where(F.col("m") <= SPLIT).select("doc_id", "family")
-        member = kept.union(again)
-    member = member.select("doc_id", "family")
-    blocks = sizes(member).where("m > 1").select("family", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+        member = kept.union(split_families(texts, large, size, percent))
+        member = settle(member.join(held, "doc_id"), "sized")
+        whole = member.join(blocks_of(member, block).where("blocks > 1").select("family"), "family")
+        if not whole.isEmpty():
+            gone = settle(unlinked(texts, settle(whole, "whole"), size, percent), "unlinked")
+            member = settle(member.join(gone, "doc_id", "left_anti"), "linkable")
+        discard(texts)
     member = settle(
-        member.join(blocks, "family")
+        member.join(blocks_of(member, block), "family")
         .select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")),
         "members",
     )

@@ -36,15 +36,18 @@ def test_texts_of_a_passage_are_not_copied_for_each_block_of_their_family(spark,
     assert 5 <= given[0] <= len(rows)
 
 
-def test_what_too_few_shingles_are_shared_with_goes_and_nothing_else(spark):
+@pytest.mark.parametrize("part", [100, 60, 1])
+def test_what_too_few_shingles_are_shared_with_goes_and_nothing_else(spark, part):
     texts = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h x y"), (3, "a b c d e z z z z z"), (4, "a b c d e f g h i j"),
              (5, "a b c d e f g h i j"), (5, "q q q q q")]
     member = [(1, 1, 10, 1), (2, 1, 10, 1), (3, 1, 6, 1), (4, 9, 10, 1), (5, 8, 10, 2)]  # 4 and 5 are families of one
     found = j.unlinked(
         spark.createDataFrame(texts, "doc_id bigint, text string"),
-        spark.createDataFrame(member, "doc_id bigint, family bigint, n bigint, texts bigint"), 1, 80,
+        spark.createDataFrame(member, "doc_id bigint, family bigint, n bigint, texts bigint"), 1, 80, part,
     )
-    assert sorted(r.doc_id for r in found.collect()) == [4]  # 3 has one word in six for itself
+    low = (j.shingle_set(texts[3][1], 1) <= np.uint64((2**64 - 1) * part // 100)).sum()
+    assert (part, low > 2) in ((100, True), (60, True), (1, False))
+    assert sorted(r.doc_id for r in found.collect()) == [4] * int(low > 2)  # 3 has one word in six for itself
 
 
 def test_a_written_round_leaves_no_shuffle_files(spark):
